@@ -162,7 +162,7 @@ def with_panels(*names: str) -> str:
     want = set(names)
     if "panel_ragged" in want or "ragged_wide" in want:
         want.add("panel_quarterly")
-    if "yearly_wide" in want:
+    if "yearly_wide" in want or "raw_wide" in want:
         want.add("panel_yearly")
     if "quarterly_wide" in want:
         want.add("panel_quarterly")
@@ -180,4 +180,30 @@ def with_panels(*names: str) -> str:
         parts.append(f"quarterly_wide AS ({wide_sql('panel_quarterly')})")
     if "ragged_wide" in want:
         parts.append(f"ragged_wide AS ({wide_sql('panel_ragged')})")
+    if "raw_wide" in want:
+        parts.append(f"raw_wide AS ({raw_wide_sql(FIXTURE_YEARS)})")
     return "WITH " + ",\n".join(parts)
+
+
+def raw_wide_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw wide table as the source files have it: text year columns, 'n/a' junk.
+
+    One row per (model, scenario, region, variable, unit); one text column per
+    year; the text 'n/a' where (year + length(variable)) % 11 = 0.
+    """
+    long = panel_yearly(spark, sf_dir)
+    text = F.when((F.col("year") + F.length("variable")) % 11 == 0, F.lit("n/a")) \
+            .otherwise(F.col("value").cast("string"))
+    return (long.groupBy("model", "scenario", "region", "variable", "unit")
+                .pivot("year").agg(F.first(text)))
+
+
+def raw_wide_sql(years) -> str:
+    cols = ", ".join(
+        f"first(CASE WHEN (year + length(variable)) % 11 = 0 THEN 'n/a' ELSE CAST(value AS VARCHAR) END) "
+        f"FILTER (WHERE year = {y}) AS \"{y}\"" for y in years)
+    return (f"SELECT model, scenario, region, variable, unit, {cols} FROM panel_yearly "
+            f"GROUP BY model, scenario, region, variable, unit")
+
+
+FIXTURE_YEARS = tuple(range(1995, 2002))
