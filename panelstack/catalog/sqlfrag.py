@@ -82,3 +82,36 @@ def metrics_by_region_type_sql(src: str, truth, pred) -> str:
     return f"""SELECT CASE WHEN grouping(_rt) = 1 THEN 'Overall' ELSE _rt END AS region_type,
   {metric_aggs(len(truth))}
 FROM ({stacked}) AS s GROUP BY ROLLUP (_rt)"""
+
+
+def rank_sql(src: str, keys=KEYS, seed=0) -> str:
+    """Distinct keys of ``src`` ranked by md5(seed|keys) then keys, with group count n."""
+    k = ", ".join(keys)
+    return (f"SELECT {k}, row_number() OVER (ORDER BY md5(concat_ws('|', '{seed}', {k})), {k}) - 1 AS rank, "
+            f"count(*) OVER () AS n FROM (SELECT DISTINCT {k} FROM {src}) AS _d")
+
+
+def split_case(test=0.1, val=0.1) -> str:
+    nt = f"floor(n * {test})"
+    nv = f"floor(n * {val})"
+    return (f"CASE WHEN rank < n - {nt} - {nv} THEN 'train' WHEN rank < n - {nt} THEN 'val' "
+            f"ELSE 'test' END")
+
+
+def split_sql(src: str, keys=KEYS, seed=0, test=0.1, val=0.1) -> str:
+    """Rows of ``src`` with a ``split`` column (train / val / test by whole series)."""
+    on = " AND ".join(f"_s.{c} = _r.{c}" for c in keys)
+    return (f"SELECT _s.*, _r.split FROM {src} _s JOIN (SELECT *, {split_case(test, val)} AS split "
+            f"FROM ({rank_sql(src, keys, seed)}) _k) _r ON {on}")
+
+
+def unpivot_sql(src: str, cols, keep=(), where: str = "", feature: str = "feature",
+                value: str = "value") -> str:
+    k = "".join(f"{c}, " for c in keep)
+    w = f" WHERE {where}" if where else ""
+    return " UNION ALL ".join(
+        f"SELECT {k}'{c}' AS {feature}, CAST({c} AS DOUBLE) AS {value} FROM {src}{w}" for c in cols)
+
+
+def nn(cols) -> str:
+    return " AND ".join(f"{c} IS NOT NULL" for c in cols)

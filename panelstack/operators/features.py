@@ -48,14 +48,15 @@ def interpolate(df: DataFrame, cols: Sequence[str], keys: Sequence[str],
                        for c in df.columns])
 
 
-def fill_report(before: DataFrame, after: DataFrame, cols: Sequence[str]) -> DataFrame:
-    """How many NULL cells of ``cols`` were filled (one row)."""
-    def nulls(df):
-        return df.select(sum(F.col(c).isNull().cast("long") for c in cols).alias("n")) \
-                 .agg(F.sum("n").alias("n"))
-    b = nulls(before).withColumnRenamed("n", "nulls_before")
-    a = nulls(after).withColumnRenamed("n", "nulls_after")
-    return b.crossJoin(a).withColumn("filled", F.col("nulls_before") - F.col("nulls_after"))
+def fill_report(df: DataFrame, cols: Sequence[str], keys: Sequence[str],
+                time: str = "year") -> DataFrame:
+    """NULL cells of ``cols`` before and after interpolation, and how many were filled (one row)."""
+    originals = [F.col(c).alias(f"_o_{c}") for c in cols]
+    filled = interpolate(df.select(*keys, time, *cols, *originals), cols, keys, time)
+    before = sum(F.col(f"_o_{c}").isNull().cast("long") for c in cols)
+    after = sum(F.col(c).isNull().cast("long") for c in cols)
+    return filled.agg(F.sum(before).alias("nulls_before"), F.sum(after).alias("nulls_after")) \
+                 .withColumn("filled", F.col("nulls_before") - F.col("nulls_after"))
 
 
 def per_capita(df: DataFrame, targets: Sequence[str], population: str) -> DataFrame:
@@ -156,9 +157,11 @@ def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str],
     one row per group and broadcast.
     """
     cols = list(cols)
-    wide = medians.groupBy(by).pivot("feature", cols).agg(F.first("median"))
-    per = wide.where(F.col(by).isNotNull()).select(by, *[F.col(c).alias(f"_m_{c}") for c in cols])
-    glob = wide.where(F.col(by).isNull()).select(*[F.col(c).alias(f"_g_{c}") for c in cols])
+    pick = lambda c: F.max(F.when(F.col("feature") == c, F.col("median")))
+    per = medians.where(F.col(by).isNotNull()).groupBy(by) \
+                 .agg(*[pick(c).alias(f"_m_{c}") for c in cols])
+    # an aggregate without grouping always yields exactly one row
+    glob = medians.where(F.col(by).isNull()).agg(*[pick(c).alias(f"_g_{c}") for c in cols])
     out = df.join(F.broadcast(per), by, "left").crossJoin(F.broadcast(glob))
     filled = [F.coalesce(F.col(c), F.col(f"_m_{c}"), F.col(f"_g_{c}"), F.lit(0.0)).alias(c)
               if c in cols else F.col(c) for c in df.columns]
