@@ -10,6 +10,7 @@ from ..operators import features as D
 from ..operators.split import split_by_series
 from ..plans.base import KEYS, TARGETS, VARS, POP, quarterly_wide, ragged_wide, yearly_wide
 from ..plans.prepare import prepare_sequence, prepare_tabular
+from ..session import materialize
 from ..sources.panels import with_panels
 from . import register
 from .sqlfrag import (REGION_SCALE_SQL, interp_select, lags_select, nn, split_sql, unpivot_sql)
@@ -28,7 +29,8 @@ def rp(spark, sf_dir):
 
 
 def rp_split(spark, sf_dir):
-    return split_by_series(rp(spark, sf_dir), KEYS, 0.1, 0.1, seed=0)
+    # read by several passes (medians, imputation): materialise once
+    return materialize(split_by_series(rp(spark, sf_dir), KEYS, 0.1, 0.1, seed=0))
 
 
 @register("d1_interpolate", RP + f" {interp_select('rp', INTERP, RP_COLS)}", doubles=VARS)

@@ -143,10 +143,15 @@ def fit_medians(train: DataFrame, cols: Sequence[str], by: str = "region_scale")
 
     Long result (by, feature, median); at most (#groups + 1) x #cols rows.
     """
-    per = exact_median_wide(train, [by], cols)
-    overall = exact_median_wide(train, [], cols).select(
-        F.lit(None).cast("string").alias(by), "feature", "median")
-    return per.unionByName(overall)
+    # one pass: every row counts for its own group and for the global group
+    tagged = train.select(F.explode(F.array(F.struct(F.col(by).cast("string").alias("g"),
+                                                     F.lit(False).alias("all")),
+                                            F.struct(F.lit(None).cast("string").alias("g"),
+                                                     F.lit(True).alias("all")))).alias("_k"),
+                          *[F.col(c) for c in cols])
+    tagged = tagged.select(F.col("_k.g").alias(by), F.col("_k.all").alias("_all"), *cols)
+    med = exact_median_wide(tagged, [by, "_all"], cols)
+    return med.where(F.col(by).isNotNull() | F.col("_all")).select(by, "feature", "median")
 
 
 def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str],

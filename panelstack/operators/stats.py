@@ -17,6 +17,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+    """Equi-join on ``cols`` where NULL keys match (group keys may be NULL)."""
+    r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
+    cond = None
+    for c in cols:
+        e = left[c].eqNullSafe(r[f"_r_{c}"])
+        cond = e if cond is None else cond & e
+    out = left.join(r, cond, how)
+    return out if how in ("left_semi", "left_anti") else out.drop(*[f"_r_{c}" for c in cols])
+
+
 def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
                  buckets: int = 64) -> DataFrame:
     """Median (mean of the two middle values) of ``value`` per ``group``.
@@ -31,7 +42,7 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
     splits = v.groupBy(*group).agg(
         F.percentile_approx("_v", fracs, 10000).alias("_s"),
         F.count("*").alias("_n"))
-    tagged = v.join(splits, group).select(
+    tagged = _join(v, splits, group).select(
         *group, "_v", "_n",
         F.size(F.filter("_s", lambda s: s < F.col("_v"))).alias("_b"))
     # per-bucket counts and rank offsets (groups x buckets rows)
@@ -43,10 +54,10 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
     hit = lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_c"))
     wanted = per_bucket.where(hit(k1) | hit(k2)).select(*group, "_b", "_off", "_n")
     # exact ranks inside the wanted buckets only, equal values collapsed
-    vals = (tagged.join(wanted.select(*group, "_b"), group + ["_b"], "left_semi")
+    vals = (_join(tagged, wanted.select(*group, "_b"), group + ["_b"], "left_semi")
                   .groupBy(*group, "_b", "_v").agg(F.count("*").alias("_m")))
     wv = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (vals.join(wanted, group + ["_b"])
+    ranked = (_join(vals, wanted, group + ["_b"])
                   .withColumn("_hi", F.col("_off") + F.sum("_m").over(wv))
                   .withColumn("_lo", F.col("_hi") - F.col("_m")))
     covers = lambda k: (k >= F.col("_lo")) & (k < F.col("_hi"))

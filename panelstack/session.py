@@ -63,3 +63,13 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         spark.sparkContext.setCheckpointDir(root)
     else:
         shared_dir(spark, "init")
+
+
+def materialize(df):
+    """Cut the lineage of a DataFrame that several later passes read.
+
+    ``checkpoint`` writes it to the shared checkpoint folder (reliable: it
+    survives the loss of executors, unlike a local checkpoint or a cache).
+    """
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
