@@ -115,3 +115,29 @@ def unpivot_sql(src: str, cols, keep=(), where: str = "", feature: str = "featur
 
 def nn(cols) -> str:
     return " AND ".join(f"{c} IS NOT NULL" for c in cols)
+
+
+def short_number_sql(v: str) -> str:
+    def fmt(x, suffix):
+        return (f"(CASE WHEN {x} = floor({x}) THEN printf('%.0f', {x}) "
+                f"ELSE printf('%.1f', CAST(round(CAST({x} AS DECIMAL(38,6)), 1) AS DOUBLE)) END) || '{suffix}'")
+    return (f"CASE WHEN abs({v}) >= 1e6 THEN {fmt(f'({v} / 1e6)', 'M')} "
+            f"WHEN abs({v}) >= 1e3 THEN {fmt(f'({v} / 1e3)', 'k')} "
+            f"WHEN {v} = 0 THEN '0' ELSE {fmt(v, '')} END")
+
+
+def feature_label_cte(src: str, f: str = "feature") -> str:
+    """Nested SELECTs computing ``label`` for the feature names of ``src``."""
+    ts_re = r"'^timestep_(\d+)_(.+)$'"
+    prev_re = r"'^prev(\d*)_(.+)$'"
+    s1 = (f"SELECT *, ends_with({f}, '_is_missing') AS _miss, CASE WHEN ends_with({f}, '_is_missing') "
+          f"THEN regexp_replace({f}, '_is_missing$', '') ELSE {f} END AS _b0 FROM {src}")
+    s2 = (f"SELECT *, CASE WHEN regexp_matches(_b0, {ts_re}) THEN CAST(regexp_extract(_b0, {ts_re}, 1) AS INT) END AS _ts, "
+          f"CASE WHEN regexp_matches(_b0, {ts_re}) THEN regexp_extract(_b0, {ts_re}, 2) ELSE _b0 END AS _b1 FROM ({s1}) a")
+    s3 = (f"SELECT *, CASE WHEN regexp_matches(_b1, {prev_re}) THEN (CASE WHEN regexp_extract(_b1, {prev_re}, 1) = '' "
+          f"THEN 5 ELSE CAST(regexp_extract(_b1, {prev_re}, 1) AS INT) * 5 END) END AS _lag, "
+          f"CASE WHEN regexp_matches(_b1, {prev_re}) THEN regexp_extract(_b1, {prev_re}, 2) ELSE _b1 END AS _b2 "
+          f"FROM ({s2}) b")
+    return (f"SELECT * EXCLUDE (_miss, _b0, _ts, _b1, _lag, _b2), _b2 || CASE WHEN _lag IS NOT NULL THEN ' (last ' || _lag || 'y)' "
+            f"WHEN _ts = 0 THEN ' (current)' WHEN _ts IS NOT NULL THEN ' (last ' || (_ts * 5) || 'y)' "
+            f"ELSE ' (current)' END || CASE WHEN _miss THEN ' N/A' ELSE '' END AS label FROM ({s3}) c")

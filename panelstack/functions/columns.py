@@ -105,8 +105,10 @@ def short_number(x) -> Column:
     v = col(x).cast("double")
 
     def fmt(val: Column, suffix: str) -> Column:
+        # one decimal, rounded half-up on the decimal value (6 places)
+        tenth = F.round(val.cast("decimal(38,6)"), 1).cast("double")
         return F.when(val == F.floor(val), F.concat(F.format_string("%.0f", val), F.lit(suffix))) \
-                .otherwise(F.concat(F.format_string("%.1f", F.round(val, 1)), F.lit(suffix)))
+                .otherwise(F.concat(F.format_string("%.1f", tenth), F.lit(suffix)))
 
     return (F.when(F.abs(v) >= 1e6, fmt(v / 1e6, "M"))
              .when(F.abs(v) >= 1e3, fmt(v / 1e3, "k"))
