@@ -43,7 +43,7 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
 
 def wrap_sql(sql: str, doubles=(), double_arrays=(), digits: int = 6) -> str:
     parts = [f'round("{c}", {digits}) + 0.0 AS "{c}"' for c in doubles]
-    parts += [f'list_transform("{c}", x -> round(x, {digits}) + 0.0) AS "{c}"' for c in double_arrays]
+    parts += [f'list_transform("{c}", lambda x: round(x, {digits}) + 0.0) AS "{c}"' for c in double_arrays]
     if not parts:
         return sql
     return f"SELECT * REPLACE ({', '.join(parts)}) FROM (\n{sql}\n) AS q"
@@ -66,5 +66,5 @@ def register(name: str, sql: str | None = None, doubles=(), double_arrays=(), no
 
 def load_all() -> dict[str, Query]:
     """Import every catalog module (registration happens at import)."""
-    from . import q_core, q_clean, q_features, q_encode, q_eval  # noqa: F401
+    from . import q_core, q_clean, q_features, q_encode, q_eval, q_windows  # noqa: F401
     return REGISTRY
