@@ -9,7 +9,7 @@ inside the forecast window), otherwise the given lag values.
   data size) - one shuffle by series, no Python.
 * Any MLlib model: a step-synchronous loop - one batch ``transform`` per step
   for all series at once, lags joined from the previous steps' predictions,
-  lineage cut by a reliable checkpoint every few steps.
+  each step's predictions checkpointed (reliable) before the next step.
 """
 
 from __future__ import annotations
@@ -79,12 +79,12 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
 
 
 def rollout_stepwise(df: DataFrame, keys: Sequence[str], step: str, targets: Sequence[str],
-                     predict_fn, lag_cols: dict[str, tuple[str, int]], checkpoint_every: int = 4
-                     ) -> DataFrame:
+                     predict_fn, lag_cols: dict[str, tuple[str, int]]) -> DataFrame:
     """Recursive forecast with any batch predictor, one step of all series at a time.
 
     ``predict_fn(rows)`` returns rows with ``pred_<target>`` added.  The loop
-    length is the longest series (bounded by the time axis).
+    length is the longest series (bounded by the time axis); every step's
+    predictions are checkpointed, so no step recomputes earlier ones.
     """
     lag_cols = _lag_spec(lag_cols)
     w = Window.partitionBy(*keys).orderBy(step)
@@ -93,23 +93,26 @@ def rollout_stepwise(df: DataFrame, keys: Sequence[str], step: str, targets: Seq
     n_steps = base.agg(F.max("_k")).collect()[0][0]
     if n_steps is None:
         return df.sparkSession.createDataFrame([], df.select(*keys, step).schema)
-    done = None
+    per_step: list[DataFrame] = []
     for k in range(n_steps + 1):
         rows = base.where(F.col("_k") == k)
-        if done is not None:
-            for col, (t, lag) in lag_cols.items():
-                if lag > k:
-                    continue
-                prev = done.where(F.col("_k") == k - lag).select(
-                    *keys, F.col(f"pred_{t}").alias(f"_lag_{col}"))
-                rows = rows.join(prev, list(keys), "left") \
-                           .withColumn(col, F.coalesce(F.col(f"_lag_{col}"), F.col(col))) \
-                           .drop(f"_lag_{col}")
-        pred = predict_fn(rows).select(*keys, step, "_k", *[f"pred_{t}" for t in targets])
-        done = pred if done is None else done.unionByName(pred)
-        if (k + 1) % checkpoint_every == 0:
-            done = materialize(done)
-    return done.drop("_k")
+        by_lag: dict[int, list] = {}
+        for col, (t, lag) in lag_cols.items():
+            if lag <= k:
+                by_lag.setdefault(lag, []).append((col, t))
+        # one join per lag distance brings that step's predictions of every target
+        for lag, cols in by_lag.items():
+            prev = per_step[k - lag].select(*keys, *[F.col(f"pred_{t}").alias(f"_lag_{c}") for c, t in cols])
+            rows = rows.join(prev, list(keys), "left")
+            rows = rows.select(*[F.coalesce(F.col(f"_lag_{c}"), F.col(c)).alias(c) if c in dict(cols)
+                                 else F.col(c) for c in rows.columns if not c.startswith("_lag_")])
+        pred = predict_fn(rows).select(*keys, step, *[f"pred_{t}" for t in targets])
+        # each step's predictions feed the next steps: write them once
+        per_step.append(materialize(pred))
+    done = per_step[0]
+    for p in per_step[1:]:
+        done = done.unionByName(p)
+    return done
 
 
 def result_table(rows: DataFrame, preds: DataFrame, keys: Sequence[str], step: str,
