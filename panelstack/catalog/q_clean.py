@@ -322,3 +322,68 @@ def c18_build_panel(spark, sf_dir):
     res = build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark),
                       dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)
     return res.panel
+
+
+# ---------------------------------------------------------------- A3-A9 (sinks and stores)
+
+@register("a6_cache_panel", with_panels("yearly_wide") + " SELECT * FROM yearly_wide", doubles=VARS)
+def a6_cache_panel(spark, sf_dir):
+    """Persist the reshaped panel once (shared parquet table) and reload it for later phases."""
+    path = shared_dir(spark, "panel")
+    files.cache_panel(yearly_wide(spark, sf_dir), path)
+    return files.load_panel(spark, path)
+
+
+@register("a4_write_dataset", None, notes="versioned data set + manifest + registry, read back")
+def a4_write_dataset(spark, sf_dir):
+    root = shared_dir(spark, "datasets")
+    raw = panels.raw_wide_yearly(spark, sf_dir)
+    spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=0.4)
+    res = build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark),
+                      dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)
+    label = files.version_label("pipeline", MIN_COUNT, 0.4, ["out=3vars", "apply-base-year"],
+                                include_date=False)
+    files.write_dataset(spark, root, label, res.panel,
+                        {"var_selected": res.selected, "unit_table": res.unit_table, "stat_table": res.stats},
+                        {"min_count": MIN_COUNT, "completeness_ratio": 0.4, "output_variables": list(UP_TARGETS)})
+    return files.read_processed(spark, root, label)
+
+
+@register("a3_read_processed", None, notes="resolve a version through the registry; default fallback")
+def a3_read_processed(spark, sf_dir):
+    root = shared_dir(spark, "datasets")
+    files.write_dataset(spark, root, "v1", yearly_wide(spark, sf_dir))
+    return files.read_processed(spark, root, None, default="v1")
+
+
+@register("a5_register_version", None, notes="append-only version list, creation order kept")
+def a5_register_version(spark, sf_dir):
+    root = shared_dir(spark, "datasets")
+    w = yearly_wide(spark, sf_dir)
+    for label in ("v1", "v2", "v1"):
+        files.write_dataset(spark, root, label, w)
+    return files.read_versions(spark, root)
+
+
+@register("a8_trials_ledger", None, notes="JSON-lines ledger: append, read with schema, skip malformed")
+def a8_trials_ledger(spark, sf_dir):
+    from ..operators.model import SEARCH_KEYS
+    path = shared_dir(spark, "ledger")
+    c = Q.variable_counts(panels.raw_wide_yearly(spark, sf_dir))
+    # one trial per variable count row (derived from the data), then a malformed line
+    trials = c.select(F.lit(16).cast("long").alias("hidden_size"), F.lit(1).cast("long").alias("lstm_layers"),
+                      F.lit(0.1).alias("dropout"), (F.lit(1.0) / F.col("count")).alias("learning_rate"),
+                      F.col("count").cast("double").alias("val_loss"), F.lit(3).cast("long").alias("best_epoch"),
+                      F.col("count").cast("long").alias("trial_id"), F.lit(None).cast("string").alias("signature"),
+                      F.lit("completed").alias("status"), F.lit(1).cast("long").alias("stage"))
+    files.append_trials(trials, path)
+    spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
+    return files.read_trials(spark, path)
+
+
+@register("a9_write_metrics", None, notes="metric table written as CSV and read back")
+def a9_write_metrics(spark, sf_dir):
+    from .q_core import flagship
+    path = shared_dir(spark, "metrics")
+    files.write_metrics(flagship(spark, sf_dir), path)
+    return spark.read.option("header", True).csv(path)

@@ -190,3 +190,15 @@ def g6_rollout_stepwise_gbt(spark, sf_dir):
     lag_cols.update({f"prev2_{t}": (t, 2) for t in TARGETS})
     return R.rollout_stepwise(mf.where(F.col("split") == "test"), KEYS, "step", TARGETS,
                               lambda rows: G.predict(models, rows, FEATS), lag_cols)
+
+
+@register("a7_write_predictions", _rollout_sql("WHERE split = 'test'") + f""" SELECT te.model, te.scenario, te.region,
+  te.step, te.year, {', '.join('r.' + p for p in PRED)} FROM te JOIN r ON {ON} AND te.step = r.step""",
+          doubles=PRED)
+def a7_write_predictions(spark, sf_dir):
+    """Write the result table keyed by (run, series, step) and load it back by run id."""
+    rows, preds = _ar1(spark, sf_dir, "test")
+    path = shared_dir(spark, "predictions")
+    files.write_predictions(R.result_table(rows, preds, KEYS, "step", TARGETS), path, "run-1",
+                            keys=list(KEYS) + ["step"])
+    return files.load_predictions(spark, path, "run-1")
