@@ -50,17 +50,22 @@ def unpivot_years(df: DataFrame, lo: int = 1800, hi: int = 2300, max_year: int |
 
 def pivot_variables(long: DataFrame, variables: Sequence[str], keys: Sequence[str],
                     time: str = "year", variable: str = "variable", value: str = "value",
-                    names: Sequence[str] | None = None) -> DataFrame:
+                    names: Sequence[str] | None = None, by_series: bool = True) -> DataFrame:
     """Long -> one column per variable (mean of duplicates).
 
     Rows with a NULL key or NULL value are dropped first and only listed
     variables are kept, so no all-NULL row can appear (pivot-table rules).
     The explicit variable list avoids the extra distinct job of ``pivot``.
+    With ``by_series`` the long rows are hash-partitioned by the series keys
+    only: that partitioning satisfies the pivot's grouping (keys + time) and
+    every later per-series window, so the panel is shuffled once.
     """
     names = list(names) if names is not None else [v.lower() for v in variables]
     group = list(keys) + [time]
-    pivoted = (long.where(all_not_null(group + [value]) & F.col(variable).isin(list(variables)))
-                   .groupBy(*group).pivot(variable, list(variables)).agg(F.avg(value)))
+    rows = long.where(all_not_null(group + [value]) & F.col(variable).isin(list(variables)))
+    if by_series:
+        rows = rows.repartition(*keys)
+    pivoted = rows.groupBy(*group).pivot(variable, list(variables)).agg(F.avg(value))
     return pivoted.select(*group, *[F.col(f"`{v}`").alias(n) for v, n in zip(variables, names)])
 
 
