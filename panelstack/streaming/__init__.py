@@ -1 +1 @@
-"""panelstack."""
+"""Structured Streaming operators: none. The reference has no stream source or sink."""
