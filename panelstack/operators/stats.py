@@ -3,10 +3,12 @@
 ``exact_median`` finds the middle value(s) of every group with a bucketed
 selection: approximate splitters (``percentile_approx``) cut each group
 into ordered buckets, bucket counts give each bucket's rank offset, and
-only the one or two buckets that hold the middle ranks are ranked exactly.
-Inside those buckets equal values are pre-aggregated, so a hot value (even
-a third of all rows) is one row.  The result is exact whatever the
-splitters are; they only decide how much work the last step does.
+only the one or two buckets that hold the middle ranks go on.  A second
+level cuts those buckets again, so the final exact ranking sees about
+1/4096 of a group.  Equal values are pre-aggregated before that ranking, so
+a hot value (even a third of all rows) is one row.  The result is exact
+whatever the splitters are; they only decide how much work the last step
+does.
 """
 
 from __future__ import annotations
@@ -29,38 +31,52 @@ def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "in
 
 
 def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
-                 buckets: int = 64) -> DataFrame:
+                 buckets: int = 64, levels: int = 2, accuracy: int = 10000) -> DataFrame:
     """Median (mean of the two middle values) of ``value`` per ``group``.
 
-    NULL values are ignored; groups without values are absent.
+    NULL values are ignored; groups without values are absent.  Each level
+    cuts the rows still in play into ``buckets`` ordered buckets and keeps
+    only the bucket(s) holding the middle ranks, so after ``levels`` levels a
+    group of n rows is ranked exactly over about n / buckets**levels rows.
     Returns ``group`` columns + ``median``.
     """
     group = list(group)
     v = long.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
     fracs = [i / buckets for i in range(1, buckets)]
-    # one row per group: bucket splitters (bounded by the number of groups)
-    splits = v.groupBy(*group).agg(
-        F.percentile_approx("_v", fracs, 10000).alias("_s"),
-        F.count("*").alias("_n"))
-    tagged = _join(v, splits, group).select(
-        *group, "_v", "_n",
-        F.size(F.filter("_s", lambda s: s < F.col("_v"))).alias("_b"))
-    # per-bucket counts and rank offsets (groups x buckets rows)
-    per_bucket = tagged.groupBy(*group, "_b").agg(F.count("*").alias("_c"), F.first("_n").alias("_n"))
-    wb = Window.partitionBy(*group).orderBy("_b").rowsBetween(Window.unboundedPreceding, -1)
-    per_bucket = per_bucket.withColumn("_off", F.coalesce(F.sum("_c").over(wb), F.lit(0)))
     k1 = F.floor((F.col("_n") - 1) / 2)
     k2 = F.ceil((F.col("_n") - 1) / 2)
-    hit = lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_c"))
-    wanted = per_bucket.where(hit(k1) | hit(k2)).select(*group, "_b", "_off", "_n")
-    # exact ranks inside the wanted buckets only, equal values collapsed
-    vals = (_join(tagged, wanted.select(*group, "_b"), group + ["_b"], "left_semi")
-                  .groupBy(*group, "_b", "_v").agg(F.count("*").alias("_m")))
-    wv = Window.partitionBy(*group, "_b").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (_join(vals, wanted, group + ["_b"])
-                  .withColumn("_hi", F.col("_off") + F.sum("_m").over(wv))
-                  .withColumn("_lo", F.col("_hi") - F.col("_m")))
-    covers = lambda k: (k >= F.col("_lo")) & (k < F.col("_hi"))
+    path: list[str] = []
+    cur = v
+    wanted = None
+    for lvl in range(levels):
+        b = f"_b{lvl}"
+        keys = group + path
+        # splitters per current bucket (bounded: groups x wanted buckets rows)
+        aggs = [F.percentile_approx("_v", fracs, accuracy).alias("_s")]
+        if lvl == 0:
+            aggs.append(F.count("*").alias("_n"))
+        splits = cur.groupBy(*keys).agg(*aggs)
+        if lvl == 0:
+            wanted = splits.select(*group, "_n", F.lit(0).cast("long").alias("_off"))
+            splits = splits.drop("_n")
+        tagged = _join(cur, splits, keys).select(
+            *keys, "_v", F.size(F.filter("_s", lambda x: x < F.col("_v"))).alias(b))
+        per = tagged.groupBy(*keys, b).agg(F.count("*").alias("_c"))
+        per = _join(per, wanted.select(*keys, "_n", F.col("_off").alias("_poff")), keys)
+        wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
+        per = per.withColumn("_off", F.col("_poff") + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
+        hit = lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_c"))
+        path = path + [b]
+        wanted = per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off")
+        cur = _join(tagged, wanted.select(*group, *path), group + path, "left_semi")
+    # exact ranks inside the wanted leaf buckets only, equal values collapsed
+    leaf = group + path
+    vals = cur.groupBy(*leaf, "_v").agg(F.count("*").alias("_m"))
+    wv = Window.partitionBy(*leaf).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
+    ranked = (_join(vals, wanted, leaf)
+              .withColumn("_hi", F.col("_off") + F.sum("_m").over(wv))
+              .withColumn("_lo", F.col("_hi") - F.col("_m")))
+    covers = lambda k: (k >= F.col("_lo")) & (k < F.col("_hi"))
     picked = ranked.select(*group, F.when(covers(k1), F.col("_v")).alias("_a"),
                            F.when(covers(k2), F.col("_v")).alias("_z"))
     return picked.groupBy(*group).agg(((F.max("_a") + F.max("_z")) / 2).alias("median"))
