@@ -51,7 +51,7 @@ def resolve_scenarios(df: DataFrame, region: str, names: Sequence[str] = (),
 
 def template_model(df: DataFrame, region: str, scenarios: DataFrame) -> DataFrame:
     """The model with data for most requested scenarios in the region, else globally (ties: model)."""
-    req = df.join(F.broadcast(scenarios), "scenario", "left_semi")
+    req = df.join(scenarios, "scenario", "left_semi")
     counts = req.groupBy("model").agg(
         F.count_distinct(F.when(F.col("region") == region, F.col("scenario"))).alias("n_region"),
         F.count_distinct("scenario").alias("n_global"))
@@ -96,7 +96,7 @@ def synthesise(df: DataFrame, region: str, scenarios: DataFrame, template: str,
                targets: Sequence[str]) -> DataFrame:
     """Real rows where present, otherwise template rows rewritten for each representative."""
     cols = df.columns
-    s = F.broadcast(scenarios)
+    s = scenarios  # data-derived: AQE broadcasts it when its runtime size allows
     actual = df.where(F.col("region") == region).join(s, "scenario", "left_semi") \
                .join(reps.select("model"), "model", "left_semi")
     tpl = df.where((F.col("model") == template) & (F.col("region") == region)).join(s, "scenario", "left_semi")
@@ -116,7 +116,7 @@ def synthesise(df: DataFrame, region: str, scenarios: DataFrame, template: str,
     cand = cand.join(existing, ["model", "scenario"], "left_anti")
     lk = lookup.select("model", "year", *[F.col(c).alias(f"_lk_{c}") for c in model_cols],
                        F.lit(True).alias("_lk"))
-    cand = cand.join(F.broadcast(lk), ["model", "year"], "left")
+    cand = cand.join(lk, ["model", "year"], "left")
     out = []
     for c in cols:
         if c in model_cols:

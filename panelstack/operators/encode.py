@@ -16,11 +16,17 @@ from pyspark.sql import functions as F
 NA_TOKEN = "__NA__"
 
 
-def encode_fixed(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:
-    """Ordered fixed vocabulary (value, code) -> code; unknown -> -1."""
+def encode_fixed(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None,
+                 broadcast_vocab: bool = True) -> DataFrame:
+    """Ordered vocabulary (value, code) -> code; unknown -> -1.
+
+    A fixed vocabulary (a literal list) is broadcast; a learned one is left
+    to AQE, which broadcasts it once its runtime size is known.
+    """
     out = out or f"{col}_code"
     v = vocab.select(F.col(vocab.columns[0]).alias("_val"), F.col(vocab.columns[1]).cast("int").alias("_code"))
-    return df.join(F.broadcast(v), df[col] == F.col("_val"), "left") \
+    v = F.broadcast(v) if broadcast_vocab else v
+    return df.join(v, df[col] == F.col("_val"), "left") \
              .select(*df.columns, F.coalesce(F.col("_code"), F.lit(-1)).alias(out))
 
 
@@ -35,13 +41,15 @@ def learn_vocab(df: DataFrame, col: str) -> DataFrame:
 
 def encode_learned(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:
     """Apply a learned vocabulary (unknown values -> -1)."""
-    return encode_fixed(df, col, vocab, out)
+    return encode_fixed(df, col, vocab, out, broadcast_vocab=False)
 
 
-def decode(df: DataFrame, code_col: str, vocab: DataFrame, out: str) -> DataFrame:
+def decode(df: DataFrame, code_col: str, vocab: DataFrame, out: str,
+           broadcast_vocab: bool = False) -> DataFrame:
     """code -> label (NULL for unknown codes)."""
     v = vocab.select(F.col(vocab.columns[0]).alias(out), F.col(vocab.columns[1]).cast("int").alias("_code"))
-    return df.join(F.broadcast(v), df[code_col] == F.col("_code"), "left").drop("_code")
+    v = F.broadcast(v) if broadcast_vocab else v
+    return df.join(v, df[code_col] == F.col("_code"), "left").drop("_code")
 
 
 def union_vocab(frames: Sequence[DataFrame], col: str) -> DataFrame:

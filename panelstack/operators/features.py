@@ -158,8 +158,8 @@ def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str],
            by: str = "region_scale") -> DataFrame:
     """Fill NULLs with the group median, else the global median, else 0.0.
 
-    ``medians`` is bounded by (#groups + 1) x #cols rows, so it is pivoted to
-    one row per group and broadcast.
+    ``medians`` is pivoted to one row per group; the single global row is
+    broadcast.
     """
     cols = list(cols)
     pick = lambda c: F.max(F.when(F.col("feature") == c, F.col("median")))
@@ -167,7 +167,8 @@ def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str],
                  .agg(*[pick(c).alias(f"_m_{c}") for c in cols])
     # an aggregate without grouping always yields exactly one row
     glob = medians.where(F.col(by).isNull()).agg(*[pick(c).alias(f"_g_{c}") for c in cols])
-    out = df.join(F.broadcast(per), by, "left").crossJoin(F.broadcast(glob))
+    # per-group medians: one row per value of ``by`` (left to AQE); global: exactly one row
+    out = df.join(per, by, "left").crossJoin(F.broadcast(glob))
     filled = [F.coalesce(F.col(c), F.col(f"_m_{c}"), F.col(f"_g_{c}"), F.lit(0.0)).alias(c)
               if c in cols else F.col(c) for c in df.columns]
     return out.select(*filled)
