@@ -341,7 +341,7 @@ def a4_write_dataset(spark, sf_dir):
     spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=0.4)
     res = build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark),
                       dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)
-    label = files.version_label("pipeline", MIN_COUNT, 0.4, ["out=3vars", "apply-base-year"],
+    label = files.version_label("panel", MIN_COUNT, 0.4, ["out=3vars", "apply-base-year"],
                                 include_date=False)
     files.write_dataset(spark, root, label, res.panel,
                         {"var_selected": res.selected, "unit_table": res.unit_table, "stat_table": res.stats},

@@ -18,6 +18,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` where NULL keys match (group keys may be NULL)."""
@@ -41,7 +43,10 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
     Returns ``group`` columns + ``median``.
     """
     group = list(group)
-    v = long.select(*group, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull())
+    # every level reads the rows twice (splitters, then bucket counts): write
+    # them once so the passes never recompute the input's lineage
+    v = materialize(long.select(*group, F.col(value).cast("double").alias("_v"))
+                        .where(F.col("_v").isNotNull()))
     fracs = [i / buckets for i in range(1, buckets)]
     k1 = F.floor((F.col("_n") - 1) / 2)
     k2 = F.ceil((F.col("_n") - 1) / 2)
@@ -67,8 +72,10 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
         per = per.withColumn("_off", F.col("_poff") + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
         hit = lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_c"))
         path = path + [b]
-        wanted = per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off")
-        cur = _join(tagged, wanted.select(*group, *path), group + path, "left_semi")
+        # the chosen buckets (a few rows per group) and the rows still in play
+        # (about 1/buckets of the previous level) are cut from the lineage too
+        wanted = materialize(per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off"))
+        cur = materialize(_join(tagged, wanted.select(*group, *path), group + path, "left_semi"))
     # exact ranks inside the wanted leaf buckets only, equal values collapsed
     leaf = group + path
     vals = cur.groupBy(*leaf, "_v").agg(F.count("*").alias("_m"))
