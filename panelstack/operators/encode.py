@@ -16,6 +16,25 @@ from pyspark.sql import functions as F
 NA_TOKEN = "__NA__"
 
 
+def ordered_codes(values: DataFrame, col: str = "value", out: str = "code") -> DataFrame:
+    """0-based position of each distinct value in sorted order, without one partition.
+
+    Range partitioning sorts the values across partitions; per-partition
+    sizes (one row per partition) give offsets and a ``row_number`` inside
+    each partition adds the local position.  The partitioned values are
+    checkpointed first so both passes see the same partitions.
+    """
+    from ..session import materialize
+    r = materialize(values.select(col).repartitionByRange(col)
+                          .withColumn("_pid", F.spark_partition_id()))
+    sizes = r.groupBy("_pid").agg(F.count("*").alias("_c"))
+    w_off = Window.orderBy("_pid").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = sizes.select("_pid", F.coalesce(F.sum("_c").over(w_off), F.lit(0)).alias("_off"))
+    local = F.row_number().over(Window.partitionBy("_pid").orderBy(col))
+    return r.join(F.broadcast(offsets), "_pid") \
+            .select(col, (F.col("_off") + local - 1).cast("int").alias(out))
+
+
 def encode_fixed(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None,
                  broadcast_vocab: bool = True) -> DataFrame:
     """Ordered vocabulary (value, code) -> code; unknown -> -1.
@@ -33,10 +52,10 @@ def encode_fixed(df: DataFrame, col: str, vocab: DataFrame, out: str | None = No
 def learn_vocab(df: DataFrame, col: str) -> DataFrame:
     """Sorted distinct non-null values -> 0-based code (value, code).
 
-    The ranking runs over the distinct values only (category cardinality).
+    The ranking is distributed (``ordered_codes``).
     """
     d = df.select(F.col(col).alias("value")).where(F.col("value").isNotNull()).distinct()
-    return d.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    return ordered_codes(d)
 
 
 def encode_learned(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None) -> DataFrame:
@@ -58,8 +77,7 @@ def union_vocab(frames: Sequence[DataFrame], col: str) -> DataFrame:
     for f in frames:
         v = f.select(F.coalesce(F.col(col).cast("string"), F.lit(NA_TOKEN)).alias("value"))
         vals = v if vals is None else vals.unionByName(v)
-    d = vals.distinct()
-    return d.select("value", (F.row_number().over(Window.orderBy("value")) - 1).cast("int").alias("code"))
+    return ordered_codes(vals.distinct())
 
 
 def drop_unseen(df: DataFrame, col: str, vocab: DataFrame) -> tuple[DataFrame, DataFrame]:
