@@ -388,3 +388,14 @@ def a9_write_metrics(spark, sf_dir):
     path = shared_dir(spark, "metrics")
     files.write_metrics(flagship(spark, sf_dir), path)
     return spark.read.option("header", True).csv(path)
+
+
+@register("c11_base_year_report", with_panels("yearly_wide") + ", " + _base_years_sql(1998) + """
+SELECT count(*) AS rows_before,
+  CAST(sum(CASE WHEN e.effective_base_year IS NULL OR w.year < e.effective_base_year THEN 1 ELSE 0 END) AS BIGINT)
+    AS rows_dropped,
+  CAST(sum(CASE WHEN e.effective_base_year IS NULL OR w.year < e.effective_base_year THEN 0 ELSE 1 END) AS BIGINT)
+    AS rows_kept
+FROM yearly_wide w LEFT JOIN eff e ON w.model = e.model""")
+def c11_base_year_report(spark, sf_dir):
+    return Q.base_year_report(yearly_wide(spark, sf_dir), _effective(spark, sf_dir, 1998))

@@ -194,3 +194,9 @@ def i5_short_number(spark, sf_dir):
     totals = p.groupBy("variable", "year").agg(F.sum("value").alias("total"))
     values = p.select("variable", "year", F.col("value").alias("total")).distinct()
     return I.label_numbers(totals.unionByName(values), "total")
+
+
+@register("i3_matched_values", _region_filter_sql("afr", "exact").replace("SELECT ev.* FROM ev CROSS JOIN f",
+          "SELECT DISTINCT ev.region FROM ev CROSS JOIN f"))
+def i3_matched_values(spark, sf_dir):
+    return I.matched_values(I.filter_region(ev(spark, sf_dir), "AFR", "exact"))

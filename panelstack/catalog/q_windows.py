@@ -225,3 +225,9 @@ SELECT * FROM (SELECT DISTINCT {K} FROM sq EXCEPT SELECT DISTINCT {K} FROM hz) O
 def f13_first_dropped(spark, sf_dir):
     s = sq(spark, sf_dir)
     return W.first_dropped(horizon(spark, sf_dir, s), s, KEYS, 5)
+
+
+@register("f10_warm_start_report", _F9 + """ SELECT count(*) AS horizon_rows,
+  CAST(sum(CASE WHEN step < 5 THEN 1 ELSE 0 END) AS BIGINT) AS dropped_rows FROM ht""")
+def f10_warm_start_report(spark, sf_dir):
+    return W.warm_start_report(with_truth(spark, sf_dir), 5)

@@ -117,6 +117,16 @@ def filter_from_base_year(panel: DataFrame, effective: DataFrame) -> DataFrame:
                 .drop("effective_base_year")
 
 
+def base_year_report(panel: DataFrame, effective: DataFrame) -> DataFrame:
+    """One row: rows before, rows dropped by the base-year filter, rows kept."""
+    e = effective.select("model", "effective_base_year")
+    before = F.col("year") < F.col("effective_base_year")
+    return panel.join(e, "model", "left").agg(
+        F.count("*").alias("rows_before"),
+        F.sum(F.coalesce(before, F.lit(True)).cast("long")).alias("rows_dropped"),
+        F.sum((~F.coalesce(before, F.lit(True))).cast("long")).alias("rows_kept"))
+
+
 def completeness_filter(wide: DataFrame, variables: Sequence[str], ratio: float,
                         n_key_columns: int) -> DataFrame:
     """Keep rows with ``n_key_columns + non-null variables >= int(n_vars * ratio)``.

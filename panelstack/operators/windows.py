@@ -139,6 +139,12 @@ def warm_start_filter(horizon: DataFrame, offset: int, step: str = "step") -> Da
     return horizon.where(F.col(step) >= offset)
 
 
+def warm_start_report(horizon: DataFrame, offset: int, step: str = "step") -> DataFrame:
+    """One row: horizon rows and how many the warm-start filter drops."""
+    return horizon.agg(F.count("*").alias("horizon_rows"),
+                       F.sum((F.col(step) < offset).cast("long")).alias("dropped_rows"))
+
+
 def blend_windows(early: DataFrame, late: DataFrame, keys: Sequence[str], preds: Sequence[str],
                   step: str = "step", carry: Sequence[str] = ()) -> DataFrame:
     """Combine early- and late-window predictions per (series, step).

@@ -103,3 +103,13 @@ def test_ledger_skips_malformed_lines(spark, tmp_path):
     spark.createDataFrame([("{oops",)], "value string").write.mode("append").text(path)
     got = files.read_trials(spark, path).collect()
     assert len(got) == 1 and got[0].trial_id == 1
+
+
+def test_attach_truth_keeps_horizon_row_count(spark):
+    h = spark.createDataFrame([("s", 0, 1.0), ("s", 1, 2.0), ("t", 0, 3.0)], "k string, step long, p double")
+    test = spark.createDataFrame([("s", 0, 2020, 5.0), ("s", 0, 2019, 6.0), ("s", 1, 2021, 7.0)],
+                                 "k string, step long, year int, y double")
+    from panelstack.operators import windows as W
+    out = W.attach_truth(h, test, ["k"], ["year", "y"])
+    assert out.count() == h.count()
+    assert {(r.k, r.step): r.year for r in out.collect()}[("s", 0)] == 2019
