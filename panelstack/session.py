@@ -36,6 +36,13 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     return builder.getOrCreate()
 
 
+def _context(spark: SparkSession):
+    try:
+        return spark.sparkContext
+    except Exception:  # e.g. a Spark Connect session has no local context
+        return None
+
+
 def shared_dir(spark: SparkSession, purpose: str) -> str:
     """A fresh sub-folder of the cluster's shared checkpoint folder.
 
@@ -43,24 +50,28 @@ def shared_dir(spark: SparkSession, purpose: str) -> str:
     session without that setting (tests, a laptop) gets a private folder,
     and it is registered as the checkpoint folder so later calls agree.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    sc = _context(spark)
+    root = spark.conf.get("spark.checkpoint.dir", None) or (sc.getCheckpointDir() if sc else None)
     if not root:
-        master = spark.sparkContext.master
-        if not master.startswith("local"):
+        if sc is None or not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder on a cluster")
         root = tempfile.mkdtemp(prefix="panelstack-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", root)
-        spark.sparkContext.setCheckpointDir(root)
+        try:
+            spark.conf.set("spark.checkpoint.dir", root)
+        except Exception:  # core confs may be read-only at runtime; the context keeps it
+            pass
+        sc.setCheckpointDir(root)
     return f"{root.rstrip('/')}/{purpose}-{uuid.uuid4().hex[:12]}"
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
     """Make ``DataFrame.checkpoint()`` usable (reuses ``shared_dir`` policy)."""
-    if spark.sparkContext.getCheckpointDir():
+    sc = _context(spark)
+    if sc is None or sc.getCheckpointDir():
         return
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
-        spark.sparkContext.setCheckpointDir(root)
+        sc.setCheckpointDir(root)
     else:
         shared_dir(spark, "init")
 
