@@ -113,3 +113,15 @@ def test_attach_truth_keeps_horizon_row_count(spark):
     out = W.attach_truth(h, test, ["k"], ["year", "y"])
     assert out.count() == h.count()
     assert {(r.k, r.step): r.year for r in out.collect()}[("s", 0)] == 2019
+
+
+def test_exact_median_small_buckets_many_groups(spark):
+    rng = random.Random(11)
+    rows = []
+    for g in range(6):
+        n = rng.randint(1, 400)
+        rows += [(f"g{g}", float(rng.randint(0, 50))) for _ in range(n)]  # many ties
+    df = spark.createDataFrame(rows, "g string, value double")
+    got = {r.g: r.median for r in exact_median(df, ["g"], buckets=4, levels=3).collect()}
+    for g in {k for k, _ in rows}:
+        assert got[g] == pytest.approx(float(np.median([v for k, v in rows if k == g])))
