@@ -125,3 +125,26 @@ def test_exact_median_small_buckets_many_groups(spark):
     got = {r.g: r.median for r in exact_median(df, ["g"], buckets=4, levels=3).collect()}
     for g in {k for k, _ in rows}:
         assert got[g] == pytest.approx(float(np.median([v for k, v in rows if k == g])))
+
+
+def test_rank_trials_resume_bookkeeping(spark):
+    from panelstack.operators import model as G
+    keys = ("dropout", "hidden_size", "learning_rate", "lstm_layers")
+    schema = ("dropout double, hidden_size long, learning_rate double, lstm_layers long, "
+              "val_loss double, status string, stage string, trial_id long, signature string")
+    ledger = spark.createDataFrame([
+        (0.1, 16, 0.01, 1, 0.50, "completed", "stage1", 1, None),
+        (0.2, 16, 0.01, 1, 0.40, "completed", "stage1", 2, None),
+        (0.2, 16, 0.01, 1, 0.45, "completed", "stage1", 3, None),   # duplicate signature
+        (0.3, 32, 0.01, 2, float("nan"), "completed", "stage1", 4, None),  # not finite
+        (0.1, 16, 0.01, 1, 0.30, "completed", "stage2", 5, None),
+        (0.4, 32, 0.01, 2, 0.10, "running", "stage1", 6, None),     # not completed
+    ], schema)
+    cand = spark.createDataFrame([(0.1, 16, 0.01, 1), (0.2, 16, 0.01, 1), (0.3, 32, 0.01, 2)],
+                                 "dropout double, hidden_size long, learning_rate double, lstm_layers long")
+    out = G.rank_trials(ledger, cand, top_k=2, keys=keys)
+    assert sorted(r.dropout for r in out["stage1_remaining"].collect()) == [0.3]
+    assert [r.val_loss for r in out["stage2_candidates"].collect()] == [0.40, 0.50]
+    assert [r.dropout for r in out["stage2_remaining"].collect()] == [0.2]
+    best = out["best"].collect()[0]
+    assert best.stage == "stage2" and best.val_loss == 0.30
