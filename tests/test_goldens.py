@@ -95,3 +95,19 @@ def test_short_numbers(spark):
     df = spark.createDataFrame([(1500000.0,), (2000.0,), (0.0,), (3.4,), (2500.0,)], "v double")
     got = [r[0] for r in df.select(short_number("v")).collect()]
     assert got == ["1.5M", "2k", "0", "3.4", "2.5k"]
+
+
+def test_one_hot_unseen_is_all_zero_and_null_has_own_dummy(spark):
+    train = spark.createDataFrame([("a",), ("b",), (None,)], "c string")
+    other = spark.createDataFrame([("b",), ("z",), (None,)], "c string")
+    _, others, names = E.one_hot(train, [other], ["c"])
+    assert names == ["c_a", "c_b", "c_nan"]
+    rows = [tuple(r) for r in others[0].select(*names).collect()]
+    assert sorted(rows) == sorted([(0.0, 1.0, 0.0), (0.0, 0.0, 0.0), (0.0, 0.0, 1.0)])
+
+
+def test_union_vocab_closed_and_sorted(spark):
+    a = spark.createDataFrame([("x",), (None,)], "c string")
+    b = spark.createDataFrame([("w",), ("x",)], "c string")
+    got = [(r.value, r.code) for r in E.union_vocab([a, b], "c").orderBy("code").collect()]
+    assert got == [("__NA__", 0), ("w", 1), ("x", 2)]
