@@ -9,7 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from .jaccard_join import jaccard_components
 from .phrase_index import contamination, digests
 from .piece_codec import round_trip
+from .quality_rules import quality
 from .store import table
+from .toxicity import toxicity
+from .url_rules import judge
 
 #: The vocabulary of operator 4, a file name of the public_tokenizers package.
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -38,3 +41,18 @@ def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
+
+
+@query
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality(table(spark, sf_dir, "documents"))
