@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import line_templates
 from .jaccard_join import jaccard_components
 from .phrase_index import contamination, digests
 from .piece_codec import round_trip
@@ -17,6 +18,9 @@ from .url_rules import judge
 #: The vocabulary of operator 4, a file name of the public_tokenizers package.
 PIECE_MODEL = "piece_bpe_32k.model"
 
+#: Different texts, and neighbourhoods, in which a line template must stand to be dropped.
+LINE_TEXTS = 20
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -43,6 +47,11 @@ def op5_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard_components(table(spark, sf_dir, "documents"), words=3, percent=90)
 
 
+@query
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_templates.digests(line_templates.drop_recurring_lines(table(spark, sf_dir, "documents"), min_texts=LINE_TEXTS))
+
+
 @query
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"))
