@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import line_templates
 from .jaccard_join import jaccard_components
+from .paragraph_dedup import repeated_paragraphs
 from .phrase_index import contamination, digests
 from .piece_codec import round_trip
 from .quality_rules import quality
@@ -35,6 +36,11 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+@query
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_sentencepiece_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
