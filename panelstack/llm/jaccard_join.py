@@ -49,7 +49,7 @@ def _sketch_slot(s: np.ndarray) -> np.ndarray:
 
 def _describe(words: int):
     """Per row its set's size, fingerprint and histogram; at the end the partition's token counts."""
-    names = ["doc_id", "n", "cid", "hist", "block", "counts"]
+    names = ["doc_id", "carried", "n", "cid", "hist", "block", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -63,11 +63,11 @@ def _describe(words: int):
                     if len(s):
                         np.add.at(sketch, _sketch_slot(s), 1)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [i for i in range(len(sketch) // SKETCH_BLOCK) if sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].any()]
         k = len(blocks)
         counts = [sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes() for i in blocks]
-        yield pa.RecordBatch.from_arrays([pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.int64()), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     return run
 
@@ -350,8 +350,8 @@ def _sets_of(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links.
+def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+    """Per row of ``docs``: doc_id, n_shingles, component_id, n_links, and ``carry``, a long column to pass on.
 
     Words are maximal runs of non-white-space after lower-casing A-Z; a set holds the distinct ``words``-word
     shingles, or the whole sequence if there are fewer words. Two rows link when 100 * intersection >=
@@ -362,10 +362,11 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     64 bits stand for shingles and sets.
     """
     spark = docs.sparkSession
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    described = saved(docs.mapInArrow(_describe(words), "doc_id long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
+    carried = F.col(carry) if carry else F.lit(None)
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.cast("long").alias("carried"), F.col(text_col).alias("text"))
+    described = saved(docs.mapInArrow(_describe(words), "doc_id long, carried long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
     sketch = spark.sparkContext.broadcast(_sum_sketch(described.where("block is not null").select("block", "counts")))
-    rows = described.where("n is not null").select("doc_id", "n", "cid", "hist")
+    rows = described.where("n is not null").select("doc_id", "carried", "n", "cid", "hist")
     classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("hist").alias("hist")), "jaccard-classes")
 
     postings = docs.select("text").mapInArrow(_prefixes(words, percent, sketch), "token long, cid long, n int")
@@ -390,6 +391,7 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     classes = classes.join(counts.select("cid", "root", "n_links"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
     final = classes.join(least, "root").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    rows = rows.select("doc_id", "n", "cid")
-    whole = rows.where("n > 0").join(final, "cid").select("doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links")
-    return whole.unionByName(rows.where("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"), F.lit(0).cast("long").alias("n_links")))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *([F.col("carried").alias(carry)] if carry else [])]
+    whole = rows.drop("hist").where("n > 0").join(final, "cid").select(*out)
+    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    return whole.unionByName(empty.select(*out))

@@ -340,3 +340,26 @@ def round_trip(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_co
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(ids_hash, pa.string()), pa.array(text_hash, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+
+
+def encode_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, ids array<int>, n_tokens, and decodes: whether the ids' ``decode`` is the text (null: empty) again.
+
+    A text that holds the space mark itself decodes to spaces there, as the model can't tell them apart.
+    """
+    shared = _share(docs, model_path)
+
+    def run(batches):
+        codec = _codec(shared)
+        for batch in batches:
+            ids, same = [], []
+            for text in batch.column(1):
+                t = text.as_py() or ""
+                ids.append(np.frombuffer(codec.encode(t), np.int32))
+                same.append(codec.decode(ids[-1].tolist()) == t)
+            size = np.array([len(i) for i in ids], np.int64)
+            offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(size), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decodes"])
+
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decodes boolean")

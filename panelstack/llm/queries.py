@@ -6,13 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import line_templates
+from . import license_scan, line_templates
 from .jaccard_join import jaccard_components
 from .paragraph_dedup import repeated_paragraphs
 from .phrase_index import contamination, digests
 from .piece_codec import round_trip
 from .quality_rules import quality
 from .store import table
+from .token_files import document_tokens
 from .toxicity import toxicity
 from .url_rules import judge
 
@@ -22,6 +23,10 @@ PIECE_MODEL = "piece_bpe_32k.model"
 #: Different texts, and neighbourhoods, in which a line template must stand to be dropped.
 LINE_TEXTS = 20
 
+#: The vocabulary of operator 2 and its free id that ends documents.
+RANKS = "byte_bpe_50k.tiktoken"
+END_OF_DOCUMENT = 50256
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
 
@@ -36,6 +41,13 @@ def op1_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     return digests(contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), window=10))
 
 
+@query
+def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return document_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(RANKS), public_tokenizers.PATTERN, END_OF_DOCUMENT)
+
+
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repeated_paragraphs(table(spark, sf_dir, "documents"))
@@ -68,6 +80,14 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+@query
+def op9_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+SQL["op9_license_scans"] = license_scan.sql()
+
+
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
