@@ -27,7 +27,8 @@ CACHE_COLS = ["model", "scenario", "region", "year"] + VARS + ["model_family", "
 
 CACHE = with_panels("yearly_wide") + f""",
 cache AS (SELECT w.*, {MODEL_FAMILY_SQL} AS model_family, d.scenario_category, {REGION_SCALE_SQL} AS region_scale
-          FROM yearly_wide w LEFT JOIN {dims.SCENARIO_CATEGORY_SQL} d ON w.scenario = d.scenario),
+          FROM yearly_wide w LEFT JOIN {dims.SCENARIO_CATEGORY_SQL} d ON w.scenario = d.scenario
+          WHERE w.region <> '{REGION}' OR md5(w.model || w.scenario) >= '7'),
 scen AS (SELECT scenario FROM (VALUES {', '.join(f"('{n}')" for n in NAMES)}) t(scenario)
            WHERE scenario IN (SELECT scenario FROM cache)
          UNION SELECT scenario FROM cache WHERE region = '{REGION}'
@@ -65,6 +66,8 @@ allrows AS (SELECT * FROM actual UNION ALL SELECT * FROM synth)"""
 
 def cache(spark, sf_dir):
     w = yearly_wide(spark, sf_dir).select("*", model_family("model").alias("model_family"))
+    # holes: some (model, scenario) pairs were never observed in the region
+    w = w.where((F.col("region") != REGION) | (F.md5(F.concat("model", "scenario")) >= "7"))
     w = Q.join_scenario_category(w, dims.scenario_category(spark))
     return w.select(*CACHE_COLS[:-1], region_scale("region").alias("region_scale"))
 

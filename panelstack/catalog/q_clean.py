@@ -267,8 +267,9 @@ per_var AS (SELECT variable, count(*) AS total FROM (SELECT DISTINCT model, scen
             FROM panel_ragged) GROUP BY variable),
 present AS (SELECT variable, year, count(DISTINCT CASE WHEN value IS NOT NULL
             THEN model || '|' || scenario || '|' || region END) AS present FROM panel_ragged GROUP BY variable, year)
-SELECT p.variable, p.year, v.total, p.present, v.total - p.present AS missing
-FROM present p JOIN per_var v ON p.variable = v.variable""")
+SELECT v.variable, y.year, v.total, coalesce(p.present, 0) AS present, v.total - coalesce(p.present, 0) AS missing
+FROM per_var v CROSS JOIN (SELECT DISTINCT year FROM panel_ragged) y
+LEFT JOIN present p ON p.variable = v.variable AND p.year = y.year""")
 def c15_missing_matrix(spark, sf_dir):
     return Q.missing_matrix(panels.panel_ragged(spark, sf_dir), KEYS)
 
@@ -335,7 +336,7 @@ def a6_cache_panel(spark, sf_dir):
     return files.load_panel(spark, path)
 
 
-@register("a4_write_dataset", None, notes="versioned data set + manifest + registry, read back")
+@register("a4_write_dataset", _C18_SQL, doubles=[v.lower() for v in _SEL_VARS])
 def a4_write_dataset(spark, sf_dir):
     root = shared_dir(spark, "datasets")
     raw = panels.raw_wide_yearly(spark, sf_dir)
@@ -350,23 +351,30 @@ def a4_write_dataset(spark, sf_dir):
     return files.read_processed(spark, root, label)
 
 
-@register("a3_read_processed", None, notes="resolve a version through the registry; default fallback")
+@register("a3_read_processed", with_panels("yearly_wide") + " SELECT * FROM yearly_wide", doubles=VARS)
 def a3_read_processed(spark, sf_dir):
     root = shared_dir(spark, "datasets")
     files.write_dataset(spark, root, "v1", yearly_wide(spark, sf_dir))
     return files.read_processed(spark, root, None, default="v1")
 
 
-@register("a5_register_version", None, notes="append-only version list, creation order kept")
+@register("a5_register_version", with_panels("panel_yearly") + """
+SELECT 'panel-' || scenario AS name, row_number() OVER (ORDER BY scenario) AS seq
+FROM (SELECT DISTINCT scenario FROM panel_yearly) s""")
 def a5_register_version(spark, sf_dir):
+    """One version per scenario of the panel, each registered twice: the list keeps the first, in order."""
     root = shared_dir(spark, "datasets")
-    w = yearly_wide(spark, sf_dir)
-    for label in ("v1", "v2", "v1"):
-        files.write_dataset(spark, root, label, w)
+    names = [r.scenario for r in panels.panel_yearly(spark, sf_dir).select("scenario").distinct().orderBy("scenario").collect()]
+    for name in [*names, *names]:
+        files.register_version(spark, root, f"panel-{name}")
     return files.read_versions(spark, root)
 
 
-@register("a8_trials_ledger", None, notes="JSON-lines ledger: append, read with schema, skip malformed")
+@register("a8_trials_ledger", with_panels("raw_wide") + f""", {_COUNTS_SQL}
+SELECT CAST(16 AS BIGINT) AS hidden_size, CAST(1 AS BIGINT) AS lstm_layers, CAST(0.1 AS DOUBLE) AS dropout,
+  1.0 / CAST(count AS DOUBLE) AS learning_rate, CAST(count AS DOUBLE) AS val_loss, CAST(3 AS BIGINT) AS best_epoch,
+  count AS trial_id, CAST(NULL AS VARCHAR) AS signature, 'completed' AS status, 'stage1' AS stage FROM counts""",
+          doubles=("dropout", "learning_rate", "val_loss"))
 def a8_trials_ledger(spark, sf_dir):
     from ..operators.model import SEARCH_KEYS
     path = shared_dir(spark, "ledger")
@@ -376,7 +384,7 @@ def a8_trials_ledger(spark, sf_dir):
                       F.lit(0.1).alias("dropout"), (F.lit(1.0) / F.col("count")).alias("learning_rate"),
                       F.col("count").cast("double").alias("val_loss"), F.lit(3).cast("long").alias("best_epoch"),
                       F.col("count").cast("long").alias("trial_id"), F.lit(None).cast("string").alias("signature"),
-                      F.lit("completed").alias("status"), F.lit(1).cast("long").alias("stage"))
+                      F.lit("completed").alias("status"), F.lit("stage1").alias("stage"))
     files.append_trials(trials, path)
     spark.createDataFrame([("{not json",)], "value string").write.mode("append").text(path)
     return files.read_trials(spark, path)

@@ -20,7 +20,7 @@ from ..sources import dims, panels
 from ..sources.panels import with_panels
 from . import register
 from .sqlfrag import (METRIC_DOUBLES, MODEL_FAMILY_SQL, REGION_SCALE_SQL, REGION_TYPE_SQL,
-                      feature_label_cte, interp_select, lags_select, metric_aggs,
+                      feature_label_sql, interp_select, lags_select, metric_aggs,
                       metrics_by_region_type_sql, nn, short_number_sql, stack_sql)
 
 PREV = [f"prev_{t}" for t in TARGETS]
@@ -168,19 +168,20 @@ def i3_filter_region_prefix(spark, sf_dir):
     return I.filter_region(ev(spark, sf_dir), "R", "prefix")
 
 
-_FEATS = ["promo", "small", "standard"] + [f"prev_{t}" for t in TARGETS] + [f"prev2_{t}" for t in TARGETS]
-_FLAG_FEATS = [f"{f}_is_missing" for f in ("promo", "small", "standard")]
+# Name forms of a feature: prefix and suffix around each variable of the panel.
+_FORMS = [(p, s) for p in ("", "prev_", "prev2_", "timestep_0_", "timestep_3_", "timestep_2_prev_") for s in ("", "_is_missing")]
 
 
-@register("i4_feature_label", _TAB + f""",
-fl AS (SELECT *, {', '.join(f'CAST({f} IS NULL AS DOUBLE) AS {f}_is_missing' for f in ('promo', 'small', 'standard'))} FROM tab),
-feats AS (SELECT DISTINCT feature FROM ({' UNION ALL '.join(f"SELECT '{f}' AS feature, CAST({f} AS DOUBLE) AS v FROM fl" for f in _FEATS + _FLAG_FEATS)}) u)
-{feature_label_cte('feats')}""")
+@register("i4_feature_label", with_panels("panel_yearly") + f"""
+SELECT feature, {feature_label_sql('feature')} AS label FROM (
+  SELECT a || lower(variable) || b AS feature FROM (SELECT DISTINCT variable FROM panel_yearly) v
+  CROSS JOIN (VALUES {', '.join(f"('{a}', '{b}')" for a, b in _FORMS)}) t(a, b)) f""")
 def i4_feature_label(spark, sf_dir):
-    tab = prepare_tabular(yearly_wide(spark, sf_dir), TARGETS, KEYS, n_lags=2)
-    tab = D.add_missing_flags(tab, ["promo", "small", "standard"])
-    long = unpivot_variables(tab, _FEATS + _FLAG_FEATS, KEYS, labels=None, drop_null=False)
-    return I.label_features(long.select(F.col("variable").alias("feature")).distinct())
+    """Every name form of every variable of the panel, with its label."""
+    stem = F.lower("variable")
+    forms = F.array(*[F.concat(F.lit(a), stem, F.lit(b)) for a, b in _FORMS])
+    names = panels.panel_yearly(spark, sf_dir).select("variable").distinct()
+    return I.label_features(names.select(F.explode(forms).alias("feature")))
 
 
 @register("i5_short_number", with_panels("panel_yearly") + f"""

@@ -9,6 +9,7 @@ from __future__ import annotations
 import itertools
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators import features as D
 from ..operators import metrics as H
@@ -155,12 +156,17 @@ def g3_staged_search(spark, sf_dir):
 SEARCH = ("maxDepth", "maxIter", "stepSize", "subsamplingRate")
 
 
+def _search_schema():
+    return T.StructType([*(T.StructField(k, T.DoubleType()) for k in (*SEARCH, "val_loss")), T.StructField("stage", T.StringType()),
+                         T.StructField("status", T.StringType()), T.StructField("trial_id", T.LongType())])
+
+
 @register("g4_rank_trials", None, notes="ledger bookkeeping: remaining, top-k, best")
 def g4_rank_trials(spark, sf_dir):
     ledger_path = shared_dir(spark, "trials")
     files.append_trials(_search(spark, sf_dir), ledger_path)
-    ledger = spark.read.json(ledger_path)
-    ledger = ledger.withColumn("stage", F.when(F.col("stage") == "stage1", "stage1").otherwise("stage2"))
+    schema = _search_schema()
+    ledger = files.read_trials(spark, ledger_path, schema)
     grid = list(itertools.product([2.0, 3.0], [5.0], [0.1, 0.3], [0.8, 1.0]))
     cand = spark.createDataFrame(grid, ", ".join(f"{k} double" for k in SEARCH))
     out = G.rank_trials(ledger, cand, top_k=2, keys=SEARCH)

@@ -53,7 +53,8 @@ def stack_sql(src: str, truth: Sequence[str], pred: Sequence[str], keep: Sequenc
     names = list(names) if names is not None else list(truth)
     k = "".join(f"{c}, " for c in keep)
     return "\nUNION ALL\n".join(
-        f"SELECT {k}'{n}' AS target, CAST({t} AS DOUBLE) AS y, CAST({p} AS DOUBLE) AS p FROM {src}"
+        f"SELECT {k}'{n}' AS target, CAST({t} AS DOUBLE) AS y, CAST({p} AS DOUBLE) AS p FROM {src} "
+        f"WHERE {t} IS NOT NULL AND {p} IS NOT NULL"
         for n, t, p in zip(names, truth, pred))
 
 
@@ -100,7 +101,7 @@ def split_case(test=0.1, val=0.1) -> str:
 
 def split_sql(src: str, keys=KEYS, seed=0, test=0.1, val=0.1) -> str:
     """Rows of ``src`` with a ``split`` column (train / val / test by whole series)."""
-    on = " AND ".join(f"_s.{c} = _r.{c}" for c in keys)
+    on = " AND ".join(f"_s.{c} IS NOT DISTINCT FROM _r.{c}" for c in keys)
     return (f"SELECT _s.*, _r.split FROM {src} _s JOIN (SELECT *, {split_case(test, val)} AS split "
             f"FROM ({rank_sql(src, keys, seed)}) _k) _r ON {on}")
 
@@ -126,18 +127,10 @@ def short_number_sql(v: str) -> str:
             f"WHEN {v} = 0 THEN '0' ELSE {fmt(v, '')} END")
 
 
-def feature_label_cte(src: str, f: str = "feature") -> str:
-    """Nested SELECTs computing ``label`` for the feature names of ``src``."""
-    ts_re = r"'^timestep_(\d+)_(.+)$'"
-    prev_re = r"'^prev(\d*)_(.+)$'"
-    s1 = (f"SELECT *, ends_with({f}, '_is_missing') AS _miss, CASE WHEN ends_with({f}, '_is_missing') "
-          f"THEN regexp_replace({f}, '_is_missing$', '') ELSE {f} END AS _b0 FROM {src}")
-    s2 = (f"SELECT *, CASE WHEN regexp_matches(_b0, {ts_re}) THEN CAST(regexp_extract(_b0, {ts_re}, 1) AS INT) END AS _ts, "
-          f"CASE WHEN regexp_matches(_b0, {ts_re}) THEN regexp_extract(_b0, {ts_re}, 2) ELSE _b0 END AS _b1 FROM ({s1}) a")
-    s3 = (f"SELECT *, CASE WHEN regexp_matches(_b1, {prev_re}) THEN (CASE WHEN regexp_extract(_b1, {prev_re}, 1) = '' "
-          f"THEN 5 ELSE CAST(regexp_extract(_b1, {prev_re}, 1) AS INT) * 5 END) END AS _lag, "
-          f"CASE WHEN regexp_matches(_b1, {prev_re}) THEN regexp_extract(_b1, {prev_re}, 2) ELSE _b1 END AS _b2 "
-          f"FROM ({s2}) b")
-    return (f"SELECT * EXCLUDE (_miss, _b0, _ts, _b1, _lag, _b2), _b2 || CASE WHEN _lag IS NOT NULL THEN ' (last ' || _lag || 'y)' "
-            f"WHEN _ts = 0 THEN ' (current)' WHEN _ts IS NOT NULL THEN ' (last ' || (_ts * 5) || 'y)' "
-            f"ELSE ' (current)' END || CASE WHEN _miss THEN ' N/A' ELSE '' END AS label FROM ({s3}) c")
+def feature_label_sql(f: str) -> str:
+    """Label of a feature name: its stem, the years it looks back, and a note for missing flags."""
+    parts = (f"regexp_extract({f}, '^(timestep_([0-9]+)_)?(prev([0-9]*)_)?(.+?)(_is_missing)?$', "
+             "['at', 'step', 'back', 'lag', 'stem', 'flag'])")
+    return (f"(SELECT x.stem || CASE WHEN x.back <> '' THEN ' (last ' || 5 * CAST(if(x.lag = '', '1', x.lag) AS INT) || 'y)' "
+            f"WHEN x.at <> '' AND CAST(x.step AS INT) > 0 THEN ' (last ' || 5 * CAST(x.step AS INT) || 'y)' "
+            f"ELSE ' (current)' END || if(x.flag <> '', ' N/A', '') FROM (SELECT {parts} AS x))")

@@ -24,11 +24,6 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-def r6(c, digits: int = 6) -> Column:
-    """Round for engine-independent comparison; ``+ 0.0`` turns -0.0 into 0.0."""
-    return F.round(col(c), digits) + F.lit(0.0)
-
-
 def safe_div(num, den) -> Column:
     """num / den, NULL when the denominator is zero or NULL (ANSI-safe)."""
     d = col(den)
@@ -72,32 +67,22 @@ def all_not_null(cols: Iterable) -> Column:
     return ~any_null(cols)
 
 
+# How feature names are built, and the texts of their labels.
+FEATURE_NAME = r"^(timestep_([0-9]+)_)?(prev([0-9]*)_)?(.+?)(_is_missing)?$"
+YEARS_PER_STEP = 5
+NOW, FLAG = " (current)", " N/A"
+
+
 def feature_label(feature) -> Column:
-    """Readable label for a feature name.
+    """Label of a feature name: stem, how far it looks back, and a note for missing flags.
 
-    ``prev_x`` -> ``x (last 5y)``, ``prevN_x`` -> ``x (last 5N y)``,
-    ``timestep_k_x`` -> ``x (current)`` for k = 0 else ``x (last 5k y)``,
-    plain -> ``x (current)``; a ``_is_missing`` suffix adds `` N/A``.
+    A ``prev`` name looks back its number of steps (1 if none is given), else a ``timestep`` name its own
+    number; no step back is ``(current)``. Steps are shown in years.
     """
-    f = col(feature)
-    missing = f.endswith("_is_missing")
-    base0 = F.when(missing, F.regexp_replace(f, "_is_missing$", "")).otherwise(f)
-    ts_re = r"^timestep_(\d+)_(.+)$"
-    ts_hit = base0.rlike(ts_re)
-    ts = F.when(ts_hit, F.regexp_extract(base0, ts_re, 1).cast("int"))
-    base1 = F.when(ts_hit, F.regexp_extract(base0, ts_re, 2)).otherwise(base0)
-    prev_re = r"^prev(\d*)_(.+)$"
-    prev_hit = base1.rlike(prev_re)
-    lag_digits = F.regexp_extract(base1, prev_re, 1)
-    lag_years = F.when(prev_hit, F.when(lag_digits == "", F.lit(5))
-                       .otherwise(lag_digits.cast("int") * 5))
-    base2 = F.when(prev_hit, F.regexp_extract(base1, prev_re, 2)).otherwise(base1)
-    descriptor = (F.when(lag_years.isNotNull(),
-                         F.concat(F.lit(" (last "), lag_years.cast("string"), F.lit("y)")))
-                   .when(ts == 0, F.lit(" (current)"))
-                   .when(ts.isNotNull(), F.concat(F.lit(" (last "), (ts * 5).cast("string"), F.lit("y)")))
-                   .otherwise(F.lit(" (current)")))
-    return F.concat(base2, descriptor, F.when(missing, F.lit(" N/A")).otherwise(F.lit("")))
+    at, step, back, lag, stem, flag = (F.regexp_extract(col(feature), FEATURE_NAME, i) for i in range(1, 7))
+    steps = F.when(back != "", F.coalesce(F.nullif(lag, F.lit("")), F.lit("1"))).when((at != "") & (step != "0"), step)
+    ago = F.concat(F.lit(" (last "), (steps.cast("int") * YEARS_PER_STEP).cast("string"), F.lit("y)"))
+    return F.concat(stem, F.coalesce(ago, F.lit(NOW)), F.when(flag != "", FLAG).otherwise(""))
 
 
 def short_number(x) -> Column:
@@ -114,10 +99,3 @@ def short_number(x) -> Column:
              .when(F.abs(v) >= 1e3, fmt(v / 1e3, "k"))
              .when(v == 0, F.lit("0"))
              .otherwise(fmt(v, "")))
-
-
-def isin_or_all(c, values: Sequence | None) -> Column:
-    """Membership filter; ``None`` means no restriction."""
-    if values is None:
-        return F.lit(True)
-    return col(c).isin(list(values))

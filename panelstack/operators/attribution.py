@@ -53,16 +53,20 @@ def importance(contrib: DataFrame) -> DataFrame:
                     rank.cast("int").alias("rank"))
 
 
-def trace_lag_map(imp: DataFrame, targets: Sequence[str], top_lags: int = 20,
-                  top_inputs: int = 10) -> DataFrame:
+def trace_lag_map(imp: DataFrame, targets: Sequence[str], top_lags: int | None = None,
+                  top_inputs: int | None = None) -> DataFrame:
     """For a lag of another target among a target's strongest features, that target's
-    strongest non-lag input: (target, feature, source_target, traced_feature, renamed)."""
+    strongest non-lag input: (target, feature, source_target, traced_feature, renamed).
+    Ranks are limited only if asked for."""
+    every = F.lit(True)
+    lag_rank = every if top_lags is None else F.col("rank") <= top_lags
+    input_rank = every if top_inputs is None else F.col("rank") <= top_inputs
     lag_re = r"^prev(\d*)_(.+)$"
-    cand = imp.where((F.col("rank") <= top_lags) & F.col("feature").rlike(lag_re)) \
+    cand = imp.where(lag_rank & F.col("feature").rlike(lag_re)) \
         .select("target", "feature", F.regexp_extract("feature", lag_re, 1).alias("_n"),
                 F.regexp_extract("feature", lag_re, 2).alias("source_target")) \
         .where((F.col("source_target") != F.col("target")) & F.col("source_target").isin(list(targets)))
-    inputs = imp.where((F.col("rank") <= top_inputs) & ~F.col("feature").startswith("prev")) \
+    inputs = imp.where(input_rank & ~F.col("feature").startswith("prev")) \
         .groupBy("target").agg(F.min(F.struct("rank", "feature"))["feature"].alias("traced_feature")) \
         .withColumnRenamed("target", "source_target")
     j = cand.join(inputs, "source_target")

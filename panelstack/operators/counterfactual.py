@@ -73,6 +73,12 @@ def representatives(df: DataFrame, min_rows: int = 200,
             .where(F.col("_n") >= min_rows).select("model_family", "model")
 
 
+def dropped_families(df: DataFrame, min_rows: int = 200) -> DataFrame:
+    """Families that ``representatives`` leaves out, with their rows."""
+    return df.where(F.col("model_family").isNotNull()).groupBy("model_family").agg(F.count("*").alias("rows")) \
+             .where(F.col("rows") < min_rows)
+
+
 def feature_lookup(df: DataFrame, reps: DataFrame, cols: Sequence[str], region: str) -> DataFrame:
     """Per representative model and year: median of ``cols`` in the region when the model has
     any value there, else over all regions; then interpolated over years."""
@@ -105,12 +111,12 @@ def synthesise(df: DataFrame, region: str, scenarios: DataFrame, template: str,
     first_region = tpl_any.agg(F.min("region").alias("_fr"))
     tpl_fb = tpl_any.join(F.broadcast(first_region), F.col("region") == F.col("_fr"), "left_semi") \
                     .withColumn("region", F.lit(region))
-    has_tpl = tpl.limit(1).count() > 0
-    tpl = tpl if has_tpl else tpl_fb
-    rep_list = [(r["model"], r["model_family"]) for r in reps.collect()]  # one per family
-    fan = F.array(*[F.struct(F.lit(m).alias("m"), F.lit(f).alias("f")) for m, f in rep_list])
-    cand = tpl.select(*[c for c in cols if c not in ("model", "model_family")],
-                      F.explode(fan).alias("_rep")) \
+    none = tpl.agg((F.count("*") == 0).alias("_none"))  # one row: whether the fallback counts
+    tpl = tpl.unionByName(tpl_fb.crossJoin(F.broadcast(none)).where("_none").drop("_none"))
+    # one row that lists the families' representatives (bounded by the families)
+    fan = reps.groupBy().agg(F.collect_list(F.struct(F.col("model").alias("m"), F.col("model_family").alias("f"))).alias("_reps"))
+    cand = tpl.crossJoin(F.broadcast(fan)).select(*[c for c in cols if c not in ("model", "model_family")],
+                                                  F.explode("_reps").alias("_rep")) \
               .select("*", F.col("_rep.m").alias("model"), F.col("_rep.f").alias("model_family")).drop("_rep")
     existing = actual.select("model", "scenario").distinct()
     cand = cand.join(existing, ["model", "scenario"], "left_anti")

@@ -21,6 +21,11 @@ def stack_pairs(df: DataFrame, truth: Sequence[str], pred: Sequence[str],
     return df.select(*keep, F.inline(pairs))
 
 
+def complete(pairs: DataFrame) -> DataFrame:
+    """Pairs of which both sides exist: only they count in a metric, in every term of it."""
+    return pairs.where(F.col("y").isNotNull() & F.col("p").isNotNull())
+
+
 def _metric_cols(n_targets: int) -> list[Column]:
     y, p = F.col("y"), F.col("p")
     err2 = (y - p) * (y - p)
@@ -38,8 +43,8 @@ def _metric_cols(n_targets: int) -> list[Column]:
 
 
 def metrics(df: DataFrame, truth: Sequence[str], pred: Sequence[str]) -> DataFrame:
-    """MSE, Pearson, R2, MAE, RMSE over all rows x targets; sample size = rows."""
-    return stack_pairs(df, truth, pred).agg(*_metric_cols(len(truth)))
+    """MSE, Pearson, R2, MAE, RMSE over all complete pairs; sample size = pairs by target."""
+    return complete(stack_pairs(df, truth, pred)).agg(*_metric_cols(len(truth)))
 
 
 def metrics_by_region_type(df: DataFrame, truth: Sequence[str], pred: Sequence[str],
@@ -48,7 +53,7 @@ def metrics_by_region_type(df: DataFrame, truth: Sequence[str], pred: Sequence[s
 
     ``rollup`` gives the grouping sets ((), (region_type)) in one aggregate.
     """
-    long = stack_pairs(df.withColumn("_rt", region_type_expr(region)), truth, pred, keep=["_rt"])
+    long = complete(stack_pairs(df.withColumn("_rt", region_type_expr(region)), truth, pred, keep=["_rt"]))
     out = long.rollup("_rt").agg(F.grouping("_rt").alias("_g"), *_metric_cols(len(truth)))
     return out.select(F.when(F.col("_g") == 1, F.lit("Overall")).otherwise(F.col("_rt"))
                       .alias("region_type"), "mse", "pearson", "r2", "mae", "rmse", "sample_size")

@@ -187,10 +187,10 @@ def rank_trials(ledger: DataFrame, candidates: DataFrame, top_k: int,
             "stage2_remaining": stage2_remaining, "best": best}
 
 
-def best_per(trials: DataFrame, group: str, loss: str = "val_loss") -> DataFrame:
-    """Best (lowest finite loss) trial per group value."""
+def best_per(trials: DataFrame, group: str, loss: str = "val_loss", tie: str = "trial_id") -> DataFrame:
+    """Best (lowest finite loss, then lowest trial id) trial per group value."""
     ok = trials.where(F.col(loss).isNotNull() & ~F.isnan(loss) & (F.abs(loss) != float("inf")))
-    w = Window.partitionBy(group).orderBy(loss)
+    w = Window.partitionBy(group).orderBy(loss, *([tie] if tie in trials.columns else []))
     return ok.withColumn("_r", F.row_number().over(w)).where(F.col("_r") == 1).drop("_r")
 
 

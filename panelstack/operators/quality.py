@@ -23,18 +23,18 @@ def variable_counts(raw: DataFrame, variable: str = "variable") -> DataFrame:
 
 def join_classification(counts: DataFrame, classification: DataFrame,
                         variable: str = "variable") -> DataFrame:
-    """Attach type and model type (left join; the classification is a fixed dimension)."""
-    return counts.join(F.broadcast(classification), variable, "left")
+    """Attach type and model type (left join); the first row of a repeated variable counts."""
+    return counts.join(first_rows(classification, [variable]), variable, "left")
 
 
-def select_variables(classified: DataFrame, min_count: int, outputs: Sequence[str],
+def select_variables(classified: DataFrame, min_count: int | None, outputs: Sequence[str],
                      include_intermediate: bool = False, default_min_count: int = 10100,
                      variable: str = "variable") -> DataFrame:
     """count >= min and (input, or an output, or optionally intermediate).
 
-    ``min_count`` 0 means "use the default" (as in the source pipeline).
+    ``min_count`` None means "use the default"; 0 keeps every count.
     """
-    m = min_count or default_min_count
+    m = default_min_count if min_count is None else min_count
     keep = (F.col("type") == "input") | F.col(variable).isin(list(outputs))
     if include_intermediate:
         keep = keep | (F.col("type") == "intermediate")
@@ -47,13 +47,16 @@ def keep_selected(raw: DataFrame, selected: DataFrame, variable: str = "variable
 
 
 def join_scenario_category(df: DataFrame, categories: DataFrame) -> DataFrame:
-    return df.join(F.broadcast(categories), "scenario", "left")
+    """Left join the category per scenario; the first row of a repeated scenario counts."""
+    return df.join(first_rows(categories, ["scenario"]), "scenario", "left")
 
 
-def dedupe_first(dim: DataFrame, keys: Sequence[str], order: str) -> DataFrame:
-    """Keep the first row per key by ``order`` (a min over a struct: no window, no sort)."""
-    others = [c for c in dim.columns if c not in keys and c != order]
-    first = F.min(F.struct(F.col(order), *[F.col(c) for c in others])).alias("_f")
+def first_rows(dim: DataFrame, keys: Sequence[str], order: str = "file_order") -> DataFrame:
+    """One row per key, so that a join never repeats rows: the first by ``order`` if the table has it,
+    else the smallest by its other columns. Left to AQE to broadcast by its measured size."""
+    by = order if order in dim.columns else None
+    others = [c for c in dim.columns if c not in keys and c != by]
+    first = F.min(F.struct(*([F.col(by)] if by else []), *[F.col(c) for c in others])).alias("_f")
     return dim.groupBy(*keys).agg(first).select(*keys, *[F.col(f"_f.{c}").alias(c) for c in others])
 
 
@@ -62,8 +65,8 @@ def join_ssp_family(df: DataFrame, ssp: DataFrame, order: str = "file_order") ->
     need = {"model", "scenario", "ssp_family"}
     if not need.issubset(ssp.columns):
         raise KeyError(f"SSP families metadata missing columns: {sorted(need - set(ssp.columns))}")
-    dim = dedupe_first(ssp, ["model", "scenario"], order)
-    return df.join(F.broadcast(dim), ["model", "scenario"], "left")
+    dim = first_rows(ssp, ["model", "scenario"], order)
+    return df.join(dim, ["model", "scenario"], "left")
 
 
 def normalise_units(long: DataFrame, rules: DataFrame, unit: str = "unit",
@@ -96,11 +99,12 @@ def effective_base_year(panel: DataFrame, base_years: DataFrame, default_year: i
     """Per model: declared base year (else default), raised to the first available year >= it.
 
     ``base_years`` (model, base_year text) may hold blanks or duplicates; the
-    first parsable value per model is used.  Models with no year at or after
+    first parsable value per model is used (by ``file_order`` if the table has it, else by its text).  Models with no year at or after
     the candidate get ``none_year``.
     """
-    declared = base_years.select("model", F.expr("try_cast(trim(base_year) AS INT)").alias("_b")) \
-        .groupBy("model").agg(F.first("_b", ignorenulls=True).alias("_b"))
+    order = F.col("file_order") if "file_order" in base_years.columns else F.col("base_year")
+    declared = base_years.select("model", F.expr("try_cast(trim(base_year) AS INT)").alias("_b"), order.alias("_o")) \
+        .where(F.col("_b").isNotNull()).groupBy("model").agg(F.min_by("_b", "_o").alias("_b"))
     years = panel.select("model", "year").where(F.col("year").isNotNull()).distinct()
     j = years.join(declared, "model", "left") \
         .withColumn("_cand", F.coalesce(F.col("_b"), F.lit(default_year)))
@@ -166,15 +170,17 @@ def missing_matrix(long: DataFrame, keys: Sequence[str], time: str = "year",
     """NULL pattern per variable x year over the series-by-variable grid.
 
     A cell is missing when a series has the variable but no value for that
-    year.  The grid holds every (variable, year) pair seen in the data; all
-    joins are equi-joins on the variable.
+    year.  The grid is rectangular: every variable with every year of the data,
+    a cell without any row counting all its series as missing.
     """
     per_var = long.select(*keys, variable).distinct().groupBy(variable) \
         .agg(F.count("*").alias("total"))
     present = long.groupBy(variable, time).agg(
         F.count_distinct(F.when(F.col(value).isNotNull(), F.struct(*keys))).alias("present"))
-    return present.join(per_var, variable) \
-        .select(variable, time, "total", "present",
+    years = long.where(F.col(time).isNotNull()).agg(F.sort_array(F.collect_set(time)).alias("_years"))  # one row
+    grid = per_var.crossJoin(F.broadcast(years)).select(variable, "total", F.explode("_years").alias(time))
+    return grid.join(present, [variable, time], "left") \
+        .select(variable, time, "total", F.coalesce("present", F.lit(0)).cast("long").alias("present")).select(variable, time, "total", "present",
                 (F.col("total") - F.col("present")).alias("missing"))
 
 

@@ -5,7 +5,8 @@ rank is computed in a distributed way: the first three hex digits of the
 hash form 4096 ordered buckets; bucket sizes (4096 rows at most) give each
 bucket's offset, and a ``row_number`` inside each bucket adds the local
 rank.  md5 spreads distinct keys evenly, so no bucket is hot.  Only the
-distinct series keys are ranked, then joined back to the rows.
+distinct series keys are ranked, then joined back to the rows; NULL keys
+are series like others and match in that join.
 """
 
 from __future__ import annotations
@@ -15,6 +16,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .stats import null_safe_join
+
 
 def seeded_hash(keys: Sequence[str], seed) -> Column:
     return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.col(k).cast("string") for k in keys]))
@@ -49,7 +52,7 @@ def split_by_series(df: DataFrame, keys: Sequence[str], test_size: float = 0.1,
     label = (F.when(F.col("rank") < n_train, F.lit("train"))
               .when(F.col("rank") < n_train + n_val, F.lit("val"))
               .otherwise(F.lit("test")))
-    return df.join(r.select(*keys, label.alias(out)), list(keys))
+    return null_safe_join(df, r.select(*keys, label.alias(out)), list(keys))
 
 
 def group_kfold(df: DataFrame, keys: Sequence[str], k: int, seed=42, out: str = "fold") -> DataFrame:
@@ -64,7 +67,7 @@ def group_kfold(df: DataFrame, keys: Sequence[str], k: int, seed=42, out: str =
     big = rem * (q + 1)
     fold = F.when(rank < big, F.floor(rank / (q + 1))) \
             .otherwise(rem + F.floor((rank - big) / q))
-    return df.join(r.select(*keys, fold.cast("int").alias(out)), list(keys))
+    return null_safe_join(df, r.select(*keys, fold.cast("int").alias(out)), list(keys))
 
 
 def holdout_series(df: DataFrame, keys: Sequence[str], frac: float = 0.1, seed=0,
@@ -72,10 +75,10 @@ def holdout_series(df: DataFrame, keys: Sequence[str], frac: float = 0.1, seed=0
     """Flag ``round(frac * n)`` series (half to even) as the monitoring subset."""
     r = rank_groups(df, keys, seed)
     m = F.bround(F.col("n") * F.lit(frac), 0)
-    return df.join(r.select(*keys, (F.col("rank") < m).alias(out)), list(keys))
+    return null_safe_join(df, r.select(*keys, (F.col("rank") < m).alias(out)), list(keys))
 
 
-def sample_groups(df: DataFrame, keys: Sequence[str], max_groups: int = 300, seed=0) -> DataFrame:
+def sample_groups(df: DataFrame, keys: Sequence[str], max_groups: int, seed=0) -> DataFrame:
     """At most ``max_groups`` whole groups: the distinct keys kept, with totals."""
     r = rank_groups(df, keys, seed)
     return r.where(F.col("rank") < max_groups).select(

@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 
-def _join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
+def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
     """Equi-join on ``cols`` where NULL keys match (group keys may be NULL)."""
     r = right.select(*[F.col(c).alias(f"_r_{c}") if c in cols else F.col(c) for c in right.columns])
     cond = None
@@ -64,10 +64,10 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
         if lvl == 0:
             wanted = splits.select(*group, "_n", F.lit(0).cast("long").alias("_off"))
             splits = splits.drop("_n")
-        tagged = _join(cur, splits, keys).select(
+        tagged = null_safe_join(cur, splits, keys).select(
             *keys, "_v", F.size(F.filter("_s", lambda x: x < F.col("_v"))).alias(b))
         per = tagged.groupBy(*keys, b).agg(F.count("*").alias("_c"))
-        per = _join(per, wanted.select(*keys, "_n", F.col("_off").alias("_poff")), keys)
+        per = null_safe_join(per, wanted.select(*keys, "_n", F.col("_off").alias("_poff")), keys)
         wb = Window.partitionBy(*keys).orderBy(b).rowsBetween(Window.unboundedPreceding, -1)
         per = per.withColumn("_off", F.col("_poff") + F.coalesce(F.sum("_c").over(wb), F.lit(0)))
         hit = lambda k: (k >= F.col("_off")) & (k < F.col("_off") + F.col("_c"))
@@ -75,12 +75,12 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
         # the chosen buckets (a few rows per group) and the rows still in play
         # (about 1/buckets of the previous level) are cut from the lineage too
         wanted = materialize(per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off"))
-        cur = materialize(_join(tagged, wanted.select(*group, *path), group + path, "left_semi"))
+        cur = materialize(null_safe_join(tagged, wanted.select(*group, *path), group + path, "left_semi"))
     # exact ranks inside the wanted leaf buckets only, equal values collapsed
     leaf = group + path
     vals = cur.groupBy(*leaf, "_v").agg(F.count("*").alias("_m"))
     wv = Window.partitionBy(*leaf).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
-    ranked = (_join(vals, wanted, leaf)
+    ranked = (null_safe_join(vals, wanted, leaf)
               .withColumn("_hi", F.col("_off") + F.sum("_m").over(wv))
               .withColumn("_lo", F.col("_hi") - F.col("_m")))
     covers = lambda k: (k >= F.col("_lo")) & (k < F.col("_hi"))

@@ -9,7 +9,7 @@ variable catalogue), needed because it becomes column names.
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,15 +22,14 @@ from ..operators.reshape import pivot_variables, unpivot_years
 @dataclass(frozen=True)
 class BuildSpec:
     outputs: tuple
-    min_count: int = 0
+    min_count: int | None = None
     completeness_ratio: float = 0.4
     include_intermediate: bool = False
-    max_year: int | None = 2100
+    max_year: int | None = None  # the build keeps every year; a cut-off belongs to the reload
     default_base_year: int = 2020
     keys: tuple = ("model", "scenario", "scenario_category", "region")
     strict_units: bool = False
     variables: tuple | None = None  # selected variables if already known
-    extra: dict = field(default_factory=dict)
 
 
 @dataclass
@@ -40,6 +39,7 @@ class BuildResult:
     selected: DataFrame         # selected variables
     unit_table: DataFrame
     stats: DataFrame            # counts + pct_missing
+    conflicts: DataFrame        # series with more than one unit
     variables: list
 
 
@@ -57,7 +57,7 @@ def build_panel(spark: SparkSession, raw: DataFrame, classification: DataFrame,
     with_cat = Q.join_scenario_category(kept, categories)
     long = unpivot_years(with_cat, max_year=spec.max_year)
     long = Q.normalise_units(long, rules)
-    Q.unit_conflicts(long.where(F.col("value").isNotNull()), strict=spec.strict_units)
+    conflicts = Q.unit_conflicts(long.where(F.col("value").isNotNull()), strict=spec.strict_units)
     units = Q.unit_table(with_cat, [c for c in with_cat.columns if c.strip().isdigit()])
     names = [v.lower() for v in variables]
     wide = pivot_variables(long, variables, list(spec.keys), names=names)
@@ -65,7 +65,7 @@ def build_panel(spark: SparkSession, raw: DataFrame, classification: DataFrame,
     wide = Q.filter_from_base_year(wide, eff)
     wide = Q.completeness_filter(wide, names, spec.completeness_ratio, n_key_columns=len(spec.keys) + 1)
     stats = Q.missing_stats(wide, names, classified, labels=variables)
-    return BuildResult(wide, classified, selected, units, stats, variables)
+    return BuildResult(wide, classified, selected, units, stats, conflicts, variables)
 
 
 def series_wide(panel: DataFrame, names: list, keys=("model", "scenario", "scenario_category", "region"),

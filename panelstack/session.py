@@ -6,7 +6,6 @@ the knobs that matter at scale (AQE, skew handling, UTC, no UI).
 
 from __future__ import annotations
 
-import os
 import tempfile
 import uuid
 
@@ -22,17 +21,17 @@ def get_spark(master: str | None = None, shuffle_partitions: int | None = None,
     builder = SparkSession.builder.appName(app_name)
     if master:
         builder = builder.master(master)
-    parts = shuffle_partitions or int(os.environ.get("PANELSTACK_SHUFFLE_PARTITIONS", "8"))
     builder = (
         builder
         .config("spark.ui.enabled", "false")
         .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.shuffle.partitions", str(parts))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.adaptive.coalescePartitions.enabled", "true")
         .config("spark.sql.adaptive.skewJoin.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
     )
+    if shuffle_partitions:  # else Spark's own setting, which AQE coalesces
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
     return builder.getOrCreate()
 
 

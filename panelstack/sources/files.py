@@ -153,7 +153,7 @@ TRIALS_SCHEMA = T.StructType([
     T.StructField("trial_id", T.LongType()),
     T.StructField("signature", T.StringType()),
     T.StructField("status", T.StringType()),
-    T.StructField("stage", T.LongType()),
+    T.StructField("stage", T.StringType()),
 ])
 
 
