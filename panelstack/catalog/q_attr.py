@@ -85,7 +85,9 @@ def j1_linear_attribution(spark, sf_dir):
 
 @register("j2_importance", _CONTRIB + " SELECT * FROM imp", doubles=["mean_abs", "importance"])
 def j2_importance(spark, sf_dir):
-    return J.importance(contributions(spark, sf_dir))
+    sp = _split_tab(spark, sf_dir)
+    tr = sp.where(F.col("split") == "train")
+    return J.linear_importance(sp.where(F.col("split") == "test"), FJ, J.univariate_slopes(tr, TARGETS, FJ), J.feature_means(tr, FJ))
 
 
 @register("j3_trace_lag_map", _CONTRIB + _MAP + " SELECT * FROM lagmap")

@@ -43,9 +43,24 @@ def linear_attribution(rows: DataFrame, keep: Sequence[str], features: Sequence[
                     (F.col("coefficient") * (x - F.col("mean"))).alias("contribution"))
 
 
+def linear_importance(rows: DataFrame, features: Sequence[str], coefficients: DataFrame, means: DataFrame) -> DataFrame:
+    """``importance`` of a linear model without its contributions: a coefficient is the same for all rows, so
+    mean |c (x - m)| = |c| mean |x - m|, one aggregate with a column for each feature."""
+    features = list(features)
+    centres = means.agg(*[F.max(F.when(F.col("feature") == f, F.col("mean"))).alias(f"_m_{f}") for f in features])  # one row
+    away = [F.avg(F.abs(F.coalesce(F.col(f).cast("double"), F.col(f"_m_{f}")) - F.col(f"_m_{f}"))).alias(f) for f in features]
+    spread = rows.select(*features).crossJoin(F.broadcast(centres)).agg(*away).unpivot([], features, "feature", "_away")
+    c = coefficients.where(F.col("feature") != "(intercept)").select("target", "feature", "coefficient")
+    return _ranked(c.join(spread, "feature").where(F.col("_away").isNotNull())
+                    .select("target", "feature", (F.abs("coefficient") * F.col("_away")).alias("mean_abs")))
+
+
 def importance(contrib: DataFrame) -> DataFrame:
     """Mean |contribution| per target and feature, normalised to sum 1 per target, ranked."""
-    m = contrib.groupBy("target", "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs"))
+    return _ranked(contrib.groupBy("target", "feature").agg(F.avg(F.abs("contribution")).alias("mean_abs")))
+
+
+def _ranked(m: DataFrame) -> DataFrame:
     tot = F.sum("mean_abs").over(Window.partitionBy("target"))
     rank = F.row_number().over(Window.partitionBy("target").orderBy(F.desc("mean_abs"), "feature"))
     return m.select("target", "feature", "mean_abs",

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import checked_broadcast
+
 from ..functions.columns import any_null, col
 from .stats import exact_median_wide
 
@@ -167,8 +169,8 @@ def impute(df: DataFrame, medians: DataFrame, cols: Sequence[str],
                  .agg(*[pick(c).alias(f"_m_{c}") for c in cols])
     # an aggregate without grouping always yields exactly one row
     glob = medians.where(F.col(by).isNull()).agg(*[pick(c).alias(f"_g_{c}") for c in cols])
-    # per-group medians: one row per value of ``by`` (left to AQE); global: exactly one row
-    out = df.join(per, by, "left").crossJoin(F.broadcast(glob))
+    # per-group medians: one row per value of ``by``, broadcast if few; global: exactly one row
+    out = df.join(checked_broadcast(per), by, "left").crossJoin(F.broadcast(glob))
     filled = [F.coalesce(F.col(c), F.col(f"_m_{c}"), F.col(f"_g_{c}"), F.lit(0.0)).alias(c)
               if c in cols else F.col(c) for c in df.columns]
     return out.select(*filled)

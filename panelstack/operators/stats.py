@@ -18,7 +18,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize
+from ..session import checked_broadcast, materialize
 
 
 def null_safe_join(left: DataFrame, right: DataFrame, cols: Sequence[str], how: str = "inner") -> DataFrame:
@@ -64,7 +64,8 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
         if lvl == 0:
             wanted = splits.select(*group, "_n", F.lit(0).cast("long").alias("_off"))
             splits = splits.drop("_n")
-        tagged = null_safe_join(cur, splits, keys).select(
+        # a row per group: broadcast if few, so that rows are not dealt out by a handful of keys
+        tagged = null_safe_join(cur, checked_broadcast(splits), keys).select(
             *keys, "_v", F.size(F.filter("_s", lambda x: x < F.col("_v"))).alias(b))
         per = tagged.groupBy(*keys, b).agg(F.count("*").alias("_c"))
         per = null_safe_join(per, wanted.select(*keys, "_n", F.col("_off").alias("_poff")), keys)
@@ -74,7 +75,7 @@ def exact_median(long: DataFrame, group: Sequence[str], value: str = "value",
         path = path + [b]
         # the chosen buckets (a few rows per group) and the rows still in play
         # (about 1/buckets of the previous level) are cut from the lineage too
-        wanted = materialize(per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off"))
+        wanted = checked_broadcast(per.where(hit(k1) | hit(k2)).select(*group, *path, "_n", "_off"))
         cur = materialize(null_safe_join(tagged, wanted.select(*group, *path), group + path, "left_semi"))
     # exact ranks inside the wanted leaf buckets only, equal values collapsed
     leaf = group + path

@@ -75,6 +75,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         shared_dir(spark, "init")
 
 
+#: Rows up to which a counted table of small rows is broadcast.
+BROADCAST_ROWS = 10_000
+
+
+def checked_broadcast(df):
+    """Write the table once, count it, and hint a broadcast only if it has few rows; AQE decides beyond that."""
+    from pyspark.sql import functions as F
+
+    df = materialize(df)
+    return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
+
+
 def materialize(df):
     """Cut the lineage of a DataFrame that several later passes read.
 
