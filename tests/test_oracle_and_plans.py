@@ -7,6 +7,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as entry
+from panelstack.catalog import load_all
 
 SF_SMALL = "/root/testdata/sf0.001"
 
@@ -14,7 +15,10 @@ TABLES = ("region nation customer supplier part orders lineitem events documents
           "pages benchmark labels conversations").split()
 SAMPLE = ["flagship_naive_forecast", "c18_build_panel", "d1_interpolate", "d13_impute", "e8_scale",
           "s2_group_kfold", "f11_blend_windows", "g6_rollout_linear", "h2_metrics_by_region_type",
-          "i3_filter_region_contains", "j3_trace_lag_contributions", "k9_infer_region"]
+          "i3_filter_region_contains", "j3_trace_lag_contributions", "k9_infer_region",
+          "a5_register_version", "a8_trials_ledger", "c8_unit_conflicts_mixed", "e5_unseen_models",
+          "f12_with_fallback_series", "f13_coverage_report_gap", "g5_best_per_stage",
+          "h1_metrics_null_predictions", "i4_feature_label", "k6_synthesise", "s1_split_null_key"]
 
 
 def _norm(v):
@@ -36,7 +40,9 @@ def duck():
 def test_every_query_has_oracle_or_is_marked():
     qs, sqls = entry.queries(), entry.oracle_sql()
     assert set(sqls) <= set(qs)
-    assert len(sqls) >= 100
+    without = {name for name, q in load_all().items() if not q.sql}
+    assert all(load_all()[name].notes for name in without)
+    assert {name[:2] for name in without} <= {"g1", "g2", "g3", "g4", "g5", "g6", "j1", "a9"}
 
 
 @pytest.mark.parametrize("name", SAMPLE)
@@ -57,7 +63,7 @@ def _plan(df):
 
 @pytest.mark.parametrize("name", ["flagship_naive_forecast", "d13_impute", "f11_blend_windows",
                                   "k6_synthesise", "j2_importance"])
-def test_no_python_udf_and_no_single_partition_row_exchange(spark, name):
+def test_no_python_in_plans(spark, name):
     df = entry.queries()[name](spark, SF_SMALL)
     plan = _plan(df)
     for bad in ("BatchEvalPython", "ArrowEvalPython", "PythonUDF", "FlatMapGroupsInPandas"):
