@@ -12,6 +12,7 @@ from ..operators import features as D
 from ..operators import metrics as H
 from ..operators import model as G
 from ..operators import quality as Q
+from ..operators import rollout as R
 from ..operators import split as S
 from ..operators import windows as W
 from ..plans.base import KEYS, TARGETS, VARS, yearly_wide
@@ -19,11 +20,13 @@ from ..plans.prepare import prepare_tabular
 from ..sources import dims, panels
 from ..sources.panels import with_panels
 from . import register
+from .q_cf import _K9, synthetic
 from .q_clean import _COUNTS_SQL
 from .q_encode import YP_SPLIT, yp_split
 from .q_eval import _TAB, PREV
 from .q_features import RP, rp_split
-from .q_windows import _HZ, K, PRED, SEQ_DOUBLES, SQ, horizon, sq
+from .q_models import _rollout_sql, sq_split
+from .q_windows import _ED_ALL, _HZ, ENC, K, MAXDEC, MINDEC, PRED, SEQ_DOUBLES, SQ, horizon, sq
 from .sqlfrag import METRIC_DOUBLES, metric_aggs, split_sql, stack_sql
 
 #: The part of the keys whose hash begins with 8 to f.
@@ -162,3 +165,57 @@ def s1_split_null_key(spark, sf_dir):
     """Series whose scenario is NULL are split like all others."""
     w = yearly_wide(spark, sf_dir).withColumn("scenario", F.nullif("scenario", F.lit("AUTOMOBILE")))
     return S.split_by_series(w, KEYS, 0.1, 0.1, seed=0)
+
+
+_IN_SAMPLE = "CASE WHEN rel < 0 THEN economy END"
+_SAMPLE = f"OVER (PARTITION BY {K}, sample)"
+
+
+@register("e9_normalise_samples", f"""WITH ed AS ({_ED_ALL}),
+c AS (SELECT *, avg({_IN_SAMPLE}) {_SAMPLE} AS economy_norm_center, CASE WHEN stddev_pop({_IN_SAMPLE}) {_SAMPLE} = 0 THEN 1.0
+  ELSE stddev_pop({_IN_SAMPLE}) {_SAMPLE} END AS economy_norm_scale FROM ed)
+SELECT *, (economy - economy_norm_center) / economy_norm_scale AS economy_norm FROM c""",
+          doubles=[*TARGETS, "economy_norm_center", "economy_norm_scale", "economy_norm"])
+def e9_normalise_samples(spark, sf_dir):
+    """Every encoder / decoder sample in the units of its own encoder rows."""
+    samples = W.encoder_decoder_windows(sq(spark, sf_dir), KEYS, "year", TARGETS, ENC, MAXDEC, MINDEC, "all")
+    return E.normalise_samples(samples, "economy", KEYS)
+
+
+def scaled_rollout(train, rows, step, lags, keys=KEYS):
+    """Scale targets and lags by their own training means and deviations, fit, roll out and scale back.
+
+    A prediction leaves the target's scaled space and enters the lag's at every step. Returns keys, step and
+    ``pred_<target>`` in raw units.
+    """
+    cols = [*lags.values(), *lags]
+    stats = train.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
+    m = {c: stats[f"{c}_m"] for c in cols}
+    s = {c: stats[f"{c}_s"] or 1.0 for c in cols}
+    scale = {c: ((F.col(c) - m[c]) / s[c]) for c in cols}
+    fit = G.fit_one_feature(train.withColumns(scale), {t: p for p, t in lags.items()})
+    coefs = []
+    for r in fit.collect():  # one row per target
+        coefs += [(r["target"], "(intercept)", r["intercept"]), (r["target"], r["feature"], r["slope"])]
+    enter = {p: (s[t] / s[p], (m[t] - m[p]) / s[p]) for p, t in lags.items()}
+    preds = R.rollout_linear(rows.withColumns(scale), list(keys), step, list(lags.values()), coefs, {p: (t, 1) for p, t in lags.items()}, enter)
+    return preds.select(*keys, step, *[(F.col(f"pred_{t}") * s[t] + m[t]).alias(f"pred_{t}") for t in lags.values()])
+
+
+@register("g6_rollout_scaled", _rollout_sql("WHERE split = 'test'") + f" SELECT {K}, step, " + ", ".join(PRED) + " FROM r", doubles=PRED)
+def g6_rollout_scaled(spark, sf_dir):
+    """Fitting and rolling out in scaled spaces gives, in raw units, what the raw fit gives."""
+    sp = sq_split(spark, sf_dir)
+    return scaled_rollout(sp.where("split = 'train'"), sp.where("split = 'test'"), "step", {f"prev_{t}": t for t in TARGETS})
+
+
+@register("k9_infer_region_scaled", _K9, doubles=PRED)
+def k9_infer_region_scaled(spark, sf_dir):
+    """Counterfactual rows -> lags -> centre-imputed -> scaled fit and rollout -> raw units."""
+    c, made = synthetic(spark, sf_dir)
+    hs = D.require_history(D.add_lags(made, TARGETS, 1, KEYS), 1, KEYS)
+    prevs = [f"prev_{t}" for t in TARGETS]
+    centres = E.fit_scaler(c, TARGETS).select(*[F.col(f"{t}_mean").alias(f"prev_{t}") for t in TARGETS])
+    train = D.add_lags(c, TARGETS, 1, KEYS)
+    out = scaled_rollout(train, D.impute_with_center(hs, centres, prevs), "year", dict(zip(prevs, TARGETS)))
+    return out.withColumn("year", F.col("year").cast("int"))

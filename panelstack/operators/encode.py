@@ -163,5 +163,19 @@ def encoder_normalise(df: DataFrame, target: str, keys: Sequence[str], time: str
              .withColumn(out, (F.col(target) - F.col(f"{out}_center")) / F.col(f"{out}_scale"))
 
 
+def normalise_samples(samples: DataFrame, target: str, keys: Sequence[str], sample: str = "sample", rel: str = "rel",
+                      out: str | None = None) -> DataFrame:
+    """Centre and scale of each sample's encoder rows (``rel`` < 0), applied to all rows of the sample.
+
+    A scale of 0 counts as 1; a sample is a few rows, so its window never outgrows a task.
+    """
+    out = out or f"{target}_norm"
+    w = Window.partitionBy(*keys, sample)
+    seen = F.when(F.col(rel) < 0, F.col(target))
+    sd = F.stddev_pop(seen).over(w)
+    return samples.select("*", F.avg(seen).over(w).alias(f"{out}_center"), F.when(sd == 0, F.lit(1.0)).otherwise(sd).alias(f"{out}_scale")) \
+                  .withColumn(out, (F.col(target) - F.col(f"{out}_center")) / F.col(f"{out}_scale"))
+
+
 def group_key(df: DataFrame, keys: Sequence[str], out: str = "group") -> DataFrame:
     return df.withColumn(out, F.concat_ws("_", *keys))

@@ -28,16 +28,20 @@ def _lag_spec(lag_cols: dict[str, tuple[str, int]]):
 
 def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Sequence[str],
                    coefficients: Sequence[tuple[str, str, float]],
-                   lag_cols: dict[str, tuple[str, int]]) -> DataFrame:
+                   lag_cols: dict[str, tuple[str, int]],
+                   rescale: dict[str, tuple[float, float]] | None = None) -> DataFrame:
     """Recursive forecast of a linear model per target.
 
     ``coefficients``: (target, feature, coefficient) rows, feature
     '(intercept)' for the constant.  ``lag_cols`` maps a lag column to
-    (target, k): the column holds target's value k steps back.  Returns keys,
-    step and ``pred_<target>``.
+    (target, k): the column holds target's value k steps back.  ``rescale`` maps a lag
+    column to (factor, shift): a prediction p, in the target's space, enters the lag
+    as p * factor + shift, in the lag's own space.  Returns keys, step and
+    ``pred_<target>`` in the target's space.
     """
     targets = list(targets)
     lag_cols = _lag_spec(lag_cols)
+    rescale = rescale or {}
     feats = sorted({f for _, f, _ in coefficients if f != "(intercept)"})
     max_k = max([k for _, k in lag_cols.values()] + [1])
     rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
@@ -57,7 +61,11 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
             if f in lag_cols:
                 t, lag = lag_cols[f]
                 # own prediction from `lag` steps back when inside the window
-                return F.when(k >= lag, F.element_at(acc[f"h_{t}"], lag)).otherwise(r[f])
+                own = F.element_at(acc[f"h_{t}"], lag)
+                if f in rescale:
+                    factor, shift = rescale[f]
+                    own = own * F.lit(factor) + F.lit(shift)
+                return F.when(k >= lag, own).otherwise(r[f])
             return r[f]
 
         preds = {}
