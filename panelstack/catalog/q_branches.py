@@ -219,3 +219,59 @@ def k9_infer_region_scaled(spark, sf_dir):
     train = D.add_lags(c, TARGETS, 1, KEYS)
     out = scaled_rollout(train, D.impute_with_center(hs, centres, prevs), "year", dict(zip(prevs, TARGETS)))
     return out.withColumn("year", F.col("year").cast("int"))
+
+
+# A search ledger derived from the panel: one trial per model, its one parameter and loss from the model's rows.
+_TRIALS = with_panels("panel_yearly") + """,
+per AS (SELECT model, count(*) AS c FROM panel_yearly GROUP BY model),
+ledger AS (SELECT c % 11 AS size, CAST(c % 13 AS DOUBLE) AS val_loss, CASE WHEN c % 3 = 0 THEN 'stage2' ELSE 'stage1' END AS stage,
+  row_number() OVER (ORDER BY model) AS trial_id, '{"size":' || (c % 11) || '}' AS signature FROM per),
+cand AS (SELECT size, '{"size":' || size || '}' AS signature FROM (
+  SELECT DISTINCT unnest([year % 11, year % 11 + 9]) AS size FROM panel_yearly) y),
+first AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY signature ORDER BY val_loss, trial_id) AS r FROM ledger
+          WHERE stage <> 'stage2') x WHERE r = 1),
+top AS (SELECT * FROM first ORDER BY val_loss, signature LIMIT 3),
+pool AS (SELECT * FROM ledger WHERE stage = 'stage2' OR NOT EXISTS (SELECT 1 FROM ledger WHERE stage = 'stage2'))"""
+
+
+def _trials(spark, sf_dir, part):
+    """The named table of ``rank_trials`` over a ledger that was written as JSON lines and read back."""
+    from pyspark.sql import Window
+    from pyspark.sql import types as T
+
+    from ..session import shared_dir
+    from ..sources import files
+
+    p = panels.panel_yearly(spark, sf_dir)
+    c = F.col("c")
+    per = p.groupBy("model").agg(F.count("*").alias("c"))  # one row per model
+    ledger = per.select((c % 11).alias("size"), (c % 13).cast("double").alias("val_loss"), F.when(c % 3 == 0, "stage2").otherwise("stage1").alias("stage"),
+                        F.row_number().over(Window.orderBy("model")).cast("long").alias("trial_id"), F.lit("completed").alias("status"))
+    path = shared_dir(spark, "ledger")
+    files.append_trials(ledger, path)
+    schema = T.StructType([T.StructField("size", T.LongType()), T.StructField("val_loss", T.DoubleType()), T.StructField("stage", T.StringType()),
+                           T.StructField("trial_id", T.LongType()), T.StructField("status", T.StringType())])
+    size = (F.col("year") % 11).cast("long")
+    cand = p.select(F.explode(F.array(size, size + 9)).alias("size")).distinct()
+    return G.rank_trials(files.read_trials(spark, path, schema), cand, 3, ("size",))[part]
+
+
+@register("g4_stage1_remaining", _TRIALS + " SELECT size FROM cand WHERE signature NOT IN (SELECT signature FROM ledger)")
+def g4_stage1_remaining(spark, sf_dir):
+    return _trials(spark, sf_dir, "stage1_remaining").select("size")
+
+
+@register("g4_stage2_candidates", _TRIALS + " SELECT signature, val_loss FROM top", doubles=("val_loss",))
+def g4_stage2_candidates(spark, sf_dir):
+    return _trials(spark, sf_dir, "stage2_candidates")
+
+
+@register("g4_stage2_remaining", _TRIALS + """ SELECT t.signature, c.size FROM top t JOIN cand c USING (signature)
+WHERE t.signature NOT IN (SELECT signature FROM ledger WHERE stage = 'stage2')""")
+def g4_stage2_remaining(spark, sf_dir):
+    return _trials(spark, sf_dir, "stage2_remaining")
+
+
+@register("g4_best", _TRIALS + " SELECT size, val_loss, stage, trial_id FROM pool ORDER BY val_loss, signature, trial_id LIMIT 1", doubles=("val_loss",))
+def g4_best(spark, sf_dir):
+    return _trials(spark, sf_dir, "best").select("size", "val_loss", "stage", "trial_id")

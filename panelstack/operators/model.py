@@ -182,7 +182,7 @@ def rank_trials(ledger: DataFrame, candidates: DataFrame, top_k: int,
         .join(cand.select("signature", *keys), "signature")
     has2 = done.where(stage == "stage2").limit(1).count() > 0
     pool = done.where(stage == "stage2") if has2 else s1
-    best = pool.orderBy("val_loss", "signature").limit(1)
+    best = pool.orderBy("val_loss", "signature", *([c for c in ("trial_id",) if c in pool.columns])).limit(1)
     return {"stage1_remaining": stage1_remaining, "stage2_candidates": top.select("signature", "val_loss"),
             "stage2_remaining": stage2_remaining, "best": best}
 
