@@ -16,18 +16,20 @@ from ..operators import rollout as R
 from ..operators import split as S
 from ..operators import windows as W
 from ..plans.base import KEYS, TARGETS, VARS, yearly_wide
+from ..plans.build import BuildSpec, build_panel, series_wide
 from ..plans.prepare import prepare_tabular
+from ..session import materialize
 from ..sources import dims, panels
 from ..sources.panels import with_panels
 from . import register
 from .q_cf import _K9, synthetic
-from .q_clean import _COUNTS_SQL
+from .q_clean import _C18_KEYS, _C18_SQL, _COUNTS_SQL, _SEL_VARS, MIN_COUNT, UP_TARGETS, YEARS
 from .q_encode import YP_SPLIT, yp_split
 from .q_eval import _TAB, PREV
 from .q_features import RP, rp_split
 from .q_models import _rollout_sql, sq_split
 from .q_windows import _ED_ALL, _HZ, ENC, K, MAXDEC, MINDEC, PRED, SEQ_DOUBLES, SQ, horizon, sq
-from .sqlfrag import METRIC_DOUBLES, metric_aggs, split_sql, stack_sql
+from .sqlfrag import METRIC_DOUBLES, MODEL_FAMILY_SQL, REGION_SCALE_SQL, metric_aggs, split_sql, stack_sql
 
 #: The part of the keys whose hash begins with 8 to f.
 _HALF_SQL = "md5(model || scenario || region) >= '8'"
@@ -275,3 +277,39 @@ def g4_stage2_remaining(spark, sf_dir):
 @register("g4_best", _TRIALS + " SELECT size, val_loss, stage, trial_id FROM pool ORDER BY val_loss, signature, trial_id LIMIT 1", doubles=("val_loss",))
 def g4_best(spark, sf_dir):
     return _trials(spark, sf_dir, "best").select("size", "val_loss", "stage", "trial_id")
+
+
+_C18_COMPLETE = _C18_SQL.replace("  AND 5 + ", "  AND ").replace(f">= {int(len(_SEL_VARS) * 0.4)}", f">= {len(_SEL_VARS)}")
+_SERIES = "model, scenario, scenario_category, region"
+
+
+def _complete(spark, sf_dir):
+    """The build with every variable required, keys not counted: incomplete rows go."""
+    raw = materialize(panels.raw_wide_yearly(spark, sf_dir))
+    spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=1.0, count_keys=False)
+    return build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark), dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)
+
+
+@register("c18_build_panel_complete", _C18_COMPLETE, doubles=[v.lower() for v in _SEL_VARS])
+def c18_build_panel_complete(spark, sf_dir):
+    return _complete(spark, sf_dir).panel
+
+
+@register("c18_series_wide", f"""WITH p AS ({_C18_COMPLETE}),
+long AS ({' UNION ALL '.join(f"SELECT {_C18_KEYS}, '{v.lower()}' AS variable, {v.lower()} AS value FROM p" for v in _SEL_VARS)}),
+wide AS (SELECT {_SERIES}, variable, {', '.join(f'avg(value) FILTER (WHERE year = {y}) AS "{y}"' for y in YEARS)}
+  FROM long WHERE value IS NOT NULL GROUP BY {_SERIES}, variable),
+ssp AS (SELECT model, scenario, arg_min(ssp_family, file_order) AS ssp_family FROM {dims.SSP_FAMILY_SQL} GROUP BY model, scenario)
+SELECT w.*, s.ssp_family, {MODEL_FAMILY_SQL.replace('model', 'w.model')} AS model_family, {REGION_SCALE_SQL} AS region_scale
+FROM wide w LEFT JOIN ssp s ON w.model = s.model AND w.scenario = s.scenario""", doubles=[str(y) for y in YEARS])
+def c18_series_wide(spark, sf_dir):
+    """The whole build down to the processed series table."""
+    res = _complete(spark, sf_dir)
+    return series_wide(res.panel, [v.lower() for v in res.variables], dims.ssp_family(spark), years=YEARS)
+
+
+@register("c18_summary", f"""WITH p AS ({_C18_COMPLETE})
+SELECT count(*) AS rows, CAST({5 + len(_SEL_VARS)} AS BIGINT) AS columns, CAST(0 AS BIGINT) AS missing_cells,
+  CASE WHEN count(*) > 0 THEN 0.0 END AS pct_missing FROM p""", doubles=("pct_missing",))
+def c18_summary(spark, sf_dir):
+    return Q.dataset_summary(_complete(spark, sf_dir).panel)

@@ -14,9 +14,8 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.columns import model_family, region_scale
 from ..operators import quality as Q
-from ..operators.reshape import pivot_variables, unpivot_years
+from ..operators.reshape import pivot_variables, pivot_years, place_columns, unpivot_years
 
 
 @dataclass(frozen=True)
@@ -29,6 +28,7 @@ class BuildSpec:
     default_base_year: int = 2020
     keys: tuple = ("model", "scenario", "scenario_category", "region")
     strict_units: bool = False
+    count_keys: bool = True     # whether the never-null key columns count towards completeness
     variables: tuple | None = None  # selected variables if already known
 
 
@@ -63,16 +63,13 @@ def build_panel(spark: SparkSession, raw: DataFrame, classification: DataFrame,
     wide = pivot_variables(long, variables, list(spec.keys), names=names)
     eff = Q.effective_base_year(wide, base_years, spec.default_base_year)
     wide = Q.filter_from_base_year(wide, eff)
-    wide = Q.completeness_filter(wide, names, spec.completeness_ratio, n_key_columns=len(spec.keys) + 1)
+    wide = Q.completeness_filter(wide, names, spec.completeness_ratio, n_key_columns=len(spec.keys) + 1 if spec.count_keys else 0)
     stats = Q.missing_stats(wide, names, classified, labels=variables)
     return BuildResult(wide, classified, selected, units, stats, conflicts, variables)
 
 
-def series_wide(panel: DataFrame, names: list, keys=("model", "scenario", "scenario_category", "region"),
+def series_wide(panel: DataFrame, names: list, ssp: DataFrame, keys=("model", "scenario", "scenario_category", "region"),
                 years=None) -> DataFrame:
-    """Processed series table: keys + family + scale + variable + one column per year."""
-    from ..operators.reshape import pivot_years
-    out = pivot_years(panel, names, list(keys), years=years)
-    return out.select("model", model_family("model").alias("model_family"),
-                      *[c for c in out.columns if c not in ("model",)],
-                      region_scale("region").alias("region_scale"))
+    """Processed series: keys, SSP and model family, region scale, variable and one column per year."""
+    wide = pivot_years(panel, names, list(keys), years=years)
+    return place_columns(Q.add_family_and_scale(Q.join_ssp_family(wide, ssp)))
