@@ -21,8 +21,8 @@ from pyspark.sql import functions as F
 
 SPACE = "▁"
 #: Words kept encoded and pairs kept checked by a Python worker.
-WORDS_KEPT = 600_000
-PAIRS_KEPT = 1_000_000
+WORDS_KEPT = 300_000
+PAIRS_KEPT = 400_000
 
 
 class Vocabulary:

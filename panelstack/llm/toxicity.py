@@ -20,6 +20,7 @@ from . import text as T
 
 GRAMS = (3, 4, 5, 6, 8)
 BITS = 18
+WORDS_AT_ONCE = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -87,6 +88,21 @@ def pooled(logits: np.ndarray, rows: np.ndarray, n: int, top: int):
     return np.bincount(rows[chosen], weights=logits[chosen], minlength=n) / np.maximum(taken, 1), chosen, rows[chosen], taken
 
 
+def _slots_by_word(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """(n-gram slots word after word, number of each word's)."""
+    joined = np.frombuffer(b" ".join(words), np.uint8)
+    sizes = np.array([len(w) for w in words], np.int64)
+    ends = np.cumsum(sizes + 1) - 1
+    counts = sum(np.maximum(sizes + 2 - n + 1, 0) for n in GRAMS)
+    at = np.cumsum(counts) - counts
+    out = np.empty(int(counts.sum()), np.int32)
+    for slot, base in _grams(joined, ends - sizes, ends):
+        many = np.diff(base)
+        out[np.repeat(at - base[:-1], many) + np.arange(len(slot))] = slot
+        at = at + many
+    return out, counts
+
+
 def train(samples: list[tuple[int, bytes]], how: Training) -> Model:
     """Fit on (label, text) pairs. Each text counts each of its distinct words once."""
     labels = np.array([y for y, _ in samples], np.float64)
@@ -97,22 +113,28 @@ def train(samples: list[tuple[int, bytes]], how: Training) -> Model:
     for row, (_, text) in enumerate(samples):
         raw, starts, ends, _ = _marked(text, np.array([0, len(text)], np.int64))
         body = raw.tobytes()
-        for w in {body[a:b] for a, b in zip(starts.tolist(), ends.tolist())}:
-            entries.append(index.setdefault(w, len(index)))
-            rows.append(row)
-    entries, rows = np.array(entries, np.int64), np.array(rows, np.int64)
-    joined = np.frombuffer(b" ".join(index), np.uint8)
-    sizes = np.array([len(w) for w in index], np.int64)
-    ends = np.cumsum(sizes + 1) - 1
-    slots, owner = [], []
-    for slot, base in _grams(joined, ends - sizes, ends):
-        slots.append(slot)
-        owner.append(np.repeat(np.arange(len(sizes)), np.diff(base)))
-    slots, owner = np.concatenate(slots), np.concatenate(owner)
-    order = np.argsort(owner, kind="stable")
-    slots, owner = slots[order], owner[order]
-    grams = np.maximum(np.bincount(owner, minlength=len(sizes)), 1)
-    first = np.concatenate([[0], np.cumsum(np.bincount(owner, minlength=len(sizes)))])
+        found = {body[a:b] for a, b in zip(starts.tolist(), ends.tolist())}
+        entries.append(np.fromiter((index.setdefault(w, len(index)) for w in found), np.int32, len(found)))
+        rows.append(np.full(len(found), row, np.int32))
+    entries, rows = np.concatenate(entries), np.concatenate(rows)
+    words = list(index)
+    del index
+    slots, counts = [], []
+    for a in range(0, len(words), WORDS_AT_ONCE):
+        s, c = _slots_by_word(words[a : a + WORDS_AT_ONCE])
+        slots.append(s)
+        counts.append(c)
+    del words
+    slots, counts = (np.concatenate(x) if x else np.zeros(0, np.int32) for x in (slots, counts))
+    first = np.concatenate([[0], np.cumsum(counts, dtype=np.int64)])
+    grams = np.maximum(counts, 1)
+
+    def sums_by_word(value: np.ndarray) -> np.ndarray:
+        out = np.zeros(len(grams))
+        some = np.flatnonzero(counts)
+        if len(some):
+            out[some] = np.add.reduceat(value[slots], first[some])
+        return out
 
     rng = np.random.default_rng(how.seed)
     embedding = rng.normal(0, 0.1, (1 << BITS, how.size))
@@ -123,10 +145,10 @@ def train(samples: list[tuple[int, bytes]], how: Training) -> Model:
     weight /= weight.sum()
     for _ in range(how.epochs):
         value = embedding @ (softmax[:, 1] - softmax[:, 0])
-        word = np.bincount(owner, weights=value[slots], minlength=len(sizes)) / grams
+        word = sums_by_word(value.astype(np.float32)) / grams
         logit, chosen, where, taken = pooled(word[entries], rows, len(labels), how.top)
         error = (1 / (1 + np.exp(-(logit + bias))) - labels) * weight
-        by_word = np.bincount(entries[chosen], weights=(error / np.maximum(taken, 1))[where], minlength=len(sizes))
+        by_word = np.bincount(entries[chosen], weights=(error / np.maximum(taken, 1))[where], minlength=len(grams))
         used = np.flatnonzero(by_word)  # only the words that speak for their text learn
         span = first[used + 1] - first[used]
         part = np.repeat(first[used] - (np.cumsum(span) - span), span) + np.arange(span.sum())
