@@ -11,6 +11,8 @@ blocks, and every pair of blocks is joined in its own task.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -22,7 +24,8 @@ from .store import BROADCAST_ROWS, by_group, saved
 
 SKETCH_BITS = 18
 SKETCH_BLOCK = 4096
-HIST = 64
+#: Sets of up to so many tokens are told apart by their histograms if they share nothing but a few tokens.
+TELL_APART = 12_000
 #: Tokens of one block of a group; a task holds two blocks.
 BLOCK_TOKENS = 2_000_000
 
@@ -38,16 +41,23 @@ def fingerprint(s: np.ndarray) -> int:
     return int(T.mix(np.array([total % 2**64], np.uint64)).view(np.int64)[0])
 
 
-def _hist(s: np.ndarray) -> bytes:
-    """Counts mod 256 of the tokens by 6 bits of their hashes."""
-    return np.bincount(((s >> np.uint64(20)) & np.uint64(HIST - 1)).astype(np.int64), minlength=HIST).astype(np.uint8).tobytes()
+def hist_bins(percent: int) -> int:
+    """Bins of the histograms, a power of two. Two sets of n tokens without common ones differ by about
+    1.13 sqrt(n bins) in all bins together; that must exceed the difference that a link allows."""
+    allowed = 2 * (100 - percent) / (100 + percent)
+    return 1 << min(12, max(6, math.ceil(math.log2(max(1.0, allowed**2 * TELL_APART / 1.27)))))
+
+
+def _hist(s: np.ndarray, bins: int) -> bytes:
+    """Counts mod 256 of the tokens by some bits of their hashes."""
+    return np.bincount(((s >> np.uint64(20)) & np.uint64(bins - 1)).astype(np.int64), minlength=bins).astype(np.uint8).tobytes()
 
 
 def _sketch_slot(s: np.ndarray) -> np.ndarray:
     return (s >> np.uint64(64 - SKETCH_BITS)).astype(np.int64)
 
 
-def _describe(words: int):
+def _describe(words: int, bins: int):
     """Per row its set's size, fingerprint and histogram; at the end the partition's token counts."""
     names = ["doc_id", "carried", "n", "cid", "hist", "block", "counts"]
 
@@ -59,7 +69,7 @@ def _describe(words: int):
                 for s in T.shingle_sets(data, at, words):
                     n.append(len(s))
                     cid.append(fingerprint(s))
-                    hist.append(_hist(s))
+                    hist.append(_hist(s, bins))
                     if len(s):
                         np.add.at(sketch, _sketch_slot(s), 1)
             k = batch.num_rows
@@ -171,37 +181,60 @@ def _may_link(n1, h1, n2, h2, percent: int) -> np.ndarray:
     return (need <= np.minimum(n1, n2)) & (np.minimum(step, 256 - step).sum(1) <= n1 + n2 - 2 * need)
 
 
-def _bucket_edges(percent: int):
-    """For the classes of one token (sorted by size): edges that connect what may link, at most one per class."""
+def _joined(n: np.ndarray, hist: np.ndarray, label: np.ndarray, percent: int) -> np.ndarray:
+    """Labels of the classes of one token, sorted by size, after joining all that may link; ``label`` has the
+    runs of neighbours that may."""
+    label = label.copy()
+    low = np.searchsorted(n * 100, n * percent, "left")
+    for i in range(1, len(n)):
+        rest = low[i] + np.flatnonzero(label[low[i] : i] != label[i])
+        while len(rest):
+            some, rest = rest[-1024:], rest[:-1024]
+            hit = some[_may_link(n[some], hist[some], np.full(len(some), n[i]), hist[i][None], percent)]
+            if len(hit):
+                label[np.isin(label, np.unique(label[hit]))] = label[i]
+                rest = rest[label[rest] != label[i]]
+    return label
 
-    def work(group: pa.Table):
-        group = group.combine_chunks()
-        cid, n = group.column("cid").to_numpy(), group.column("n").to_numpy()
-        k = len(cid)
-        hist = np.frombuffer(b"".join(group.column("hist").to_pylist()), np.uint8).reshape(k, HIST)
-        label = np.arange(k)
-        near = _may_link(n[:-1], hist[:-1], n[1:], hist[1:], percent)
-        label[1:] = np.cumsum(~near)
-        if k > 2 and label[-1] > 0:
-            low = np.searchsorted(n * 100, n * percent, "left")
-            for i in range(1, k):
-                rest = low[i] + np.flatnonzero(label[low[i] : i] != label[i])
-                while len(rest):
-                    some, rest = rest[-1024:], rest[:-1024]
-                    hit = some[_may_link(n[some], hist[some], np.full(len(some), n[i]), hist[i][None], percent)]
-                    if len(hit):
-                        old = np.unique(label[hit])
-                        label[np.isin(label, old)] = label[i]
-                        rest = rest[label[rest] != label[i]]
+
+def _bucket_edges(percent: int):
+    """From postings sorted by (token, n, cid): edges that connect the classes of a token that may link, at most
+    one a class. Neighbours are compared for a whole batch at once; only where they leave a token's classes
+    apart are others compared. A batch's last token waits for its remaining rows."""
+
+    def edges(token, cid, n, hist):
+        same = token[1:] == token[:-1]
+        near = np.zeros(len(token), bool)
+        near[1:] = same & _may_link(n[:-1], hist[:-1], n[1:], hist[1:], percent)
+        label = np.cumsum(~near)
+        first = np.flatnonzero(np.append(True, ~same))
+        size = np.diff(np.append(first, len(token)))
+        apart = label[first + size - 1] > label[first]
+        for a, k in zip(first[apart & (size > 2)].tolist(), size[apart & (size > 2)].tolist()):
+            label[a : a + k] = _joined(n[a : a + k], hist[a : a + k], label[a : a + k], percent)
         order = np.lexsort((cid, label))
-        first = np.r_[True, label[order][1:] != label[order][:-1]]
-        root = cid[order][first][np.cumsum(first) - 1]
-        other = ~first
-        if other.any():
-            return pa.RecordBatch.from_arrays([pa.array(cid[order][other]), pa.array(root[other])], names=["a", "b"])
-        return None
+        start = np.append(True, label[order][1:] != label[order][:-1])
+        root = cid[order][start][np.cumsum(start) - 1]
+        pairs = np.unique(np.column_stack([cid[order], root])[~start], axis=0)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
-    return work
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            hist = np.frombuffer(b"".join(batch.column("hist").to_pylist()), np.uint8).reshape(batch.num_rows, -1)
+            rows = [*(batch.column(c).to_numpy() for c in ("token", "cid", "n")), hist]
+            if held is not None:
+                rows = [np.concatenate([h, r]) for h, r in zip(held, rows)]
+            cut = int(np.searchsorted(rows[0], rows[0][-1], "left"))
+            if cut:
+                yield edges(*(r[:cut] for r in rows))
+            held = [r[cut:] for r in rows]
+        if held is not None:
+            yield edges(*held)
+
+    return run
 
 
 def trie_links(sets: list[np.ndarray], percent: int, probes: list[np.ndarray] | None = None):
@@ -364,14 +397,15 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     spark = docs.sparkSession
     carried = F.col(carry) if carry else F.lit(None)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.cast("long").alias("carried"), F.col(text_col).alias("text"))
-    described = saved(docs.mapInArrow(_describe(words), "doc_id long, carried long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
+    described = saved(docs.mapInArrow(_describe(words, hist_bins(percent)), "doc_id long, carried long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
     sketch = spark.sparkContext.broadcast(_sum_sketch(described.where("block is not null").select("block", "counts")))
     rows = described.where("n is not null").select("doc_id", "carried", "n", "cid", "hist")
     classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("hist").alias("hist")), "jaccard-classes")
 
     postings = docs.select("text").mapInArrow(_prefixes(words, percent, sketch), "token long, cid long, n int")
     shared = saved(postings.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(_shared(percent), "token long, cid long"), "jaccard-shared")
-    edges = by_group(shared.join(classes.select("cid", "n", "hist"), "cid"), ["token"], ["n", "cid"], _bucket_edges(percent), "a long, b long")
+    known = shared.join(classes.select("cid", "n", "hist"), "cid").select("token", "cid", "n", "hist")
+    edges = known.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(_bucket_edges(percent), "a long, b long")
     groups = components(edges)
 
     members = groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "rep", "n"), "cid")

@@ -256,6 +256,53 @@ def test_trie_links():
             assert links.tolist() == [sum(linked(a, b) for j, b in enumerate(sets) if (j < cut) != (i < cut)) for i, a in enumerate(sets)]
 
 
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_bucket_edges(size):
+    """Edges of each token's classes join exactly the classes that may link, whatever the batches."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(1)
+    for _ in range(60):
+        percent, rows, cid = int(rng.choice([50, 80, 90])), [], 0
+        for token in range(int(rng.integers(1, 5))):
+            for _ in range(int(rng.integers(1, 9))):
+                n, hist, base = int(rng.integers(20, 60)), np.zeros(64, np.uint8), 5 * int(rng.integers(0, 3))
+                hist[base : base + n // 4] = 3
+                hist[rng.integers(0, 64, 3)] += 1
+                cid += 1
+                rows.append((token, int(rng.permutation(7)[0]) * 1000 + cid, n, hist))
+        rows.sort(key=lambda r: (r[0], r[2], r[1]))
+        stream = pa.table({"token": [r[0] for r in rows], "cid": [r[1] for r in rows], "n": pa.array([r[2] for r in rows], pa.int32()), "hist": pa.array([r[3].tobytes() for r in rows], pa.binary())})
+        got = set()
+        for b in jaccard_join._bucket_edges(percent)(iter(stream.to_batches(max_chunksize=size))):
+            got |= set(zip(b["a"].to_pylist(), b["b"].to_pylist()))
+        expected = set()
+        for token in range(5):
+            mine = [r for r in rows if r[0] == token]
+            groups = brute.Sets([r[1] for r in mine])
+            for i, a in enumerate(mine):
+                for b in mine[:i]:
+                    if jaccard_join._may_link(np.array([a[2]]), a[3][None], np.array([b[2]]), b[3][None], percent)[0]:
+                        groups.join(a[1], b[1])
+            least = {}
+            for c in sorted(groups.parent):
+                least.setdefault(groups.find(c), c)
+            expected |= {(c, least[groups.find(c)]) for c in groups.parent if least[groups.find(c)] != c}
+        assert got == expected
+
+
+def test_histogram_bound_is_safe():
+    """A pair that links is never turned down by its sizes and histograms."""
+    rng = np.random.default_rng(2)
+    for _ in range(200):
+        percent = int(rng.choice([60, 80, 90]))
+        a = np.unique(rng.integers(0, 2**63, 300, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[rng.random(len(a)) < 0.9], rng.integers(0, 2**63, int(rng.integers(0, 40)), dtype=np.uint64)]))
+        h = [np.frombuffer(jaccard_join._hist(s, jaccard_join.hist_bins(percent)), np.uint8)[None] for s in (a, b)]
+        if 100 * len(np.intersect1d(a, b)) >= percent * len(np.union1d(a, b)):
+            assert jaccard_join._may_link(np.array([len(a)]), h[0], np.array([len(b)]), h[1], percent)[0]
+
+
 # 6 ---------------------------------------------------------------------------------------------------------
 def line_order(tokens):
     line = b" ".join(b"0" if t == b"<*>" else t for t in tokens)
