@@ -5,6 +5,8 @@ variable. In a leaf, lines join the template with which they agree on enough pos
 they differ become variable. Templates that recur across documents are dropped from the texts. Recurring
 means: in many different texts, and between many different pairs of neighbouring lines, so a passage that
 stands in the copies of one document, always at the same place, is left to the near-duplicate operators.
+Inside a passage the neighbours are always the same: there the nearest lines around it that aren't common count,
+in texts of which most words stand in such lines; near copies of one document share most of theirs.
 """
 
 from __future__ import annotations
@@ -151,14 +153,78 @@ def templates(docs: DataFrame, agree: float, broadcast_rows: int = BROADCAST_ROW
     return occurrences, saved(by_group(order, ["leaf"], ["rank", "line"], _leaf(agree), "line long, template long"), "line-templates")
 
 
-def recurring(occurrences: DataFrame, joined: DataFrame, min_texts: int) -> DataFrame:
-    """Lines whose template stands in at least ``min_texts`` different texts and between as many neighbours."""
+def common_lines(occurrences: DataFrame, joined: DataFrame, min_texts: int) -> DataFrame:
+    """(line, template, spread) of lines whose template stands in at least ``min_texts`` different texts; spread:
+    between as many different pairs of neighbouring lines, too."""
     named = occurrences.join(joined, "line", "left").select("line", "key", "context", F.coalesce("template", "line").alias("template"))
-    enough = None
-    for what in ("key", "context"):
-        part = named.select("template", what).distinct().groupBy("template").count().where(F.col("count") >= min_texts).select("template")
-        enough = part if enough is None else enough.join(part, "template")
-    return named.join(enough, "template").select("line").distinct()
+    enough = [named.select("template", what).distinct().groupBy("template").count().where(F.col("count") >= min_texts).select("template") for what in ("key", "context")]
+    often = enough[0].join(enough[1].withColumn("spread", F.lit(True)), "template", "left")
+    return named.join(often, "template").select("line", "template", F.col("spread").isNotNull().alias("spread")).distinct()
+
+
+def _among(h: np.ndarray, chosen: np.ndarray) -> np.ndarray:
+    """Which hashes are in the sorted array ``chosen``."""
+    if not len(chosen):
+        return np.zeros(len(h), bool)
+    return chosen[np.minimum(np.searchsorted(chosen, h), len(chosen) - 1)] == h
+
+
+def _passages(find):
+    """(line, context) of the common lines, those of ``find(batch)``, in texts with most of their words in other
+    lines; context: the nearest other lines around, at the line's first place in the text."""
+
+    def run(batches):
+        for batch in batches:
+            common = find(batch)
+            for first, n, data, at in T.chunks(batch.column("text")):
+                lines = Lines(data, at)
+                if not len(lines.row):
+                    continue
+                h = lines.hash()
+                begin = np.searchsorted(lines.row, np.arange(n + 1))
+                own = ~np.concatenate([_among(h[begin[r] : begin[r + 1]].view(np.int64), common(first + r)) for r in range(n)])
+                place = np.arange(len(h))
+                last = np.maximum.accumulate(np.where(own, place, -1))
+                following = np.minimum.accumulate(np.where(own, place, len(h))[::-1])[::-1]
+                before = np.where(last >= begin[lines.row], h[last], np.uint64(0))
+                after = np.where(following < begin[lines.row + 1], h[np.minimum(following, len(h) - 1)], np.uint64(0))
+                context = T.mix(before * np.uint64(3) + T.mix(after + np.uint64(5)))
+                mostly = 2 * np.bincount(lines.row, weights=lines.size * own, minlength=n) > np.bincount(lines.row, weights=lines.size, minlength=n)
+                order = np.lexsort((h, lines.row))
+                once = np.ones(len(h), bool)
+                once[order[1:]] = (h[order][1:] != h[order][:-1]) | (lines.row[order][1:] != lines.row[order][:-1])
+                keep = once & ~own & mostly[lines.row]
+                yield pa.RecordBatch.from_arrays([pa.array(x[keep].view(np.int64)) for x in (h, context)], names=["line", "context"])
+
+    return run
+
+
+def _lookup(keyed: DataFrame, occurrences: DataFrame, chosen: DataFrame, broadcast_rows: int):
+    """(rows, find): ``find(batch)`` of the rows gives, for a row, the sorted hashes of the chosen lines, which are
+    broadcast if counted and few, else joined to the rows."""
+    if chosen.count() <= broadcast_rows:
+        shared = keyed.sparkSession.sparkContext.broadcast(np.sort(np.array([r.line for r in chosen.toLocalIterator()], np.int64)))
+        return keyed, lambda batch: lambda row: shared.value
+    by_text = occurrences.join(chosen, "line").groupBy("key").agg(F.sort_array(F.collect_set("line")).alias("chosen"))
+
+    def of(batch):
+        lists = batch.column("chosen").to_pylist()
+        return lambda row: np.array(lists[row] or [], np.int64)
+
+    return keyed.join(by_text, "key", "left"), of
+
+
+def recurring(keyed: DataFrame, occurrences: DataFrame, joined: DataFrame, min_texts: int, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
+    """Lines whose template stands in at least ``min_texts`` different texts and in as many surroundings: pairs of
+    neighbouring lines or, inside a passage of common lines, of the nearest lines around the passage."""
+    common = saved(common_lines(occurrences, joined, min_texts), "common-lines")
+    drop, inner = common.where("spread").select("line"), common.where("not spread").select("line", "template")
+    if inner.limit(1).count():
+        rows, find = _lookup(keyed.select("key", "text"), occurrences, common.select("line"), broadcast_rows)
+        around = rows.drop("key").mapInArrow(_passages(find), "line long, context long").join(_small(inner, broadcast_rows), "line")
+        enough = around.select("template", "context").distinct().groupBy("template").count().where(F.col("count") >= min_texts).select("template")
+        drop = drop.unionByName(inner.join(enough, "template").select("line"))
+    return saved(drop, "recurring-lines")
 
 
 def _edit(text: str | None, lines: Lines, hashes: np.ndarray, drop: np.ndarray):
@@ -189,7 +255,7 @@ def _dropper(find):
                     one = Lines.__new__(Lines)
                     one.number = lines.number[a:b]
                     row = drops(first + r)
-                    t, k, gone = _edit(texts[first + r].as_py(), one, h[a:b], np.isin(h[a:b], row))
+                    t, k, gone = _edit(texts[first + r].as_py(), one, h[a:b], _among(h[a:b], row))
                     out.append(t)
                     total.append(k)
                     dropped.append(gone)
@@ -210,19 +276,9 @@ def drop_recurring_lines(docs: DataFrame, min_texts: int, agree: float = 0.8, te
     packed = docs.select(F.struct(*(F.col(f"`{c}`") for c in others)).alias("doc") if others else F.struct(F.lit(1).alias("none")).alias("doc"), F.col(text_col).alias("text"))
     keyed = packed.select("doc", "text", F.xxhash64("text").alias("key"))
     occurrences, joined = templates(keyed.select("key", "text"), agree, broadcast_rows)
-    drop = saved(recurring(occurrences, joined, min_texts), "recurring-lines")
-    if drop.count() <= broadcast_rows:
-        shared = docs.sparkSession.sparkContext.broadcast(np.sort(np.array([r.line for r in drop.toLocalIterator()], np.int64)))
-        edited = keyed.mapInArrow(_dropper(lambda batch: lambda row: shared.value), _schema(keyed))
-    else:
-        by_text = occurrences.join(drop, "line").groupBy("key").agg(F.collect_set("line").alias("drop"))
-        rows = keyed.join(by_text, "key", "left")
-
-        def of(batch):
-            lists = batch.column("drop").to_pylist()
-            return lambda row: np.array(lists[row] or [], np.int64)
-
-        edited = rows.mapInArrow(_dropper(of), _schema(keyed))
+    drop = recurring(keyed, occurrences, joined, min_texts, broadcast_rows)
+    rows, find = _lookup(keyed, occurrences, drop, broadcast_rows)
+    edited = rows.mapInArrow(_dropper(find), _schema(keyed))
     return edited.select(*(F.col("doc")[c].alias(c) for c in others), F.col("text").alias(text_col), "n_lines", "n_dropped")
 
 

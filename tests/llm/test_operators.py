@@ -333,6 +333,21 @@ def test_line_dedup_deep_leaves(spark, rows, monkeypatch):
     assert {r.doc_id: r.n_dropped for r in got} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}  # no generalising past the limit
 
 
+def word(i):
+    return "".join(chr(97 + int(c)) for c in str(i))
+
+
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_line_dedup_passages(spark, broadcast):
+    footer = ["this site keeps all rights", "write to the desk for a licence", "thanks for your visit"]
+    own = [[f"{kind} {word(100 + i)} tells of {word(200 + i)} and {word(300 + i)} at {word(400 + i)} by {word(500 + i)}" for kind in ("alpha", "beta", "gamma")] for i in range(25)]
+    copied = [f"chapter {word(j)} of one {word(10 + j)} story" for j in range(8)]
+    rows = [(i, "\n".join([*lines, *footer] if i % 2 else [lines[0], *footer, *lines[1:]])) for i, lines in enumerate(own)]
+    rows += [(100 + i, "\n".join([*copied[: i % 8], f"edit {word(i)} in a copy by {word(600 + i)}", *copied[i % 8 + 1 :]])) for i in range(40)]
+    got = {r.doc_id: (r.text, r.n_dropped) for r in line_templates.drop_recurring_lines(table(spark, rows), 20, broadcast_rows=broadcast).collect()}
+    assert got == {i: ("\n".join(own[i]), 3) if i < 100 else (t, 0) for i, t in rows}  # near copies of one document stay whole
+
+
 # 7 ---------------------------------------------------------------------------------------------------------
 def test_globs():
     import random
