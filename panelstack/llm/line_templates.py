@@ -11,18 +11,23 @@ in texts of which most words stand in such lines; near copies of one document sh
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
-from .store import BROADCAST_ROWS, by_group, saved
+from .store import BROADCAST_ROWS, saved
 
-#: Leading tokens that choose a leaf; a leaf with too many tokens in its lines uses the next depth, and past the
-#: last one its lines are templates as they stand.
+#: Leading tokens that choose a leaf: the first depth. Only with a limit of ``LEAF_TOKENS`` a leaf with more tokens
+#: in its lines uses the next depth, and past the last one its lines are templates as they stand; as that makes
+#: results depend on the size of the table, there is none.
 DEPTHS = (3, 8, 24)
-LEAF_TOKENS = 4_000_000
+LEAF_TOKENS: int | None = None
+#: Tokens of the templates that a task holds of a leaf; lines that join none of them go another round.
+BLOCK_TOKENS = 1_000_000
 #: Hash of a variable token.
 ANY = np.uint64(1)
 DIGIT = np.zeros(256, bool)
@@ -56,9 +61,9 @@ class Lines:
         return T.mix(body + T.mix(self.size.astype(np.uint64) * np.uint64(31) + np.uint64(depth or 0)))
 
 
-def _occurrences(batches):
+def _occurrences(batches, depths):
     """First occurrence of each line in each text: its hash, leaves, size, the text's key and its neighbours."""
-    names = ["key", "line", "size", "context", *(f"leaf{d}" for d in DEPTHS)]
+    names = ["key", "line", "size", "context", *(f"leaf{d}" for d in depths)]
     for batch in batches:
         keys = batch.column("key").to_numpy()
         for first, _, data, at in T.chunks(batch.column("text")):
@@ -73,7 +78,7 @@ def _occurrences(batches):
             order = np.lexsort((h, lines.row))
             once = np.ones(len(h), bool)
             once[order[1:]] = (h[order][1:] != h[order][:-1]) | (lines.row[order][1:] != lines.row[order][:-1])
-            cols = [keys[first + lines.row], h, lines.size, context, *(lines.hash(d) for d in DEPTHS)]
+            cols = [keys[first + lines.row], h, lines.size, context, *(lines.hash(d) for d in depths)]
             yield pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c[once]).view(np.int64)) for c in cols], names=names)
 
 
@@ -87,44 +92,71 @@ def _line_tokens(batches):
                 yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(tokens, pa.binary())], names=["line", "tokens"])
 
 
-def grow(tokens: np.ndarray, agree: float) -> np.ndarray:
-    """Founding line of each line's template, for the lines of a leaf (one per row, all of one size) in order.
+class Leaf:
+    """The templates of a leaf, at most ``most``, whose lines come one by one: all of the size of ``first`` and with
+    its leading tokens.
 
     A line joins the template that shares most tokens with it, the earliest of equals, if they are at least the
-    part ``agree`` of all; positions already variable don't count as shared. Else it founds a template.
+    part ``agree`` of all; positions already variable don't count as shared. Else it founds a template. A template
+    and a line that may differ in m places past the leading tokens agree in one of m + 1 parts at least: only
+    templates with such a part are compared.
     """
-    k, n = tokens.shape
-    templates = np.empty_like(tokens)
-    founder = np.empty(k, np.int64)
-    owner: list[int] = []
-    for i in range(k):
-        if owner:
-            shared = ((templates[: len(owner)] == tokens[i]) & (tokens[i] != ANY)).sum(1)
+
+    def __init__(self, first: np.ndarray, agree: float, most: int):
+        n, lead = len(first), min(DEPTHS[0], len(first))
+        self.need, self.most = agree * n, most
+        self.spare = n - math.ceil(self.need) - int((first[:lead] == ANY).sum())
+        cuts = np.linspace(lead, n, self.spare + 2).astype(int).tolist() if 0 <= self.spare < n - lead else [0, 0]
+        self.parts = list(zip(cuts[:-1], cuts[1:]))
+        self.templates = np.empty((4, n), np.uint64)
+        self.owner: list[int] = []
+        self.index: dict[tuple[int, bytes], list[int]] = {}
+
+    def place(self, line: int, tokens: np.ndarray) -> int | None:
+        """The founding line of the line's template; None if it joins none and there is no room for another."""
+        if self.spare < 0:
+            return line
+        fixed = tokens != ANY
+        keys = [(a, tokens[a:b].tobytes()) for a, b in self.parts if fixed[a:b].all()]
+        at = sorted({t for k in keys for t in self.index.get(k, ())})
+        if at:
+            shared = ((self.templates[at] == tokens) & fixed).sum(1)
             best = int(shared.argmax())
-            if shared[best] >= agree * n:
-                templates[best][templates[best] != tokens[i]] = ANY
-                founder[i] = owner[best]
-                continue
-        templates[len(owner)] = tokens[i]
-        owner.append(i)
-        founder[i] = i
-    return founder
-
-
-def _leaf(agree: float):
-    def work(group: pa.Table):
-        line = group.column("line").to_numpy()
-        once = np.ones(len(line), bool)
-        once[1:] = line[1:] != line[:-1]  # the same line from several partitions, adjacent by the sort order
-        tokens = group.column("tokens").combine_chunks().filter(pa.array(once)).to_pylist()
-        line = line[once]
-        founder = grow(np.stack([np.frombuffer(t, np.uint64) for t in tokens]), agree)
-        joined = founder != np.arange(len(line))
-        if not joined.any():
+            if shared[best] >= self.need:
+                template = self.templates[at[best]]
+                template[template != tokens] = ANY
+                return self.owner[at[best]]
+        k = len(self.owner)
+        if k >= self.most:
             return None
-        return pa.RecordBatch.from_arrays([pa.array(line[joined]), pa.array(line[founder[joined]])], names=["line", "template"])
+        if k == len(self.templates):
+            self.templates = np.concatenate([self.templates, np.empty_like(self.templates)])
+        self.templates[k] = tokens
+        self.owner.append(line)
+        for key in keys:
+            self.index.setdefault(key, []).append(k)
+        return line
+
+
+def _place(agree: float, block: int):
+    """(line, template) of lines that don't found one, in a stream sorted by leaf; no template: another round."""
 
-    return work
+    def run(batches):
+        leaf = last = held = None
+        for batch in batches:
+            out = []
+            for name, line, tokens in zip(*(batch.column(c).to_pylist() for c in ("leaf", "line", "tokens"))):
+                tokens = np.frombuffer(tokens, np.uint64)
+                if held is None or name != leaf:
+                    leaf, last, held = name, None, Leaf(tokens, agree, max(1, block // len(tokens)))
+                if line == last:  # from several partitions, adjacent by the sort order
+                    continue
+                last, founder = line, held.place(line, tokens)
+                if founder != line:
+                    out.append((line, founder))
+            yield pa.RecordBatch.from_arrays([pa.array([x[i] for x in out], pa.int64()) for i in (0, 1)], names=["line", "template"])
+
+    return run
 
 
 def _small(df: DataFrame, limit: int) -> DataFrame:
@@ -134,23 +166,35 @@ def _small(df: DataFrame, limit: int) -> DataFrame:
 def templates(docs: DataFrame, agree: float, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
     """(occurrences, template of each line that is not its own). ``docs`` has key and text.
 
-    In a leaf, lines come by falling number of texts, then by hash: the result does not depend on partitions.
+    In a leaf, lines come by falling number of texts, then by hash: the result does not depend on partitions. A
+    task holds a block of a leaf's templates; the lines that join none of them go another round, so no line that may
+    join a template stays alone. One that agrees with templates of several blocks joins the best of the first.
     """
-    occurrences = saved(docs.mapInArrow(_occurrences, "key long, line long, size long, context long, " + ", ".join(f"leaf{d} long" for d in DEPTHS)), "line-occurrences")
-    leaves = [f"leaf{d}" for d in DEPTHS]
+    depths = DEPTHS if LEAF_TOKENS else DEPTHS[:1]
+    leaves = [f"leaf{d}" for d in depths]
+    occurrences = saved(docs.mapInArrow(lambda batches: _occurrences(batches, depths), "key long, line long, size long, context long, " + ", ".join(f"{x} long" for x in leaves)), "line-occurrences")
     lines = saved(occurrences.groupBy("line").agg(F.count("*").alias("n"), F.first("size").alias("size"), *(F.first(x).alias(x) for x in leaves)), "lines")
     found = None
     rest = lines
     for leaf in leaves:
         counts = rest.groupBy(leaf).agg(F.count("*").alias("many"), F.sum("size").alias("tokens")).where("many > 1")
         members = rest.join(counts, leaf)
-        part = members.where(F.col("tokens") <= LEAF_TOKENS).select("line", "n", F.col(leaf).alias("leaf"))
+        fits = F.col("tokens") <= LEAF_TOKENS if LEAF_TOKENS else F.lit(True)
+        part = members.where(fits).select("line", "n", F.col(leaf).alias("leaf"))
         found = part if found is None else found.unionByName(part)
-        rest = members.where(F.col("tokens") > LEAF_TOKENS).select(*lines.columns)
+        rest = members.where(~fits).select(*lines.columns)
     members = saved(found, "leaf-members")
-    tokens = docs.select("text").mapInArrow(_line_tokens, "line long, tokens binary").join(_small(members, broadcast_rows), "line")
-    order = tokens.select("leaf", (-F.col("n")).alias("rank"), "line", "tokens")
-    return occurrences, saved(by_group(order, ["leaf"], ["rank", "line"], _leaf(agree), "line long, template long"), "line-templates")
+    joined = None
+    while True:
+        tokens = docs.select("text").mapInArrow(_line_tokens, "line long, tokens binary").join(_small(members, broadcast_rows), "line")
+        order = tokens.select("leaf", (-F.col("n")).alias("rank"), "line", "tokens").repartition("leaf").sortWithinPartitions("leaf", "rank", "line")
+        placed = saved(order.mapInArrow(_place(agree, BLOCK_TOKENS), "line long, template long"), "line-templates")
+        part = placed.where("template is not null")
+        joined = part if joined is None else joined.unionByName(part)
+        left = placed.where("template is null").select("line")
+        if not left.limit(1).count():
+            return occurrences, joined
+        members = saved(members.join(left, "line"), "leaf-members")
 
 
 def common_lines(occurrences: DataFrame, joined: DataFrame, min_texts: int) -> DataFrame:

@@ -333,6 +333,44 @@ def test_line_dedup_deep_leaves(spark, rows, monkeypatch):
     assert {r.doc_id: r.n_dropped for r in got} == {0: 1, 1: 0, 2: 1, 3: 1, 4: 0, 5: 0}  # no generalising past the limit
 
 
+def grown(tokens, agree):
+    """Founder of each line's template, comparing each line with all templates."""
+    owner, templates = [], []
+    for i, x in enumerate(tokens):
+        shared = [int(((t == x) & (x != line_templates.ANY)).sum()) for t in templates]
+        if shared and max(shared) >= agree * len(x):
+            best = shared.index(max(shared))
+            templates[best][templates[best] != x] = line_templates.ANY
+            yield owner[best]
+        else:
+            templates.append(x.copy())
+            owner.append(i)
+            yield i
+
+
+def test_leaf_finds_the_best_of_all_templates():
+    rng = np.random.default_rng(4)
+    for n in (1, 2, 3, 4, 5, 8, 13, 30):
+        for agree in (0.3, 0.7, 0.8, 1.0):
+            bases = rng.integers(2, 9, (12, n)).astype(np.uint64)
+            tokens = bases[rng.integers(0, 12, 150)]
+            noise = rng.random(tokens.shape) < 0.12
+            tokens[noise] = rng.integers(1, 9, noise.sum())  # 1 is a variable token
+            tokens[:, :3] = rng.integers(1, 4, n)[:3]
+            tokens = tokens[np.sort(np.unique(tokens, axis=0, return_index=True)[1])]
+            leaf = line_templates.Leaf(tokens[0], agree, 10**6)
+            assert [leaf.place(i, x) for i, x in enumerate(tokens)] == list(grown(tokens, agree))
+
+
+def test_line_dedup_large_leaves(spark, monkeypatch):
+    assert line_templates.LEAF_TOKENS is None  # no size past which lines don't generalise
+    rows = [(i, f"own line {word(100 + i)} {word(300 + i)}\nwe thank you dear {word(i)} for reading\nanother one {word(200 + i)}\nwe thank you for a {word(500 + i)} visit") for i in range(25)]
+    for block in (1_000_000, 7):  # of the second, one template a round
+        monkeypatch.setattr(line_templates, "BLOCK_TOKENS", block)
+        got = line_templates.drop_recurring_lines(table(spark, rows), 20).collect()
+        assert {r.doc_id: r.text.split("\n") for r in got} == {i: t.split("\n")[::2] for i, t in rows}
+
+
 def word(i):
     return "".join(chr(97 + int(c)) for c in str(i))
 
