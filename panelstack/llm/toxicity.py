@@ -169,7 +169,8 @@ def train(samples: list[tuple[int, bytes]], how: Training) -> Model:
 
 
 def sample(docs: DataFrame, labels: DataFrame, how: Training, learn_from=None) -> list[tuple[int, bytes]]:
-    """At most ``per_class`` labelled texts of each class; a doc_id labelled twice is toxic if either says so."""
+    """At most ``per_class`` labelled texts of each class; a doc_id labelled twice is toxic if either says so, one
+    with several rows gives the text with the smallest hash."""
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("toxic").cast("int").alias("toxic")).where("doc_id is not null and toxic is not null")
     known = known.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     if learn_from is not None:
@@ -179,6 +180,7 @@ def sample(docs: DataFrame, labels: DataFrame, how: Training, learn_from=None) -
         part = known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(how.per_class)
         chosen = part if chosen is None else chosen.unionByName(part)
     rows = docs.join(F.broadcast(chosen), "doc_id").select("toxic", "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    rows = rows.groupBy("toxic", "doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("least")).select("toxic", "doc_id", F.col("least.text").alias("text"))
     return [(r.toxic, r.text.encode()) for r in rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").toLocalIterator()]
 
 

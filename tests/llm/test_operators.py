@@ -460,6 +460,15 @@ def test_toxicity_without_labels(spark, docs, rows):
     assert toxicity.toxicity(empty_of(docs), labels).count() == 0
 
 
+def test_toxicity_sample_of_a_hot_id(spark):
+    rows = [(1, f"text {i}") for i in range(300)] + [(2, "other"), (3, None), (3, "third"), (4, "fourth")]
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 0), (4, 1)], "doc_id long, toxic int")
+    how = toxicity.Training(per_class=2)
+    got = toxicity.sample(table(spark, rows), labels, how)
+    assert Counter(y for y, _ in got) == {0: 2, 1: 2} and {t for _, t in got} >= {b"other", b"fourth"}
+    assert got == toxicity.sample(table(spark, rows[::-1], 5), labels, how)
+
+
 # 9 ---------------------------------------------------------------------------------------------------------
 def test_license_scan(spark, rows):
     import duckdb
