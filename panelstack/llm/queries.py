@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import license_scan, line_templates
+from .conversation_repair import damaged, repair
 from .jaccard_join import jaccard_components
 from .paragraph_dedup import repeated_paragraphs
 from .phrase_index import contamination, digests
@@ -91,3 +93,8 @@ SQL["op9_license_scans"] = license_scan.sql()
 @query
 def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
