@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import license_scan, line_templates
+from . import fingerprints, license_scan, line_templates
 from .conversation_repair import damaged, repair
 from .jaccard_join import jaccard_components
 from .paragraph_dedup import repeated_paragraphs
@@ -98,3 +98,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
+
+
+@query
+def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")).drop("kept")
+
+
+SQL["op13_document_fingerprints"] = fingerprints.sql()
