@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import fingerprints, license_scan, line_templates
+from . import fingerprints, hard_negatives, license_scan, line_templates
 from .conversation_repair import damaged, repair
 from .jaccard_join import jaccard_components
 from .paragraph_dedup import repeated_paragraphs
@@ -100,6 +100,15 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repair(damaged(table(spark, sf_dir, "conversations")), present=F.col("present"))
 
 
+@query
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").withColumn("label", hard_negatives.relabelled())
+    return hard_negatives.mine(rows, asks=F.col("vec_id") % 100 == 0)
+
+
+SQL["op12_hard_negatives"] = hard_negatives.SQL
+
+
 @query
 def op13_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.edited_fingerprints(table(spark, sf_dir, "documents")).drop("kept")
