@@ -95,8 +95,8 @@ def sliced_metrics(df: DataFrame, truth: Sequence[str], pred: Sequence[str]) ->
 def trajectory_table(df: DataFrame, keys: Sequence[str], truth: Sequence[str],
                      pred: Sequence[str], target_names: Sequence[str] | None = None,
                      time: str = "year") -> DataFrame:
-    """Per series, time and target: truth, prediction and their gap."""
-    long = stack_pairs(df, truth, pred, keep=list(keys) + [time], target_names=target_names)
+    """Per series, time and target of complete pairs: truth, prediction and their gap."""
+    long = complete(stack_pairs(df, truth, pred, keep=list(keys) + [time], target_names=target_names))
     return long.select(*keys, time, "target", F.col("y").alias("truth"),
                        F.col("p").alias("prediction"), (F.col("p") - F.col("y")).alias("gap"))
 

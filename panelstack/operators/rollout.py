@@ -39,15 +39,43 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
     as p * factor + shift, in the lag's own space.  Returns keys, step and
     ``pred_<target>`` in the target's space.
     """
-    targets = list(targets)
-    lag_cols = _lag_spec(lag_cols)
-    rescale = rescale or {}
     feats = sorted({f for _, f, _ in coefficients if f != "(intercept)"})
-    max_k = max([k for _, k in lag_cols.values()] + [1])
-    rows = F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"),
-                                                *[F.col(f).cast("double").alias(f) for f in feats])))
-    grouped = df.groupBy(*keys).agg(rows.alias("_rows"))
+    grouped = df.groupBy(*keys).agg(_ordered(step, feats).alias("_rows"))
     coef = {(t, f): c for t, f, c in coefficients}
+    folded = _recursion(list(targets), feats, _lag_spec(lag_cols), rescale or {}, lambda t, f: coef.get((t, f)))
+    return _points(grouped, keys, step, targets, folded)
+
+
+def rollout_linear_by(df: DataFrame, keys: Sequence[str], step: str, targets: Sequence[str], features: Sequence[str],
+                      fits: DataFrame, by: str, lag_cols: dict[str, tuple[str, int]], carry: Sequence[str] = ()) -> DataFrame:
+    """``rollout_linear`` with a model for each value of ``by``, one of ``keys``.
+
+    ``fits`` holds ``by``, the ``carry`` columns and ``_b``: for each target an array of the intercept and the
+    coefficients of ``features`` in order. Every series is rolled out with all fits of its value (a table as long
+    as the folds and parameters, so it is broadcast). Returns keys, ``carry``, step and ``pred_<target>``.
+    """
+    targets, features = list(targets), list(features)
+    grouped = df.groupBy(*keys).agg(_ordered(step, features).alias("_rows"))
+    grouped = grouped.join(F.broadcast(fits.select(by, *carry, "_b")), by)
+    place = {f: i for i, f in enumerate(["(intercept)", *features])}
+    number = lambda t, f: F.get(F.get("_b", F.lit(targets.index(t))), F.lit(place[f]))
+    folded = _recursion(targets, features, _lag_spec(lag_cols), {}, number)
+    return _points(grouped, [*keys, *carry], step, targets, folded)
+
+
+def _ordered(step: str, feats: Sequence[str]):
+    """The rows of a series in time order."""
+    return F.array_sort(F.collect_list(F.struct(F.col(step).alias("s"), *[F.col(f).cast("double").alias(f) for f in feats])))
+
+
+def _points(grouped: DataFrame, keys: Sequence[str], step: str, targets: Sequence[str], folded) -> DataFrame:
+    out = grouped.select(*keys, F.explode(folded).alias("_p"))
+    return out.select(*keys, F.col("_p.s").alias(step), *[F.col(f"_p.{t}").alias(f"pred_{t}") for t in targets])
+
+
+def _recursion(targets: list[str], feats: Sequence[str], lag_cols: dict, rescale: dict, number):
+    """The predictions of ``_rows`` as one fold; ``number(target, feature)`` is a coefficient, a number or a column."""
+    max_k = max([k for _, k in lag_cols.values()] + [1])
     hist_type = "array<double>"
     init = F.struct(F.lit(0).alias("k"),
                     *[F.array().cast(hist_type).alias(f"h_{t}") for t in targets],
@@ -70,10 +98,11 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
 
         preds = {}
         for t in targets:
-            e = F.lit(coef.get((t, "(intercept)"), 0.0))
+            first = number(t, "(intercept)")
+            e = F.lit(0.0 if first is None else first)
             for f in feats:
-                c = coef.get((t, f))
-                if c:
+                c = number(t, f)
+                if not isinstance(c, (int, float, type(None))) or c:
                     e = e + F.lit(c) * feature(f)
             preds[t] = e
         hist = [F.slice(F.concat(F.array(preds[t]), acc[f"h_{t}"]), 1, max_k).alias(f"h_{t}")
@@ -81,9 +110,7 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
         point = F.struct(r["s"].cast("long").alias("s"), *[preds[t].alias(t) for t in targets])
         return F.struct((k + 1).alias("k"), *hist, F.concat(acc["out"], F.array(point)).alias("out"))
 
-    folded = grouped.select(*keys, F.explode(F.aggregate("_rows", init, merge)["out"]).alias("_p"))
-    return folded.select(*keys, F.col("_p.s").alias(step),
-                         *[F.col(f"_p.{t}").alias(f"pred_{t}") for t in targets])
+    return F.aggregate("_rows", init, merge)["out"]
 
 
 def rollout_stepwise(df: DataFrame, keys: Sequence[str], step: str, targets: Sequence[str],
