@@ -5,6 +5,13 @@ has a MinHash signature of its word shingles, cut into bands; classes that share
 chains of candidates form groups. In a group the exact Jaccard similarity of every two classes is computed from
 the shingle sets; those at or above the threshold are joined, and components of joined classes keep their first
 occurrence only. A group beyond a token limit is cut into blocks and every pair of blocks verified by itself.
+
+A passage may also stand inside a line or run over several. For those, word windows over the whole text, line
+feeds or not, are paragraphs too. A window begins where the hash of a shingle is the least among WINDOW_AMONG
+places in a row, so the same passage has the same windows wherever it stands, and any run of
+WINDOW_WORDS + WINDOW_AMONG - 1 words has one. So few words leave 0.8 only to windows that differ at their ends
+(a changed word takes five of 16 shingles), and those have neighbours: windows count as alike if equal. Repeated
+lines and windows of a text are merged to spans of words.
 """
 
 from __future__ import annotations
@@ -21,6 +28,8 @@ from .graph import components
 from .store import BROADCAST_ROWS, by_group, saved
 
 BLOCK_TOKENS = 2_000_000
+WINDOW_WORDS = 20
+WINDOW_AMONG = 30
 _SEEDS = np.random.default_rng(99).integers(1, 2**64, (2, 512), dtype=np.uint64) | np.uint64(1)
 
 
@@ -57,6 +66,76 @@ def paragraphs(data: bytes, at: np.ndarray, k: int, least: int):
         yield int(rows[first[p]]), int(number[first[p]]), int(size[p]), int(body[p]), hashes[begin[p] : begin[p + 1]]
 
 
+def window_starts(marks: np.ndarray, rows: np.ndarray, among: int) -> np.ndarray:
+    """Of the places of each row (ascending) those with the least mark, the first of equals, among some ``among``
+    in a row, or among all of the row if it has fewer."""
+    n = len(marks)
+    if not n:
+        return np.zeros(0, np.int64)
+    at = np.arange(n, dtype=np.uint64)
+    low = np.uint64(0xFFFF)
+    key = (marks & ~low) | (at & low)
+    least, span = key, 1
+    while span < min(among, n):  # minima of ``span`` places from each on
+        more = min(span, among - span)
+        if len(least) <= more:
+            break
+        least, span = np.minimum(least[:-more], least[more:]), span + more
+    found = [np.zeros(0, np.int64)]
+    if span == among:
+        whole = np.flatnonzero(rows[: n - among + 1] == rows[among - 1 :])
+        found.append(whole + ((least[whole] - whole.astype(np.uint64)) & low).astype(np.int64))
+    first = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))
+    few = np.diff(np.append(first, n)) < among
+    if few.any():
+        best = np.minimum.reduceat(key, first)[few]
+        found.append(first[few] + ((best - first[few].astype(np.uint64)) & low).astype(np.int64))
+    return np.unique(np.concatenate(found))
+
+
+def passages(data: bytes, at: np.ndarray, k: int, least: int, size: int, among: int):
+    """Rows, first words, word counts, classes and kinds (0 lines of at least ``least`` words, 1 windows) of a chunk."""
+    raw, starts, ends, rows = T.find_words(data, at, T.LOWER)
+    words = T.word_hashes(raw, starts, ends)
+    feeds = np.concatenate([[0], np.cumsum(raw == 10)])
+    number = feeds[starts]
+    new = np.ones(len(starts), bool)
+    new[1:] = (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])
+    first = np.flatnonzero(new)
+    many = np.diff(np.append(first, len(starts)))
+    first, many = first[many >= least], many[many >= least]
+    within = np.zeros(len(starts), bool)
+    if len(starts) >= size:
+        within[: len(starts) - size + 1] = rows[: len(starts) - size + 1] == rows[size - 1 :]
+    places = np.flatnonzero(within)
+    mark = np.zeros(len(places), np.uint64)
+    for i in range(min(k, size)):
+        mark += words[places + i] * T._PLACE[i]
+    begin = places[window_starts(T.mix(mark), rows[places], among)]
+    kind = np.append(np.zeros(len(first), np.int32), np.ones(len(begin), np.int32))
+    first, many = np.append(first, begin), np.append(many, np.full(len(begin), size))
+    up, down = T.powers(len(words))
+    total = np.zeros(len(words) + 1, np.uint64)
+    np.cumsum(words * up[: len(words)], dtype=np.uint64, out=total[1:])
+    cls = T.mix((total[first + many] - total[first]) * down[first] + many.astype(np.uint64)).view(np.int64)
+    text_first = np.searchsorted(rows, np.arange(len(at) - 1))
+    owner = rows[first]
+    order = np.argsort(owner, kind="stable")
+    return owner[order], (first - text_first[owner])[order], many[order], cls[order], kind[order]
+
+
+def _passages(k: int, least: int, size: int, among: int):
+    def run(batches):
+        for batch in batches:
+            for first, n, data, at in T.chunks(batch.column("text")):
+                rows, begin, many, cls, kind = passages(data, at, k, least, size, among)
+                where = pa.array(first + rows)
+                yield pa.RecordBatch.from_arrays([batch.column("doc_key").take(where), batch.column("doc_id").take(where), pa.array(begin), pa.array(many), pa.array(cls), pa.array(kind)],
+                                                 names=["doc_key", "doc_id", "first_word", "n_words", "class", "kind"])
+
+    return run
+
+
 def _list(k: int, least: int):
     def run(batches):
         for batch in batches:
@@ -156,20 +235,9 @@ def _group(percent: int):
     return work
 
 
-def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, least_words: int = 20, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per paragraph that repeats: doc_id, line, n_words, keep_doc_id, keep_line, removed.
-
-    Paragraphs are lines (cut at line feeds, numbered from 0) of at least ``least_words`` words; words are runs
-    of non-white-space after lower-casing A-Z. Two paragraphs are alike if the Jaccard similarity of their
-    distinct ``words``-word shingles is at least ``percent`` / 100; of each component of alike paragraphs the
-    first by (doc_id, line) is kept and the others are removed. Null, empty and short texts give no rows; rows
-    with a null id count as last; repeated rows count as repeated paragraphs. The banding finds a pair at the
-    threshold with probability ``recall`` and a closer one with more; equal paragraphs always.
-    """
-    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+def alike_lines(text: DataFrame, listed: DataFrame, words: int, percent: int, least_words: int, recall: float) -> DataFrame:
+    """(node, root) of the classes of lines in components of alike ones; ``listed`` has their class and n_words."""
     bands, rows = bands_for(percent / 100, recall)
-    listed = saved(docs.mapInArrow(_list(words, least_words), "doc_id long, line long, n_words long, class long"), "paragraphs")
-    text = docs.select("text")
     banded = saved(text.mapInArrow(_bands(words, least_words, bands, rows), "value long, class long").distinct(), "paragraph-bands")
     hubs = banded.groupBy("value").agg(F.min("class").alias("hub"), F.count("*").alias("many")).where("many > 1").select("value", "hub")
     groups = components(banded.join(hubs, "value").where("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")))
@@ -187,6 +255,22 @@ def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, leas
         joined = components(found)
     else:  # every class is in one block, so its label is its component's
         joined = found.select(F.col("a").alias("node"), F.col("b").alias("root"))
+    return joined
+
+
+def repeated_paragraphs(docs: DataFrame, words: int = 5, percent: int = 80, least_words: int = 20, recall: float = 0.999, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per paragraph that repeats: doc_id, line, n_words, keep_doc_id, keep_line, removed.
+
+    Paragraphs are lines (cut at line feeds, numbered from 0) of at least ``least_words`` words; words are runs
+    of non-white-space after lower-casing A-Z. Two paragraphs are alike if the Jaccard similarity of their
+    distinct ``words``-word shingles is at least ``percent`` / 100; of each component of alike paragraphs the
+    first by (doc_id, line) is kept and the others are removed. Null, empty and short texts give no rows; rows
+    with a null id count as last; repeated rows count as repeated paragraphs. The banding finds a pair at the
+    threshold with probability ``recall`` and a closer one with more; equal paragraphs always.
+    """
+    docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    listed = saved(docs.mapInArrow(_list(words, least_words), "doc_id long, line long, n_words long, class long"), "paragraphs")
+    joined = alike_lines(docs.select("text"), listed, words, percent, least_words, recall)
     named = listed.join(joined.select(F.col("node").alias("class"), "root"), "class", "left").withColumn("root", F.coalesce("root", "class"))
     kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "line")).alias("kept"), F.count("*").alias("many")).where("many > 1")
     same = F.col("doc_id").eqNullSafe(F.col("kept.doc_id")) & (F.col("line") == F.col("kept.line"))
@@ -198,3 +282,74 @@ def without_repeats(docs: DataFrame, repeats: DataFrame, id_col: str = "doc_id",
     gone = repeats.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line").alias("_gone"))
     lines = F.filter(F.split(F.col(text_col), "\n", -1), lambda x, i: ~F.array_contains(F.coalesce("_gone", F.array().cast("array<long>")), i.cast("long")))
     return docs.join(gone, F.col(id_col) == F.col("_id"), "left").withColumn(text_col, F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(F.array_join(lines, "\n"))).drop("_id", "_gone")
+
+
+def _cover(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """Merged [first, end) of overlapping or adjoining stretches of words."""
+    order = np.argsort(first, kind="stable")
+    first, end = first[order], np.maximum.accumulate((first + many)[order])
+    new = np.append(True, first[1:] > end[:-1])
+    return np.column_stack([first[new], end[np.append(np.flatnonzero(new)[1:] - 1, len(end) - 1)]])
+
+
+def _less(spans: np.ndarray, kept: np.ndarray) -> np.ndarray:
+    """``spans`` without the words of ``kept``, both merged."""
+    out = []
+    for a, b in spans.tolist():
+        for c, d in kept[np.searchsorted(kept[:, 1], a, "right") : np.searchsorted(kept[:, 0], b)].tolist():
+            if a < c:
+                out.append((a, c))
+            a = max(a, d)
+        if a < b:
+            out.append((a, b))
+    return np.array(out, np.int64).reshape(-1, 2)
+
+
+def _spans(group: pa.Table):
+    """One row per merged span of a text; words of a first occurrence are never removed."""
+    group = group.combine_chunks()
+    first, many, kept, keep_first = (group.column(c).to_numpy() for c in ("first_word", "n_words", "is_first", "keep_first_word"))
+    held = _cover(first[kept], many[kept]) if kept.any() else np.zeros((0, 2), np.int64)
+    gone = _less(_cover(first[~kept], many[~kept]), held) if not kept.all() else np.zeros((0, 2), np.int64)
+    order = np.argsort(first, kind="stable")
+    spans = np.concatenate([held, gone])
+    # the paragraph that begins a span, or the last one to begin before it, names the occurrence that stays
+    source = np.empty(len(spans), np.int64)
+    for mine, at in ((kept, slice(0, len(held))), (~kept, slice(len(held), None))):
+        places = order[mine[order]]
+        if len(places):
+            source[at] = places[np.searchsorted(first[places], spans[at, 0], "right") - 1]
+    names = ["doc_id", "first_word", "n_words", "keep_doc_id", "keep_first_word", "removed"]
+    removed = np.arange(len(spans)) >= len(held)
+    at_first = keep_first[source] + np.where(removed, spans[:, 0] - first[source], 0)
+    where = pa.array(source)
+    return pa.RecordBatch.from_arrays([group.column("doc_id").take(where).combine_chunks(), pa.array(spans[:, 0]), pa.array(spans[:, 1] - spans[:, 0]), group.column("keep_doc_id").take(where).combine_chunks(),
+                                       pa.array(at_first), pa.array(removed)], names=names)
+
+
+def repeated_passages(docs: DataFrame, words: int = 5, percent: int = 80, least_words: int = 20, recall: float = 0.999, window: int = WINDOW_WORDS, among: int = WINDOW_AMONG, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per span of words that repeats: doc_id, first_word, n_words, keep_doc_id, keep_first_word, removed.
+
+    Paragraphs are lines of at least ``least_words`` words, alike as in ``repeated_paragraphs``, and windows of
+    ``window`` words over the whole text (see above), alike if equal; a window must stand in two rows that differ
+    in id or text. Of alike paragraphs the first by (doc_id, word) is kept, rows with a null id count as last.
+    In each text the kept paragraphs are merged to spans with removed = false, and the words of the others, less
+    those of kept ones, to spans with removed = true; keep_doc_id and keep_first_word say where such a span's
+    first paragraph stays. Words are runs of non-white-space, numbered from 0. Null, empty and short texts give
+    no rows, rows alike in id and text are one, other columns are not read. Any passage of
+    ``window`` + ``among`` - 1 equal words in different texts is found, wherever it stands.
+    """
+    docs = docs.select(F.xxhash64(id_col, text_col).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    schema = "doc_key long, doc_id long, first_word long, n_words long, class long, kind int"
+    listed = saved(docs.mapInArrow(_passages(words, least_words, window, among), schema), "passages")
+    joined = alike_lines(docs.select("text"), listed.where("kind = 0"), words, percent, least_words, recall)
+    roots = saved(joined.select(F.col("node").alias("class"), "root"), "passage-roots")  # lines alike but not equal
+    named = listed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "first_word"))
+    place = F.struct("doc_key", "first_word")
+    kept = named.groupBy("root").agg(first.alias("kept"), F.min(place).alias("a"), F.max(place).alias("b"), F.min("kind").alias("kind"))
+    kept = saved(kept.where("a.doc_key <> b.doc_key or kind = 0 and a <> b").select("root", F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.first_word").alias("keep_first_word")), "passage-firsts")
+    small = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
+    is_first = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("first_word") == F.col("keep_first_word"))
+    hits = named.join(small, "root").select("doc_key", "doc_id", "first_word", "n_words", "keep_doc_id", "keep_first_word", is_first.alias("is_first")).distinct()
+    return by_group(hits, ["doc_key"], ["first_word"], _spans, "doc_id long, first_word long, n_words long, keep_doc_id long, keep_first_word long, removed boolean")

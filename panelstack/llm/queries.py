@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from . import fingerprints, hard_negatives, license_scan, line_templates
 from .conversation_repair import damaged, repair
 from .jaccard_join import jaccard_components
-from .paragraph_dedup import repeated_paragraphs
+from .paragraph_dedup import repeated_passages
 from .phrase_index import contamination, digests
 from .piece_codec import round_trip
 from .quality_rules import quality
@@ -52,7 +52,7 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return repeated_paragraphs(table(spark, sf_dir, "documents"))
+    return repeated_passages(table(spark, sf_dir, "documents"))
 
 
 @query

@@ -152,6 +152,106 @@ def paragraphs(rows, k, percent, least):
                 yield found[i][0], found[i][1], found[i][2], d, line, (found[i][0], found[i][1]) != (d, line)
 
 
+def test_window_starts():
+    """Every run of ``among`` places has one, and it follows from the run alone."""
+    g = np.random.default_rng(3)
+    sizes = [0, 1, 5, 6, 7, 40, 300, 2]
+    rows = np.repeat(np.arange(len(sizes)), sizes)
+    marks = g.integers(0, 2**63, len(rows)).astype(np.uint64) * np.uint64(1 << 20)
+    for among in (1, 2, 6, 7, 30):
+        got = set(paragraph_dedup.window_starts(marks, rows, among).tolist())
+        expected, at = set(), 0
+        for n in sizes:
+            for j in range(max(1, n - among + 1) if n else 0):
+                run = range(at + j, at + min(n, j + among))
+                expected.add(min(run, key=lambda i: (int(marks[i]) >> 16, i)))
+            at += n
+        assert got == expected
+
+
+def covered(rows, k, percent, least, window, among):
+    """(doc, first, n, removed) of the merged spans, from all pairs of lines and all places of windows."""
+    texts = sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, str(r[1])))
+    found = []  # text, first word, words, key, kind
+    for at, (_, t) in enumerate(texts):
+        w, begin = [x.lower() for x in brute.words(t)], 0
+        for line in (t or "").split("\n"):
+            n = len(brute.words(line))
+            if n >= least:
+                found.append((at, begin, n, tuple(w[begin : begin + n]), 0))
+            begin += n
+        h = T.word_hashes(*T.find_words((t or "").encode(), np.array([0, len((t or "").encode())]), T.LOWER)[:3])
+        starts = range(len(w) - window + 1)
+        marks = [int(T.mix(np.add.reduce(h[i : i + k] * T._PLACE[:k], dtype=np.uint64)[None])[0]) >> 16 for i in starts]
+        chosen = {min(starts[j : j + among], key=lambda i: (marks[i], i)) for j in range(max(1, len(starts) - among + 1) if len(starts) else 0)}
+        found += [(at, i, window, tuple(w[i : i + window]), 1) for i in chosen]
+    groups = brute.Sets(range(len(found)))
+    lines = [i for i, f in enumerate(found) if f[4] == 0]
+    sets = {i: brute.shingles(" ".join(x.decode() for x in found[i][3]), k) for i in lines}
+    for i in lines:
+        for j in lines:
+            if j < i and 100 * len(sets[i] & sets[j]) >= percent * len(sets[i] | sets[j]):
+                groups.join(i, j)
+    by_words = defaultdict(list)
+    for i, f in enumerate(found):
+        by_words[f[3]].append(i)
+    for same_words in by_words.values():
+        for i in same_words:
+            groups.join(same_words[0], i)
+    members = defaultdict(list)
+    for i in range(len(found)):
+        members[groups.find(i)].append(i)
+    kept, gone = defaultdict(set), defaultdict(set)
+    for m in members.values():
+        if len({found[i][:2] for i in m}) > 1 and (len({found[i][0] for i in m}) > 1 or any(found[i][4] == 0 for i in m)):
+            key = lambda i: (texts[found[i][0]][0] is None, texts[found[i][0]][0] or 0, found[i][1])
+            first = min(map(key, m))
+            for i in m:
+                (kept if key(i) == first else gone)[found[i][0]].update(range(found[i][1], found[i][1] + found[i][2]))
+    for at, (d, _) in enumerate(texts):
+        for removed, held in ((False, kept[at]), (True, gone[at] - kept[at])):
+            held = sorted(held)
+            for i, x in enumerate(held):
+                if i == 0 or held[i - 1] != x - 1:
+                    n = next((j for j in range(i, len(held)) if j + 1 == len(held) or held[j + 1] != held[j] + 1), i) - i + 1
+                    yield d, x, n, removed
+
+
+@pytest.mark.parametrize("window,among,least", [(8, 6, 5), (paragraph_dedup.WINDOW_WORDS, paragraph_dedup.WINDOW_AMONG, 20)])
+def test_repeated_passages(docs, rows, window, among, least):
+    got = paragraph_dedup.repeated_passages(docs, words=5, percent=80, least_words=least, recall=0.999999, window=window, among=among).collect()
+    same([(r.doc_id, r.first_word, r.n_words, r.removed) for r in got], list(covered(rows, 5, 80, least, window, among)))
+    words = defaultdict(set)
+    for d, t in rows:
+        words[d].add(tuple(x.lower() for x in brute.words(t)))
+    for r in got:
+        if r.removed and r.n_words == window:  # a window by itself stands word for word where it is kept
+            here = {w[r.first_word : r.first_word + r.n_words] for w in words[r.doc_id]}
+            assert here & {w[r.keep_first_word : r.keep_first_word + r.n_words] for w in words[r.keep_doc_id]}
+    assert paragraph_dedup.repeated_passages(empty_of(docs)).count() == 0
+
+
+def test_planted_passages(spark):
+    """With the registered parameters: passages of 50 words and more inside lines, over line feeds and in short lines."""
+    g = np.random.default_rng(8)
+    word = lambda: "".join(g.choice(list("abcdefgh"), g.integers(2, 9)))
+    passages = [[word() for _ in range(int(n))] for n in g.integers(50, 120, 30)]
+    rows, planted = [], set()
+    for doc in range(400):
+        w = [word() for _ in range(int(g.integers(60, 400)))]
+        if doc % 2:
+            at = int(g.integers(0, len(w)))
+            w[at:at] = passages[doc % 30]
+            planted.add(doc)
+        glue = [" ", "\n", " "][doc % 3]
+        rows.append((doc, "".join(x + (glue if g.random() < 0.3 else " ") for x in w)))
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(5)).collect()
+    found = {r.doc_id for r in got}
+    assert len(found & planted) >= 0.99 * len(planted) and not found - planted
+    assert len({r.doc_id for r in got if r.removed}) == len(planted) - len({d % 30 for d in planted})
+    assert all(r.n_words <= 120 for r in got)
+
+
 @pytest.mark.parametrize("block", [2_000_000, 60])
 def test_repeated_paragraphs(docs, rows, monkeypatch, block):
     monkeypatch.setattr(paragraph_dedup, "BLOCK_TOKENS", block)
