@@ -18,7 +18,7 @@ from ..operators import windows as W
 from ..plans.base import KEYS, TARGETS, VARS, yearly_wide
 from ..plans.build import BuildSpec, build_panel, series_wide
 from ..plans.prepare import prepare_tabular
-from ..session import materialize
+from ..session import materialize, stored
 from ..sources import dims, panels
 from ..sources.panels import with_panels
 from . import register
@@ -285,7 +285,7 @@ _SERIES = "model, scenario, scenario_category, region"
 
 def _complete(spark, sf_dir):
     """The build with every variable required, keys not counted: incomplete rows go."""
-    raw = materialize(panels.raw_wide_yearly(spark, sf_dir))
+    raw = stored(panels.raw_wide_yearly(spark, sf_dir))
     spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=1.0, count_keys=False)
     return build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark), dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)
 

@@ -10,7 +10,7 @@ from ..operators.reshape import (coerce_numeric, extract_marker, place_columns,
                                  unpivot_years, year_columns)
 from ..plans.base import KEYS, TARGETS, VARS, ragged_wide, yearly_wide
 from ..plans.build import BuildSpec, build_panel
-from ..session import materialize, shared_dir
+from ..session import shared_dir, stored
 from ..sources import dims, files, panels
 from ..sources.panels import FIXTURE_YEARS, with_panels
 from . import register
@@ -319,7 +319,7 @@ WHERE w.year >= e.effective_base_year
 @register("c18_build_panel", _C18_SQL, doubles=[v.lower() for v in _SEL_VARS])
 def c18_build_panel(spark, sf_dir):
     # the raw tables are read by several passes (counts, selection, base years)
-    raw = materialize(panels.raw_wide_yearly(spark, sf_dir))
+    raw = stored(panels.raw_wide_yearly(spark, sf_dir))
     spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=0.4)
     res = build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark),
                       dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)

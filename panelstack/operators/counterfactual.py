@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .features import interpolate
-from .stats import exact_median_wide
+from .stats import grouped_medians
 
 
 def region_summary(df: DataFrame, region: str, families: Sequence[str] | None = None) -> DataFrame:
@@ -89,7 +89,7 @@ def feature_lookup(df: DataFrame, reps: DataFrame, cols: Sequence[str], region:
         any_val = e if any_val is None else any_val | e
     flag = d.groupBy("model").agg(F.max((F.col("region") == region) & any_val).alias("_in_region"))
     src = d.join(flag, "model").where(~F.col("_in_region") | (F.col("region") == region))
-    med = exact_median_wide(src, ["model", "year"], cols)
+    med = grouped_medians(src, ["model", "year"], cols)
     per = med.groupBy("model", "year").agg(
         *[F.max(F.when(F.col("feature") == c, F.col("median"))).alias(c) for c in cols])
     # every (model, year) of the source, also those without any value

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from ..session import checked_broadcast
 
 from ..functions.columns import any_null, col
-from .stats import exact_median_wide
+from .stats import grouped_medians
 
 
 def series_window(keys: Sequence[str], time: str = "year"):
@@ -145,14 +145,7 @@ def fit_medians(train: DataFrame, cols: Sequence[str], by: str = "region_scale")
 
     Long result (by, feature, median); at most (#groups + 1) x #cols rows.
     """
-    # one pass: every row counts for its own group and for the global group
-    tagged = train.select(F.explode(F.array(F.struct(F.col(by).cast("string").alias("g"),
-                                                     F.lit(False).alias("all")),
-                                            F.struct(F.lit(None).cast("string").alias("g"),
-                                                     F.lit(True).alias("all")))).alias("_k"),
-                          *[F.col(c) for c in cols])
-    tagged = tagged.select(F.col("_k.g").alias(by), F.col("_k.all").alias("_all"), *cols)
-    med = exact_median_wide(tagged, [by, "_all"], cols)
+    med = grouped_medians(train.withColumn(by, F.col(by).cast("string")), [by], cols, total=True)
     return med.where(F.col(by).isNotNull() | F.col("_all")).select(by, "feature", "median")
 
 

@@ -16,6 +16,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .stats import null_safe_join
 
 
@@ -44,6 +45,7 @@ def split_by_series(df: DataFrame, keys: Sequence[str], test_size: float = 0.1,
 
     Order after the seeded shuffle: train first, then val, then test.
     """
+    df = stored(df, "series")  # read twice: keys, then rows
     r = rank_groups(df, keys, seed)
     n = F.col("n")
     n_test = F.floor(n * F.lit(test_size))
@@ -57,6 +59,7 @@ def split_by_series(df: DataFrame, keys: Sequence[str], test_size: float = 0.1,
 
 def group_kfold(df: DataFrame, keys: Sequence[str], k: int, seed=42, out: str = "fold") -> DataFrame:
     """Every series in exactly one fold; the first ``n % k`` folds get one extra series."""
+    df = stored(df, "series")  # read twice: keys, then rows
     r = rank_groups(df, keys, seed)
     n_groups = r.select("n").limit(1).collect()
     if not n_groups or n_groups[0][0] < k:
@@ -73,6 +76,7 @@ def group_kfold(df: DataFrame, keys: Sequence[str], k: int, seed=42, out: str =
 def holdout_series(df: DataFrame, keys: Sequence[str], frac: float = 0.1, seed=0,
                    out: str = "holdout") -> DataFrame:
     """Flag ``round(frac * n)`` series (half to even) as the monitoring subset."""
+    df = stored(df, "series")  # read twice: keys, then rows
     r = rank_groups(df, keys, seed)
     m = F.bround(F.col("n") * F.lit(frac), 0)
     return null_safe_join(df, r.select(*keys, (F.col("rank") < m).alias(out)), list(keys))

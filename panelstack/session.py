@@ -95,3 +95,17 @@ def materialize(df):
     """
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def stored(df, purpose: str = "stored"):
+    """Write the table once as Parquet in the shared folder and read it back.
+
+    Like ``materialize`` it cuts the lineage and outlives lost executors; later passes read only their columns
+    and counts come from the footers, but partitioning and order are not kept. The files go when the session ends.
+    """
+    spark = df.sparkSession
+    path = shared_dir(spark, purpose)
+    df.write.parquet(path)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)

@@ -12,7 +12,7 @@ from panelstack.operators import quality as Q
 from panelstack.operators import rollout as R
 from panelstack.operators import split as S
 from panelstack.operators.reshape import unpivot_years
-from panelstack.operators.stats import exact_median
+from panelstack.operators.stats import exact_median, grouped_medians
 from panelstack.plans.base import KEYS, TARGETS, ragged_wide, yearly_wide
 from panelstack.sources import files
 
@@ -148,3 +148,35 @@ def test_rank_trials_resume_bookkeeping(spark):
     assert [r.dropout for r in out["stage2_remaining"].collect()] == [0.2]
     best = out["best"].collect()[0]
     assert best.stage == "stage2" and best.val_loss == 0.30
+
+
+def test_grouped_medians_equal_numpy(spark):
+    """Hot values and groups, null groups and values, empty columns, negative and infinite values, the total."""
+    rng = random.Random(6)
+    rows = [(rng.choice(["a", "b", "b", "b", None]), rng.choice([3.0, 3.0, rng.gauss(0, 9), None]), rng.lognormvariate(0, 6) * rng.choice([-1, 1]), None) for _ in range(6000)]
+    rows += [("c", 1.0, float("inf"), None), ("c", 2.0, 4.0, None), ("d", None, -0.0, None), ("e", 5.0, None, None)]
+    df = spark.createDataFrame(rows, "g string, x double, y double, z double").repartition(5)
+    for accuracy in (10_000, 40):  # at 40 a tenth of the rows lies between the bounds, at 10,000 a few
+        got = {(r.g, r["_all"], r.feature): r.median for r in grouped_medians(df, ["g"], ["x", "y", "z"], total=True, accuracy=accuracy).collect()}
+        expected = {}
+        for i, c in enumerate("xyz", 1):
+            for g in ("a", "b", None, "c", "d", "e"):
+                if v := [r[i] for r in rows if r[0] == g and r[i] is not None]:
+                    expected[g, False, c] = float(np.median(v))
+            if v := [r[i] for r in rows if r[i] is not None]:
+                expected[None, True, c] = float(np.median(v))
+        assert got == pytest.approx(expected)
+    one = grouped_medians(df, [], ["x"]).collect()
+    assert len(one) == 1 and one[0]["median"] == pytest.approx(float(np.median([r[1] for r in rows if r[1] is not None])))
+    assert grouped_medians(df.limit(0), ["g"], ["x"], total=True).count() == 0
+
+
+def test_medians_outside_the_bounds_are_still_exact(spark, monkeypatch):
+    """If the percentiles did not bracket a median, all values of the column are ranked."""
+    from pyspark.sql import functions as F
+
+    from panelstack.operators import stats
+
+    monkeypatch.setattr(stats.F, "percentile_approx", lambda c, near, accuracy: F.array(F.max(c), F.max(c)))
+    df = spark.createDataFrame([("a", float(i)) for i in range(101)], "g string, x double")
+    assert [r["median"] for r in stats.grouped_medians(df, ["g"], ["x"], total=True).collect()] == [50.0, 50.0]
