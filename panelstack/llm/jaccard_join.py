@@ -59,7 +59,7 @@ def _sketch_slot(s: np.ndarray) -> np.ndarray:
 
 def _describe(words: int, bins: int):
     """Per row its set's size, fingerprint and histogram; at the end the partition's token counts."""
-    names = ["doc_id", "carried", "n", "cid", "hist", "block", "counts"]
+    names = ["doc_id", "carried", "mark", "n", "cid", "hist", "block", "counts"]
 
     def run(batches):
         sketch = np.zeros(1 << SKETCH_BITS, np.int64)
@@ -73,11 +73,11 @@ def _describe(words: int, bins: int):
                     if len(s):
                         np.add.at(sketch, _sketch_slot(s), 1)
             k = batch.num_rows
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("carried"), batch.column("mark"), pa.array(n, pa.int64()), pa.array(cid, pa.int64()), pa.array(hist, pa.binary()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.binary())], names=names)
         blocks = [i for i in range(len(sketch) // SKETCH_BLOCK) if sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].any()]
         k = len(blocks)
         counts = [sketch[i * SKETCH_BLOCK : (i + 1) * SKETCH_BLOCK].tobytes() for i in blocks]
-        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(4)), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], names=names)
+        yield pa.RecordBatch.from_arrays([*(pa.nulls(k, pa.int64()) for _ in range(5)), pa.nulls(k, pa.binary()), pa.array(blocks, pa.int32()), pa.array(counts, pa.binary())], names=names)
 
     return run
 
@@ -383,9 +383,12 @@ def _sets_of(words: int):
     return run
 
 
-def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None) -> DataFrame:
+def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str = "doc_id", text_col: str = "text", carry: str | None = None, root: str | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, n_shingles, component_id, n_links, and ``carry``, a long column to pass on.
 
+    ``root`` names a further column that tells components apart even if their ids are missing or repeated; null
+    for rows without words.
+
     Words are maximal runs of non-white-space after lower-casing A-Z; a set holds the distinct ``words``-word
     shingles, or the whole sequence if there are fewer words. Two rows link when 100 * intersection >=
     ``percent`` * union. component_id is the smallest id reachable by links, the row's own included (null only
@@ -397,10 +400,12 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     spark = docs.sparkSession
     carried = F.col(carry) if carry else F.lit(None)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), carried.cast("long").alias("carried"), F.col(text_col).alias("text"))
-    described = saved(docs.mapInArrow(_describe(words, hist_bins(percent)), "doc_id long, carried long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
+    docs = docs.withColumn("mark", F.xxhash64("text"))
+    described = saved(docs.mapInArrow(_describe(words, hist_bins(percent)), "doc_id long, carried long, mark long, n long, cid long, hist binary, block int, counts binary"), "jaccard-sets")
     sketch = spark.sparkContext.broadcast(_sum_sketch(described.where("block is not null").select("block", "counts")))
-    rows = described.where("n is not null").select("doc_id", "carried", "n", "cid", "hist")
-    classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.first("n").cast("int").alias("n"), F.first("hist").alias("hist")), "jaccard-classes")
+    rows = described.where("n is not null").select("doc_id", "carried", "mark", "n", "cid", "hist")
+    # a class is represented by the rows of one id and text
+    classes = saved(rows.where("n > 0").groupBy("cid").agg(F.min("doc_id").alias("rep"), F.min(F.struct("doc_id", "mark")).alias("who"), F.first("n").cast("int").alias("n"), F.first("hist").alias("hist")), "jaccard-classes")
 
     postings = docs.select("text").mapInArrow(_prefixes(words, percent, sketch), "token long, cid long, n int")
     shared = saved(postings.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(_shared(percent), "token long, cid long"), "jaccard-shared")
@@ -408,11 +413,11 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
     edges = known.repartition("token").sortWithinPartitions("token", "n", "cid").mapInArrow(_bucket_edges(percent), "a long, b long")
     groups = components(edges)
 
-    members = groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "rep", "n"), "cid")
+    members = groups.select(F.col("node").alias("cid"), F.col("root").alias("grp")).join(classes.select("cid", "who", "n"), "cid")
     weight = members.groupBy("grp").agg(F.sum("n").alias("tokens")).select("grp", F.ceil(F.col("tokens") / BLOCK_TOKENS).cast("int").alias("blocks"))
-    needed = saved(members.join(weight, "grp").select("grp", "cid", "rep", "blocks"), "jaccard-members")
+    needed = saved(members.join(weight, "grp").select("grp", "cid", "who", "blocks"), "jaccard-members")
     small = F.broadcast(needed) if needed.count() <= BROADCAST_ROWS else needed
-    sets = docs.join(small, F.col("doc_id").eqNullSafe(F.col("rep"))).select("text", "grp", "cid", "blocks").mapInArrow(_sets_of(words), "grp long, cid long, blocks int, tokens binary")
+    sets = docs.join(small, F.col("doc_id").eqNullSafe(F.col("who.doc_id")) & (F.col("mark") == F.col("who.mark"))).select("text", "grp", "cid", "blocks").mapInArrow(_sets_of(words), "grp long, cid long, blocks int, tokens binary")
     block = F.pmod(F.xxhash64("cid"), F.col("blocks")).cast("int")
     sets = sets.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     sets = sets.select("grp", F.least("block", "other").alias("first"), F.greatest("block", "other").alias("second"), "cid", "block", "blocks", "tokens")
@@ -424,8 +429,9 @@ def jaccard_components(docs: DataFrame, words: int, percent: int, id_col: str =
         counts = counts.join(joined.select(F.col("node").alias("cid"), F.col("root").alias("whole")), "cid", "left").withColumn("root", F.coalesce("whole", "root"))
     classes = classes.join(counts.select("cid", "root", "n_links"), "cid", "left").withColumn("root", F.coalesce("root", "cid"))
     least = classes.groupBy("root").agg(F.min("rep").alias("component_id"))
-    final = classes.join(least, "root").select("cid", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
-    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *([F.col("carried").alias(carry)] if carry else [])]
-    whole = rows.drop("hist").where("n > 0").join(final, "cid").select(*out)
-    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long"))
+    final = classes.join(least, "root").select("cid", "root", "component_id", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+    out = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "n_links", *([F.col("carried").alias(carry)] if carry else []), *([F.col("root").alias(root)] if root else [])]
+    rows = rows.drop("hist", "mark")
+    whole = rows.where("n > 0").join(final, "cid").select(*out)
+    empty = rows.where("n = 0").withColumn("component_id", F.col("doc_id")).withColumn("n_links", F.lit(0).cast("long")).withColumn("root", F.lit(None).cast("long"))
     return whole.unionByName(empty.select(*out))

@@ -53,6 +53,7 @@ def test_stages(spark, sf_dir, monkeypatch):
     linked = brute.jaccard(rows, 5, 80)
     stays = {(i, t) for (i, t), (n, c, _) in zip(rows, linked) if c == i}
     assert set(plain(unique)) == stays and len([x for x in plain(unique) if brute.words(x[1])]) == len({x for x in stays if brute.words(x[1])})
+    assert len(plain(unique)) - len([x for x in plain(unique) if brute.words(x[1])]) == len([x for x in rows if not brute.words(x[1])])
 
     rows = plain(unique)
     clean = C.drop_contaminated(spark, unique, sf_dir)
@@ -77,3 +78,52 @@ def test_stages_on_an_empty_table(spark, sf_dir):
         docs = stage(spark, docs, sf_dir)
         assert docs.columns == ["doc_id", "text", "lang", "source", "n_chars"] and docs.count() == 0
     assert C.encode_pieces(spark, docs, sf_dir).count() == 0
+
+
+NEAR = " ".join(f"word{i}" for i in range(60))
+
+
+def test_near_duplicates_of_repeated_and_missing_ids(spark, sf_dir):
+    """One row a component, whatever its ids; rows without words all stay."""
+    other = " ".join(f"other{i}" for i in range(60))
+    rows = [(8, NEAR), (8, NEAR + " end"), (None, NEAR + " tail"), (8, other), (None, other + " x"), (5, ""), (5, ""), (5, None), (5, None), (6, " \n"), (7, "lone words here"), (7, "lone words here")]
+    extra = [(*r, f"l{i}", None if i % 2 else "s", i, i, "g", 0.5) for i, r in enumerate(rows)]
+    docs = spark.createDataFrame(extra, SCHEMA + ", __row_key int, __gone string, __again double").repartition(4)
+    out = C.drop_near_duplicates(spark, docs, sf_dir)
+    assert out.columns == docs.columns
+    got = [(r.doc_id, r.text, r.lang) for r in out.collect()]
+    assert sorted(x[0] for x in got if brute.words(x[1])) == [7, 8, 8]
+    assert {x[1].split()[0] for x in got if x[0] == 8} == {"word0", "other0"}
+    assert (7, "lone words here", "l10") in got  # the first by its other columns
+    assert sorted(map(str, (x[:2] for x in got if not brute.words(x[1])))) == sorted(map(str, (r for r in rows if not brute.words(r[1]))))
+    # repeated rows without words do not change what happens to others
+    assert sorted(map(str, plain(C.drop_near_duplicates(spark, docs.where("doc_id = 5"), sf_dir)))) == sorted(map(str, [(5, ""), (5, ""), (5, None), (5, None)]))
+
+
+def test_one_id_for_all_rows_is_linear(spark):
+    """The join that fetches the texts of classes gives a row a text, not one for every pair of them."""
+    from panelstack.llm import jaccard_join
+
+    sets_of = jaccard_join._sets_of
+    counted = spark.sparkContext.accumulator(0)
+
+    def counting(words):
+        work = sets_of(words)
+
+        def run(batches):
+            def passed():
+                for b in batches:
+                    counted.add(b.num_rows)
+                    yield b
+
+            yield from work(passed())
+
+        return run
+
+    jaccard_join._sets_of = counting
+    try:
+        rows = [(1, NEAR + f" e{i}") for i in range(150)] + [(None, NEAR + f" f{i}") for i in range(150)]
+        got = jaccard_join.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), 5, 80).collect()
+    finally:
+        jaccard_join._sets_of = sets_of
+    assert {r.component_id for r in got} == {1} and {r.n_links for r in got} == {299} and 0 < counted.value <= 600
