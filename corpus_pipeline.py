@@ -7,7 +7,7 @@ the shared folder and reads them again for the next one. All stages but the last
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from panelstack.llm import line_templates, phrase_index, piece_codec, toxicity
@@ -23,11 +23,30 @@ def row_key():
     return F.xxhash64("doc_id", "text")
 
 
+def _fresh(docs: DataFrame, name: str) -> str:
+    """``name``, longer until no column of ``docs`` has it."""
+    while name in docs.columns:
+        name += "_"
+    return name
+
+
 def _without(docs: DataFrame, keys: DataFrame) -> DataFrame:
     """``docs`` without the rows of these keys; the keys are broadcast if counted and few."""
-    keys = saved(keys.select(F.col(KEY).alias("__gone")).distinct(), "pipeline-removed")
+    gone = _fresh(docs, "__gone")
+    keys = saved(keys.select(F.col(KEY).alias(gone)).distinct(), "pipeline-removed")
+    small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
+    return docs.join(small, row_key() == F.col(gone), "left_anti")
+
+
+def _one_each(docs: DataFrame, keys: DataFrame) -> DataFrame:
+    """``docs`` with one row, the first by its other columns (nulls first), of those with each of these keys."""
+    again, nth = _fresh(docs, "__again"), _fresh(docs, "__nth")
+    keys = saved(keys.select(F.col(KEY).alias(again)).distinct(), "pipeline-repeated")
     small = F.broadcast(keys) if keys.count() <= BROADCAST_ROWS else keys
-    return docs.join(small, row_key() == F.col("__gone"), "left_anti")
+    several = docs.join(small, row_key() == F.col(again))
+    order = [F.col(f"`{c}`") for c in docs.columns if c not in ("doc_id", "text")] or [F.lit(0)]
+    first = several.withColumn(nth, F.row_number().over(Window.partitionBy(again).orderBy(*order))).where(F.col(nth) == 1)
+    return docs.join(small, row_key() == F.col(again), "left_anti").unionByName(first.select(*(f"`{c}`" for c in docs.columns)))
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,16 +69,17 @@ def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles the one with
-    the smallest id stays. Texts without words link with nothing and stay. Rows that repeat an id and text give
-    one row."""
+    """Of each group of documents linked by a Jaccard similarity of 0.8 or more of five-word shingles one stays: the
+    smallest id (nulls last), of several rows of that id the one of least key. Texts without words (null, empty,
+    white space) link with nothing and all stay. Rows that repeat an id and a worded text give one row, the first
+    by its other columns."""
     ship(spark)
     keyed = docs.withColumn(KEY, row_key())
-    linked = saved(jaccard_components(keyed, words=5, percent=80, carry=KEY), "pipeline-near")
-    kept = _without(docs, linked.where("not (doc_id <=> component_id)"))
-    if linked.where("n_shingles > 0").groupBy(KEY).count().where("count > 1").limit(1).count():
-        kept = kept.dropDuplicates(["doc_id", "text"])
-    return kept
+    linked = saved(jaccard_components(keyed, words=5, percent=80, carry=KEY, root="component").where("n_shingles > 0"), "pipeline-near")
+    first = linked.groupBy("component").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", KEY))[KEY].alias("stays"))
+    others = linked.join(first, "component").where(F.col(KEY) != F.col("stays"))
+    repeated = linked.groupBy(KEY).agg(F.count("*").alias("many")).where("many > 1")
+    return _one_each(_without(docs, others), repeated)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
