@@ -30,6 +30,10 @@ from .store import BROADCAST_ROWS, by_group, saved
 BLOCK_TOKENS = 2_000_000
 WINDOW_WORDS = 20
 WINDOW_AMONG = 30
+#: Band values tied at once in a task, windows looked at together in one, and how many of a class leave it as they are.
+BAND_ROWS = 1 << 20
+WINDOW_ROWS = 1 << 19
+WINDOW_FEW = 8
 _SEEDS = np.random.default_rng(99).integers(1, 2**64, (2, 512), dtype=np.uint64) | np.uint64(1)
 
 
@@ -43,11 +47,13 @@ def bands_for(threshold: float, recall: float, most: int = 16) -> tuple[int, int
     raise ValueError("no banding reaches this recall")
 
 
-def paragraphs(data: bytes, at: np.ndarray, k: int, least: int):
-    """Paragraphs of at least ``least`` words of a chunk: row, line number, words, class, sorted shingle sets."""
+def lines_of(data: bytes, at: np.ndarray, k: int, least: int):
+    """The lines of at least ``least`` words of a chunk: row, line number, words, class, and their shingles' hashes
+    one line after another with where each line's begin."""
     raw, starts, ends, rows = T.find_words(data, at, T.LOWER)
     if not len(starts):
-        return
+        none = np.zeros(0, np.int64)
+        return none, none, none, none, np.zeros(0, np.uint64), np.zeros(1, np.int64)
     words = T.word_hashes(raw, starts, ends)
     feeds = np.concatenate([[0], np.cumsum(raw == 10)])
     number = feeds[starts] - feeds[at[rows]]
@@ -55,15 +61,23 @@ def paragraphs(data: bytes, at: np.ndarray, k: int, least: int):
     new[1:] = (rows[1:] != rows[:-1]) | (number[1:] != number[:-1])
     first = np.flatnonzero(new)
     size = np.diff(np.append(first, len(starts)))
-    paragraph = np.repeat(np.arange(len(first)), size)
-    hashes, owner = T.shingle_hashes(words, paragraph, len(first), k)
-    begin = np.concatenate([[0], np.cumsum(T.row_counts(owner, len(first)))])
     up, down = T.powers(len(words))
     total = np.zeros(len(words) + 1, np.uint64)
     np.cumsum(words * up[: len(words)], dtype=np.uint64, out=total[1:])
     body = T.mix((total[first + size] - total[first]) * down[first] + size.astype(np.uint64)).view(np.int64)
-    for p in np.flatnonzero(size >= least):
-        yield int(rows[first[p]]), int(number[first[p]]), int(size[p]), int(body[p]), hashes[begin[p] : begin[p + 1]]
+    enough = size >= least
+    inside = np.repeat(enough, size)
+    first, size, body = first[enough], size[enough], body[enough]
+    hashes, owner = T.shingle_hashes(words[inside], np.repeat(np.arange(len(first)), size), len(first), k)
+    begin = np.concatenate([[0], np.cumsum(T.row_counts(owner, len(first)))])
+    return rows[first], number[first], size, body, hashes, begin
+
+
+def paragraphs(data: bytes, at: np.ndarray, k: int, least: int):
+    """Paragraphs of at least ``least`` words of a chunk: row, line number, words, class, hashes of shingles."""
+    rows, number, size, body, hashes, begin = lines_of(data, at, k, least)
+    for p in range(len(rows)):
+        yield int(rows[p]), int(number[p]), int(size[p]), int(body[p]), hashes[begin[p] : begin[p + 1]]
 
 
 def window_starts(marks: np.ndarray, rows: np.ndarray, among: int) -> np.ndarray:
@@ -124,18 +138,112 @@ def passages(data: bytes, at: np.ndarray, k: int, least: int, size: int, among:
     return owner[order], (first - text_first[owner])[order], many[order], cls[order], kind[order]
 
 
+def _apart(*columns: np.ndarray) -> np.ndarray:
+    """Whether a row differs from the one before it."""
+    new = np.ones(len(columns[0]), bool)
+    new[1:] = np.logical_or.reduce([c[1:] != c[:-1] for c in columns])
+    return new
+
+
+_PLACE_SCHEMA = "class long, doc_key long, doc_id long, first_word long, n_words long, kind int, extra boolean, hot boolean"
+
+
 def _passages(k: int, least: int, size: int, among: int):
+    """Lines and windows. Of a class of windows only the first WINDOW_FEW in WINDOW_ROWS are to be dealt out by
+    class; the others are ``extra``, and those that have such are ``hot``."""
+    names = [x.split()[0] for x in _PLACE_SCHEMA.split(", ")]
+
+    def batch_of(cls, key, doc, null, first, many, kind, extra, hot):
+        return pa.RecordBatch.from_arrays([pa.array(cls), pa.array(key), pa.array(doc, mask=null), pa.array(first), pa.array(many), pa.array(kind), pa.array(extra), pa.array(hot)], names=names)
+
+    def windows(parts):
+        cls, key, doc, null, first, many = (np.concatenate(x) for x in zip(*parts))
+        order = np.lexsort((first, key, doc, null, cls))
+        cls, key, doc, null, first, many = (x[order] for x in (cls, key, doc, null, first, many))
+        once = _apart(cls, key, first)
+        cls, key, doc, null, first, many = (x[once] for x in (cls, key, doc, null, first, many))
+        new = np.flatnonzero(np.append(True, cls[1:] != cls[:-1]))
+        length = np.diff(np.append(new, len(cls)))
+        at = np.arange(len(cls))
+        other = np.minimum.reduceat(np.where(key != np.repeat(key[new], length), at, len(cls)), new)  # the first of another text
+        extra = (at - np.repeat(new, length) >= WINDOW_FEW) & (at != np.repeat(other, length))
+        return batch_of(cls, key, doc, null, first, many, np.ones(len(cls), np.int32), extra, np.repeat(np.logical_or.reduceat(extra, new), length))
+
     def run(batches):
+        held, count = [], 0
         for batch in batches:
+            keys, ids = batch.column("doc_key").to_numpy(), batch.column("doc_id")
+            docs, nulls = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
             for first, n, data, at in T.chunks(batch.column("text")):
                 rows, begin, many, cls, kind = passages(data, at, k, least, size, among)
-                where = pa.array(first + rows)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_key").take(where), batch.column("doc_id").take(where), pa.array(begin), pa.array(many), pa.array(cls), pa.array(kind)],
-                                                 names=["doc_key", "doc_id", "first_word", "n_words", "class", "kind"])
+                where = first + rows
+                line = kind == 0
+                no = np.zeros(int(line.sum()), bool)
+                yield batch_of(cls[line], keys[where[line]], docs[where[line]], nulls[where[line]], begin[line], many[line], kind[line], no, no)
+                where, begin, many, cls = (x[~line] for x in (where, begin, many, cls))
+                if len(where):
+                    held.append((cls, keys[where], docs[where], nulls[where], begin, many))
+                    count += len(where)
+                if count >= WINDOW_ROWS:
+                    yield windows(held)
+                    held, count = [], 0
+        if held:
+            yield windows(held)
 
     return run
 
 
+_HIT_SCHEMA = "class long, doc_key long, doc_id long, first_word long, n_words long, keep_doc_id long, keep_first_word long, is_first boolean, hot boolean"
+
+
+def _same_windows(batches):
+    """From windows sorted by (class, null id, id, key, word): those of classes in different texts, with the first one.
+
+    Equal rows count once. Rows of a class wait only until a second text shows up; then they stream."""
+    names = [x.split()[0] for x in _HIT_SCHEMA.split(", ")]
+    now = None  # class, its first row's key, id and word, the last row, whether two texts have it, rows that wait
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        cls, key, first, many = (batch.column(c).to_numpy() for c in ("class", "doc_key", "first_word", "n_words"))
+        ids = batch.column("doc_id")
+        doc, null = ids.fill_null(0).to_numpy(), ids.is_null().to_numpy(zero_copy_only=False)
+        hot = batch.column("hot").to_numpy(zero_copy_only=False)
+        rows = [cls, key, doc, null, first, many, hot]
+        once = _apart(cls, key, first)
+        once[0] = now is None or (cls[0], key[0], first[0]) != now[2]
+        rows = [x[once] for x in rows]
+        if now is not None and not now[3]:  # held rows of one text come first
+            rows = [np.concatenate([h, r]) for h, r in zip(now[4], rows)]
+            fresh = True
+        else:
+            fresh = now is None or now[0] != cls[0]
+        cls, key, doc, null, first, many, hot = rows
+        if not len(cls):
+            continue
+        new = np.append(fresh, cls[1:] != cls[:-1])
+        begin = np.flatnonzero(new)
+        group = np.cumsum(new) - 1
+        lead = [x[begin] for x in (key, doc, null, first)]
+        if not fresh:  # the rows before the first new class go on with the class before
+            group = group + 1
+            lead = [np.append(np.array([y], x.dtype), x) for x, y in zip(lead, now[1])]
+        lead_key, lead_doc, lead_null, lead_first = (x[group] for x in lead)
+        several = np.zeros(group[-1] + 1, bool)
+        several[group[key != lead_key]] = True
+        if not fresh:
+            several[0] = True
+        last = group == group[-1]
+        wait = last & ~several[group]
+        out = several[group] & ~wait
+        at = np.flatnonzero(out)
+        is_first = (doc[at] == lead_doc[at]) & (null[at] == lead_null[at]) & (first[at] == lead_first[at])
+        yield pa.RecordBatch.from_arrays([pa.array(cls[at]), pa.array(key[at]), pa.array(doc[at], mask=null[at]), pa.array(first[at]), pa.array(many[at]),
+                                          pa.array(lead_doc[at], mask=lead_null[at]), pa.array(lead_first[at]), pa.array(is_first), pa.array(hot[at])], names=names)
+        held = [x[wait] for x in (cls, key, doc, null, first, many, hot)]
+        now = (cls[-1], tuple(x[-1] for x in lead), (cls[-1], key[-1], first[-1]), bool(several[-1]), held)
+
+
 def _list(k: int, least: int):
     def run(batches):
         for batch in batches:
@@ -147,36 +255,79 @@ def _list(k: int, least: int):
     return run
 
 
+def signatures(hashes: np.ndarray, begin: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """The band values of each line, from the least of every seeded hash of its shingles."""
+    mixed = np.zeros((len(begin) - 1, bands), np.uint64)
+    for band in range(bands):
+        for j in range(band * rows, (band + 1) * rows):
+            low = np.minimum.reduceat(hashes * _SEEDS[0, j] + _SEEDS[1, j], begin[:-1])
+            mixed[:, band] = T.mix(mixed[:, band] * np.uint64(3) + low)
+    return T.mix(mixed + np.arange(bands, dtype=np.uint64)).view(np.int64)
+
+
 def _bands(k: int, least: int, bands: int, rows: int):
-    """(band, value) of each class; a class seen already in the partition is left out."""
+    """(value, class) of the bands of each class. Classes of one value are tied within the task, BAND_ROWS at a time:
+    the first stands for it, the others are edges to that one (``other``), under values of their own."""
+
+    def combined(value, cls):
+        order = np.lexsort((cls, value))
+        value, cls = value[order], cls[order]
+        fresh = np.append(True, (value[1:] != value[:-1]) | (cls[1:] != cls[:-1]))
+        value, cls = value[fresh], cls[fresh]
+        first = np.append(True, value[1:] != value[:-1])
+        hub = cls[np.flatnonzero(first)][np.cumsum(first) - 1]
+        value = np.where(first, value, T.mix(cls.view(np.uint64)).view(np.int64))
+        return pa.RecordBatch.from_arrays([pa.array(value), pa.array(cls), pa.array(hub, mask=first)], names=["value", "class", "other"])
 
     def run(batches):
-        a, b = _SEEDS[:, : bands * rows]
         seen: set[int] = set()
+        held, count = [], 0
         for batch in batches:
-            owner, value = [], []
             for _, _, data, at in T.chunks(batch.column("text")):
-                for _, _, _, c, hashes in paragraphs(data, at, k, least):
-                    if c in seen:
-                        continue
-                    if len(seen) >= 500_000:
-                        seen.clear()
-                    seen.add(c)
-                    low = np.full(bands * rows, np.iinfo(np.uint64).max, np.uint64)
-                    for i in range(0, len(hashes), 4096):  # a long paragraph's table stays small
-                        np.minimum(low, (hashes[i : i + 4096, None] * a + b).min(0), out=low)
-                    sig = low.reshape(bands, rows)
-                    mixed = np.zeros(bands, np.uint64)
-                    for j in range(rows):
-                        mixed = T.mix(mixed * np.uint64(3) + sig[:, j])
-                    owner.append(np.full(bands, c, np.int64))
-                    value.append(T.mix(mixed + np.arange(bands, dtype=np.uint64)).view(np.int64))
-            if owner:
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(value)), pa.array(np.concatenate(owner))], names=["value", "class"])
+                _, _, _, body, hashes, begin = lines_of(data, at, k, least)
+                new = np.zeros(len(body), bool)
+                for i, c in enumerate(body.tolist()):
+                    if c not in seen:
+                        new[i] = True
+                        seen.add(c)
+                if len(seen) >= 500_000:
+                    seen.clear()
+                if not new.any():
+                    continue
+                length = np.diff(begin)
+                hashes, begin = hashes[np.repeat(new, length)], np.concatenate([[0], np.cumsum(length[new])])
+                held.append((signatures(hashes, begin, bands, rows).ravel(), np.repeat(body[new], bands)))
+                count += len(held[-1][0])
+                if count >= BAND_ROWS:
+                    yield combined(*(np.concatenate(x) for x in zip(*held)))
+                    held, count = [], 0
+        if held:
+            yield combined(*(np.concatenate(x) for x in zip(*held)))
 
     return run
 
 
+def _edges(batches):
+    """From rows sorted by (value, class): each class and the first one of its value, and the edges given."""
+    value, hub = None, None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        v, c = batch.column("value").to_numpy(), batch.column("class").to_numpy()
+        given = batch.column("other").is_valid().to_numpy(zero_copy_only=False)
+        other = batch.column("other").fill_null(0).to_numpy()
+        a, b = [c[given]], [other[given]]
+        v, c = v[~given], c[~given]
+        if len(v):
+            first = np.append(v[0] != value if value is not None else True, v[1:] != v[:-1])
+            hubs = np.append(c[first], 0)[np.cumsum(first) - 1]  # rows before the first belong to the value before
+            hubs[np.cumsum(first) == 0] = hub if hub is not None else 0
+            a.append(c[c != hubs])
+            b.append(hubs[c != hubs])
+            value, hub = v[-1], int(hubs[-1])
+        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(a)), pa.array(np.concatenate(b))], names=["a", "b"])
+
+
 def _sets(k: int, least: int):
     def run(batches):
         for batch in batches:
@@ -238,9 +389,8 @@ def _group(percent: int):
 def alike_lines(text: DataFrame, listed: DataFrame, words: int, percent: int, least_words: int, recall: float) -> DataFrame:
     """(node, root) of the classes of lines in components of alike ones; ``listed`` has their class and n_words."""
     bands, rows = bands_for(percent / 100, recall)
-    banded = saved(text.mapInArrow(_bands(words, least_words, bands, rows), "value long, class long").distinct(), "paragraph-bands")
-    hubs = banded.groupBy("value").agg(F.min("class").alias("hub"), F.count("*").alias("many")).where("many > 1").select("value", "hub")
-    groups = components(banded.join(hubs, "value").where("class != hub").select(F.col("class").alias("a"), F.col("hub").alias("b")))
+    banded = text.mapInArrow(_bands(words, least_words, bands, rows), "value long, class long, other long")
+    groups = components(banded.repartition("value").sortWithinPartitions("value", "class").mapInArrow(_edges, "a long, b long"))
 
     sizes = listed.groupBy("class").agg(F.first("n_words").alias("n"))
     members = groups.select(F.col("node").alias("class"), F.col("root").alias("grp")).join(sizes, "class")
@@ -340,16 +490,23 @@ def repeated_passages(docs: DataFrame, words: int = 5, percent: int = 80, least_
     ``window`` + ``among`` - 1 equal words in different texts is found, wherever it stands.
     """
     docs = docs.select(F.xxhash64(id_col, text_col).alias("doc_key"), F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    schema = "doc_key long, doc_id long, first_word long, n_words long, class long, kind int"
-    listed = saved(docs.mapInArrow(_passages(words, least_words, window, among), schema), "passages")
-    joined = alike_lines(docs.select("text"), listed.where("kind = 0"), words, percent, least_words, recall)
+    listed = saved(docs.mapInArrow(_passages(words, least_words, window, among), _PLACE_SCHEMA), "passages")
+    columns = ["doc_key", "doc_id", "first_word", "n_words", "keep_doc_id", "keep_first_word", "is_first"]
+
+    lines = listed.where("kind = 0").select("class", "doc_key", "doc_id", "first_word", "n_words")
+    joined = alike_lines(docs.select("text"), lines, words, percent, least_words, recall)
     roots = saved(joined.select(F.col("node").alias("class"), "root"), "passage-roots")  # lines alike but not equal
-    named = listed.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
-    first = F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "first_word"))
+    named = lines.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     place = F.struct("doc_key", "first_word")
-    kept = named.groupBy("root").agg(first.alias("kept"), F.min(place).alias("a"), F.max(place).alias("b"), F.min("kind").alias("kind"))
-    kept = saved(kept.where("a.doc_key <> b.doc_key or kind = 0 and a <> b").select("root", F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.first_word").alias("keep_first_word")), "passage-firsts")
-    small = F.broadcast(kept) if kept.count() <= BROADCAST_ROWS else kept
-    is_first = F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("first_word") == F.col("keep_first_word"))
-    hits = named.join(small, "root").select("doc_key", "doc_id", "first_word", "n_words", "keep_doc_id", "keep_first_word", is_first.alias("is_first")).distinct()
+    kept = named.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "first_word")).alias("kept"), F.min(place).alias("a"), F.max(place).alias("b"))
+    kept = kept.where("a <> b").select("root", F.col("kept.doc_id").alias("keep_doc_id"), F.col("kept.first_word").alias("keep_first_word"))
+    is_first = (F.col("doc_id").eqNullSafe(F.col("keep_doc_id")) & (F.col("first_word") == F.col("keep_first_word"))).alias("is_first")
+    line_hits = named.join(kept, "root").select(*columns[:-1], is_first).distinct()
+
+    order = ["class", F.col("doc_id").isNull(), "doc_id", "doc_key", "first_word"]
+    windows = listed.where("kind = 1 and not extra").select("class", "doc_key", "doc_id", "first_word", "n_words", "hot")
+    same = saved(windows.repartition("class").sortWithinPartitions(*order).mapInArrow(_same_windows, _HIT_SCHEMA), "passage-windows")
+    hubs = same.where("hot").select("class", "keep_doc_id", "keep_first_word").distinct()
+    more = listed.where("extra").join(hubs, "class").select(*columns[:-1], is_first).distinct()
+    hits = line_hits.unionByName(same.select(*columns)).unionByName(more)
     return by_group(hits, ["doc_key"], ["first_word"], _spans, "doc_id long, first_word long, n_words long, keep_doc_id long, keep_first_word long, removed boolean")

@@ -194,7 +194,7 @@ def covered(rows, k, percent, least, window, among):
                 groups.join(i, j)
     by_words = defaultdict(list)
     for i, f in enumerate(found):
-        by_words[f[3]].append(i)
+        by_words[f[3], f[4]].append(i)
     for same_words in by_words.values():
         for i in same_words:
             groups.join(same_words[0], i)
@@ -217,8 +217,11 @@ def covered(rows, k, percent, least, window, among):
                     yield d, x, n, removed
 
 
-@pytest.mark.parametrize("window,among,least", [(8, 6, 5), (paragraph_dedup.WINDOW_WORDS, paragraph_dedup.WINDOW_AMONG, 20)])
-def test_repeated_passages(docs, rows, window, among, least):
+@pytest.mark.parametrize("window,among,least,few,held", [(8, 6, 5, 8, 1 << 19), (8, 6, 5, 1, 40), (6, 4, 5, 2, 1 << 19), (paragraph_dedup.WINDOW_WORDS, paragraph_dedup.WINDOW_AMONG, 20, 8, 1 << 19)])
+def test_repeated_passages(docs, rows, monkeypatch, window, among, least, few, held):
+    monkeypatch.setattr(paragraph_dedup, "WINDOW_FEW", few)
+    monkeypatch.setattr(paragraph_dedup, "WINDOW_ROWS", held)
+    monkeypatch.setattr(paragraph_dedup, "BAND_ROWS", held)
     got = paragraph_dedup.repeated_passages(docs, words=5, percent=80, least_words=least, recall=0.999999, window=window, among=among).collect()
     same([(r.doc_id, r.first_word, r.n_words, r.removed) for r in got], list(covered(rows, 5, 80, least, window, among)))
     words = defaultdict(set)
@@ -231,6 +234,42 @@ def test_repeated_passages(docs, rows, window, among, least):
     assert paragraph_dedup.repeated_passages(empty_of(docs)).count() == 0
 
 
+def test_hot_windows(spark, monkeypatch):
+    """A window that stands many times in one text and once in another, beside one in every text."""
+    monkeypatch.setattr(paragraph_dedup, "WINDOW_FEW", 2)
+    common = " ".join(f"c{i}" for i in range(60))
+    own = " ".join(f"o{i}" for i in range(25))
+    rows = [(1, " z ".join([own] * 30)), (2, "y " + own)] + [(10 + i, f"a{i} {common} b{i}") for i in range(90)]
+    got = paragraph_dedup.repeated_passages(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), least_words=200).collect()
+    same([(r.doc_id, r.first_word, r.n_words, r.removed) for r in got], list(covered(rows, 5, 80, 200, paragraph_dedup.WINDOW_WORDS, paragraph_dedup.WINDOW_AMONG)))
+    assert {r.doc_id for r in got} == {1, 2, *range(10, 100)} and {r.keep_doc_id for r in got} == {1, 10}
+
+
+@pytest.mark.parametrize("size", [1, 3, 1000])
+def test_streams_in_batches(size):
+    """Windows and band values come in batches of any size."""
+    import pyarrow as pa
+
+    g = np.random.default_rng(2)
+    rows = sorted((int(c), int(d), int(k), int(f)) for c, d, f in g.integers(0, 6, (300, 3)) for k in [d * 7])
+    cls, doc, key, first = (np.array(x, np.int64) for x in zip(*rows))
+    stream = pa.table({"class": cls, "doc_key": key, "doc_id": doc, "first_word": first, "n_words": np.full(300, 4), "hot": np.zeros(300, bool)})
+    got = [r for b in paragraph_dedup._same_windows(iter(stream.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    expected = []
+    for c in set(cls.tolist()):
+        mine = sorted({r for r in rows if r[0] == c})
+        if len({r[2] for r in mine}) > 1:
+            expected += [(c, k, d, f, mine[0][1], mine[0][3], (d, f) == (mine[0][1], mine[0][3])) for _, d, k, f in mine]
+    same([(r["class"], r["doc_key"], r["doc_id"], r["first_word"], r["keep_doc_id"], r["keep_first_word"], r["is_first"]) for r in got], expected)
+    stream = pa.table({"value": cls, "class": doc, "other": pa.array([int(x) if i % 9 == 0 else None for i, x in enumerate(first)], pa.int64())})
+    edges = [(r["a"], r["b"]) for b in paragraph_dedup._edges(iter(stream.to_batches(max_chunksize=size))) for r in b.to_pylist()]
+    expected = [(int(doc[i]), int(first[i])) for i in range(0, 300, 9)]
+    for c in set(cls.tolist()):
+        mine = [int(doc[i]) for i in range(300) if cls[i] == c and i % 9]
+        expected += [(x, mine[0]) for x in mine if x != mine[0]]
+    same(edges, expected)
+
+
 def test_planted_passages(spark):
     """With the registered parameters: passages of 50 words and more inside lines, over line feeds and in short lines."""
     g = np.random.default_rng(8)
