@@ -15,6 +15,7 @@ from ..operators import features as D
 from ..operators import metrics as H
 from ..operators import model as G
 from ..operators import rollout as R
+from ..operators.search import search
 from ..operators.split import group_kfold, split_by_series
 from ..plans.base import KEYS, TARGETS
 from ..session import materialize, shared_dir
@@ -153,6 +154,16 @@ def g3_staged_search(spark, sf_dir):
     return _search(spark, sf_dir)
 
 
+#: 16, 16 and 24 points: tree structure, rate and number of trees, regularisation.
+WHOLE_STAGES = [{"maxDepth": [2, 3, 4, 5], "minInstancesPerNode": [10, 12, 15, 20], "stepSize": [0.4], "maxIter": [3]}, {"stepSize": [0.1, 0.3, 0.4, 0.5], "maxIter": [2, 3, 4, 5]},
+                {"minInfoGain": [0.0, 0.1], "subsamplingRate": [0.5, 0.7, 0.9, 1.0], "featureSubsetStrategy": ["all", "sqrt", "onethird"]}]
+
+
+@register("g3_search_whole_grids", None, notes="three-stage GBT search over 56 points, all targets and folds, from a resumable ledger")
+def g3_search_whole_grids(spark, sf_dir):
+    return search(_folded(spark, sf_dir), FEATS, TARGETS, "fold", WHOLE_STAGES, shared_dir(spark, "search"))
+
+
 SEARCH = ("maxDepth", "maxIter", "stepSize", "subsamplingRate")
 
 
