@@ -57,8 +57,12 @@ def written(marks: Column) -> Column:
 
 def read(text: Column) -> Column:
     """A sketch from its text."""
-    n = (F.length(text) / DIGITS).cast("int")
-    return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(text, i * DIGITS + 1, F.lit(DIGITS)))).otherwise(F.array().cast("array<string>"))
+
+    def of(t: Column) -> Column:
+        n = (F.length(t) / DIGITS).cast("int")
+        return F.when(n > 0, F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.substring(t, i * DIGITS + 1, F.lit(DIGITS)))).otherwise(F.array().cast("array<string>"))
+
+    return let(text, of)
 
 
 def resemblance(a: Column, b: Column, size: int = SIZE) -> Column:
