@@ -15,6 +15,7 @@ from ..operators import features as D
 from ..operators import metrics as H
 from ..operators import model as G
 from ..operators import rollout as R
+from ..operators import trees as TR
 from ..operators.search import search
 from ..operators.split import group_kfold, split_by_series
 from ..plans.base import KEYS, TARGETS
@@ -209,6 +210,24 @@ def g6_rollout_stepwise_gbt(spark, sf_dir):
                               lambda rows: G.predict(models, rows, FEATS), lag_cols)
 
 
+def _lag_spec():
+    return {f"prev{'' if k == 1 else k}_{t}": (t, k) for k in (1, 2) for t in TARGETS}
+
+
+@register("g7_rollout_trees", None, notes="GBT ensembles rolled out over all series as one fold")
+def g7_rollout_trees(spark, sf_dir):
+    mf = model_frame(spark, sf_dir)
+    models = G.fit_targets(mf.where(F.col("split") != "test"), FEATS, TARGETS, "gbt", maxIter=5, maxDepth=3)
+    return TR.rollout_trees(mf, KEYS, "step", TARGETS, TR.node_table(spark, models), FEATS, _lag_spec())
+
+
+@register("j1_attribution_trees", None, notes="exact path-dependent contributions of GBT ensembles")
+def j1_attribution_trees(spark, sf_dir):
+    mf = model_frame(spark, sf_dir)
+    models = G.fit_targets(mf.where(F.col("split") != "test"), FEATS, TARGETS, "gbt", maxIter=5, maxDepth=3)
+    return TR.tree_attribution(mf.where(F.col("split") == "test"), [*KEYS, "step"], FEATS, TR.leaf_table(TR.node_table(spark, models)))
+
+
 @register("a7_write_predictions", _rollout_sql("WHERE split = 'test'") + f""" SELECT te.model, te.scenario, te.region,
   te.step, te.year, {', '.join('r.' + p for p in PRED)} FROM te JOIN r ON {ON} AND te.step = r.step""",
           doubles=PRED)

@@ -42,7 +42,7 @@ def rollout_linear(df: DataFrame, keys: Sequence[str], step: str, targets: Seque
     feats = sorted({f for _, f, _ in coefficients if f != "(intercept)"})
     grouped = df.groupBy(*keys).agg(_ordered(step, feats).alias("_rows"))
     coef = {(t, f): c for t, f, c in coefficients}
-    folded = _recursion(list(targets), feats, _lag_spec(lag_cols), rescale or {}, lambda t, f: coef.get((t, f)))
+    folded = _recursion(list(targets), _lag_spec(lag_cols), rescale or {}, _linear(feats, lambda t, f: coef.get((t, f))))
     return _points(grouped, keys, step, targets, folded)
 
 
@@ -59,7 +59,7 @@ def rollout_linear_by(df: DataFrame, keys: Sequence[str], step: str, targets: Se
     grouped = grouped.join(F.broadcast(fits.select(by, *carry, "_b")), by)
     place = {f: i for i, f in enumerate(["(intercept)", *features])}
     number = lambda t, f: F.get(F.get("_b", F.lit(targets.index(t))), F.lit(place[f]))
-    folded = _recursion(targets, features, _lag_spec(lag_cols), {}, number)
+    folded = _recursion(targets, _lag_spec(lag_cols), {}, _linear(features, number))
     return _points(grouped, [*keys, *carry], step, targets, folded)
 
 
@@ -73,8 +73,23 @@ def _points(grouped: DataFrame, keys: Sequence[str], step: str, targets: Sequenc
     return out.select(*keys, F.col("_p.s").alias(step), *[F.col(f"_p.{t}").alias(f"pred_{t}") for t in targets])
 
 
-def _recursion(targets: list[str], feats: Sequence[str], lag_cols: dict, rescale: dict, number):
-    """The predictions of ``_rows`` as one fold; ``number(target, feature)`` is a coefficient, a number or a column."""
+def _linear(feats: Sequence[str], number):
+    """The predictor of a linear model; ``number(target, feature)`` is a coefficient, a number or a column."""
+
+    def predict(t, feature):
+        first = number(t, "(intercept)")
+        e = F.lit(0.0 if first is None else first)
+        for f in feats:
+            c = number(t, f)
+            if not isinstance(c, (int, float, type(None))) or c:
+                e = e + F.lit(c) * feature(f)
+        return e
+
+    return predict
+
+
+def _recursion(targets: list[str], lag_cols: dict, rescale: dict, predict):
+    """The predictions of ``_rows`` as one fold; ``predict(target, feature)`` is a column of ``feature(name)``."""
     max_k = max([k for _, k in lag_cols.values()] + [1])
     hist_type = "array<double>"
     init = F.struct(F.lit(0).alias("k"),
@@ -96,15 +111,7 @@ def _recursion(targets: list[str], feats: Sequence[str], lag_cols: dict, rescale
                 return F.when(k >= lag, own).otherwise(r[f])
             return r[f]
 
-        preds = {}
-        for t in targets:
-            first = number(t, "(intercept)")
-            e = F.lit(0.0 if first is None else first)
-            for f in feats:
-                c = number(t, f)
-                if not isinstance(c, (int, float, type(None))) or c:
-                    e = e + F.lit(c) * feature(f)
-            preds[t] = e
+        preds = {t: predict(t, feature) for t in targets}
         hist = [F.slice(F.concat(F.array(preds[t]), acc[f"h_{t}"]), 1, max_k).alias(f"h_{t}")
                 for t in targets]
         point = F.struct(r["s"].cast("long").alias("s"), *[preds[t].alias(t) for t in targets])
