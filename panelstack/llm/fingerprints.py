@@ -29,9 +29,10 @@ def hashes(text: Column, shingle: int = SHINGLE) -> Column:
 
     def of(w: Column) -> Column:
         n = F.size(w)
-        mark = lambda x: F.substring(F.md5(F.concat_ws(" ", x)), 1, DIGITS)
-        every = F.transform(F.sequence(F.lit(1), n - (shingle - 1)), lambda i: mark(F.slice(w, i, shingle)))
-        return F.when(n >= shingle, every).when(n > 0, F.array(mark(w))).otherwise(F.array().cast("array<string>"))
+        mark = lambda x: F.substring(F.md5(x), 1, DIGITS)
+        joined = lambda i: F.concat(*(x for j in range(shingle) for x in ([F.lit(" ")] if j else []) + [F.get(w, i + j)]))
+        every = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: mark(joined(i)))
+        return F.when(n >= shingle, every).when(n > 0, F.array(mark(F.concat_ws(" ", w)))).otherwise(F.array().cast("array<string>"))
 
     return let(F.filter(F.split(lowered, SPACE), lambda w: w != ""), of)
 
