@@ -17,6 +17,7 @@ from ..operators import split as S
 from ..operators import windows as W
 from ..plans.base import KEYS, TARGETS, VARS, yearly_wide
 from ..plans.build import BuildSpec, build_panel, series_wide
+from ..plans.infer import scaled_rollout
 from ..plans.prepare import prepare_tabular
 from ..session import materialize, stored
 from ..sources import dims, panels
@@ -184,31 +185,11 @@ def e9_normalise_samples(spark, sf_dir):
     return E.normalise_samples(samples, "economy", KEYS)
 
 
-def scaled_rollout(train, rows, step, lags, keys=KEYS):
-    """Scale targets and lags by their own training means and deviations, fit, roll out and scale back.
-
-    A prediction leaves the target's scaled space and enters the lag's at every step. Returns keys, step and
-    ``pred_<target>`` in raw units.
-    """
-    cols = [*lags.values(), *lags]
-    stats = train.agg(*[f(F.col(c).cast("double")).alias(f"{c}_{n}") for c in cols for n, f in (("m", F.avg), ("s", F.stddev_pop))]).first()
-    m = {c: stats[f"{c}_m"] for c in cols}
-    s = {c: stats[f"{c}_s"] or 1.0 for c in cols}
-    scale = {c: ((F.col(c) - m[c]) / s[c]) for c in cols}
-    fit = G.fit_one_feature(train.withColumns(scale), {t: p for p, t in lags.items()})
-    coefs = []
-    for r in fit.collect():  # one row per target
-        coefs += [(r["target"], "(intercept)", r["intercept"]), (r["target"], r["feature"], r["slope"])]
-    enter = {p: (s[t] / s[p], (m[t] - m[p]) / s[p]) for p, t in lags.items()}
-    preds = R.rollout_linear(rows.withColumns(scale), list(keys), step, list(lags.values()), coefs, {p: (t, 1) for p, t in lags.items()}, enter)
-    return preds.select(*keys, step, *[(F.col(f"pred_{t}") * s[t] + m[t]).alias(f"pred_{t}") for t in lags.values()])
-
-
 @register("g6_rollout_scaled", _rollout_sql("WHERE split = 'test'") + f" SELECT {K}, step, " + ", ".join(PRED) + " FROM r", doubles=PRED)
 def g6_rollout_scaled(spark, sf_dir):
     """Fitting and rolling out in scaled spaces gives, in raw units, what the raw fit gives."""
     sp = sq_split(spark, sf_dir)
-    return scaled_rollout(sp.where("split = 'train'"), sp.where("split = 'test'"), "step", {f"prev_{t}": t for t in TARGETS})
+    return scaled_rollout(sp.where("split = 'train'"), sp.where("split = 'test'"), "step", {f"prev_{t}": t for t in TARGETS}, KEYS)
 
 
 @register("k9_infer_region_scaled", _K9, doubles=PRED)
@@ -219,7 +200,7 @@ def k9_infer_region_scaled(spark, sf_dir):
     prevs = [f"prev_{t}" for t in TARGETS]
     centres = E.fit_scaler(c, TARGETS).select(*[F.col(f"{t}_mean").alias(f"prev_{t}") for t in TARGETS])
     train = D.add_lags(c, TARGETS, 1, KEYS)
-    out = scaled_rollout(train, D.impute_with_center(hs, centres, prevs), "year", dict(zip(prevs, TARGETS)))
+    out = scaled_rollout(train, D.impute_with_center(hs, centres, prevs), "year", dict(zip(prevs, TARGETS)), KEYS)
     return out.withColumn("year", F.col("year").cast("int"))
 
 

@@ -36,7 +36,7 @@ def yp_split(spark, sf_dir):
 @register("e1_encode_fixed", YW + f""" SELECT w.*, coalesce(v.code, -1) AS region_code
 FROM yearly_wide w LEFT JOIN {dims.REGION_VOCAB_SQL} v ON w.region = v.region""", doubles=VARS)
 def e1_encode_fixed(spark, sf_dir):
-    return E.encode_fixed(yearly_wide(spark, sf_dir), "region", dims.region_vocab(spark), "region_code")
+    return E.encode_fixed(yearly_wide(spark, sf_dir), "region", dims.region_vocab(spark), "region_code", broadcast_vocab=True)
 
 
 _VOCAB_FAMILY = ("vocab AS (SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INT) AS code "
@@ -108,6 +108,21 @@ def e6_one_hot(spark, sf_dir):
     return others[0]
 
 
+_PLACE = lambda c: f"(SELECT value, CAST(row_number() OVER (ORDER BY value) - 1 AS INT) AS code FROM (SELECT DISTINCT {c} AS value FROM sp WHERE split = 'train' AND {c} IS NOT NULL) d)"
+
+
+@register("e6_one_hot_sparse", YP_SPLIT + f""", va AS {_PLACE('model')}, vb AS {_PLACE('region_scale')},
+n AS (SELECT (SELECT count(*) FROM va) AS a, (SELECT count(*) FROM vb) AS b),
+p AS (SELECT sp.scenario, sp.region, sp.year, CASE WHEN sp.model IS NULL THEN n.a ELSE va.code END AS x, n.a + 1 + CASE WHEN sp.region_scale IS NULL THEN n.b ELSE vb.code END AS y, n.a + n.b + 2 AS size
+      FROM sp LEFT JOIN va ON sp.model = va.value LEFT JOIN vb ON sp.region_scale = vb.value CROSS JOIN n WHERE split = 'test')
+SELECT scenario, region, year, CAST(size AS INT) AS size, array_to_string(list_filter([x, y], lambda z: z IS NOT NULL), ',') AS places FROM p""")
+def e6_one_hot_sparse(spark, sf_dir):
+    """Places of the ones of two columns, the first with as many categories as there are models."""
+    sp = yp_split(spark, sf_dir)
+    _, (test,), _ = E.one_hot_sparse(sp.where(F.col("split") == "train"), [sp.where(F.col("split") == "test")], ["model", "region_scale"])
+    return test.select("scenario", "region", "year", F.col("indicators.size").alias("size"), F.array_join(F.col("indicators.indices").cast("array<string>"), ",").alias("places"))
+
+
 def _scaler_sql(src: str) -> str:
     parts = []
     for f in FEATS:

@@ -36,6 +36,15 @@ def region_models(df: DataFrame, region: str) -> DataFrame:
              .agg(F.array_sort(F.collect_set("model")).alias("models"))
 
 
+def region_scenarios(df: DataFrame, region: str, families: Sequence[str] | None = None) -> DataFrame:
+    """Scenarios of the region by category (NULL: without one): sorted names, distinct (model, scenario) pairs, rows."""
+    r = df.where(F.col("region") == region)
+    if families is not None:
+        r = r.where(F.col("model_family").isin(list(families)))
+    return r.groupBy("scenario_category").agg(F.array_sort(F.collect_set("scenario")).alias("scenarios"),
+                                              F.count_distinct("model", "scenario").alias("combos"), F.count("*").alias("rows"))
+
+
 def resolve_scenarios(df: DataFrame, region: str, names: Sequence[str] = (),
                       categories: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
     """(requested names union scenarios of the categories in the region, invalid names)."""

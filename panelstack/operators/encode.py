@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 NA_TOKEN = "__NA__"
 
 
@@ -24,7 +26,6 @@ def ordered_codes(values: DataFrame, col: str = "value", out: str = "code") -> D
     each partition adds the local position.  The partitioned values are
     checkpointed first so both passes see the same partitions.
     """
-    from ..session import materialize
     r = materialize(values.select(col).repartitionByRange(col)
                           .withColumn("_pid", F.spark_partition_id()))
     sizes = r.groupBy("_pid").agg(F.count("*").alias("_c"))
@@ -36,11 +37,11 @@ def ordered_codes(values: DataFrame, col: str = "value", out: str = "code") -> D
 
 
 def encode_fixed(df: DataFrame, col: str, vocab: DataFrame, out: str | None = None,
-                 broadcast_vocab: bool = True) -> DataFrame:
+                 broadcast_vocab: bool = False) -> DataFrame:
     """Ordered vocabulary (value, code) -> code; unknown -> -1.
 
-    A fixed vocabulary (a literal list) is broadcast; a learned one is left
-    to AQE, which broadcasts it once its runtime size is known.
+    Only a literal list is to be hinted (``broadcast_vocab``); any other is left
+    to Spark, which broadcasts it if its size allows.
     """
     out = out or f"{col}_code"
     v = vocab.select(F.col(vocab.columns[0]).alias("_val"), F.col(vocab.columns[1]).cast("int").alias("_code"))
@@ -119,6 +120,40 @@ def one_hot(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str],
     return tr, [enc(o) for o in others], names
 
 
+def one_hot_sparse(train: DataFrame, others: Sequence[DataFrame], cols: Sequence[str], out: str = "indicators") -> tuple[DataFrame, list[DataFrame], DataFrame]:
+    """Indicators of ``one_hot`` as a sparse vector column, for any number of categories.
+
+    ``out`` is a struct (size, indices, values) in place of ``cols``: ascending places of the ones. The training
+    values of a column take the places after those of the columns before it, in order, and its NULL dummy the
+    next; unseen values have no place. Vocabularies stay tables (joined, broadcast by Spark if small enough) and
+    only their sizes, one row, go along. Returns train, the others and the places as a table (place, column,
+    value; value NULL for the NULL dummy).
+    """
+    cols = list(cols)
+    vocabularies = {c: materialize(learn_vocab(train, c)) for c in cols}
+    sizes, places = None, None
+    for c, v in vocabularies.items():
+        one = v.agg(F.count("*").cast("int").alias(f"_n_{c}"))
+        sizes = one if sizes is None else sizes.crossJoin(F.broadcast(one))
+    before = {c: sum((F.col(f"_n_{d}") + 1 for d in cols[:i]), F.lit(0)) for i, c in enumerate(cols)}
+    total = sum((F.col(f"_n_{c}") + 1 for c in cols), F.lit(0))
+
+    def enc(df):
+        kept = [c for c in df.columns if c not in cols]
+        for c in cols:
+            df = encode_learned(df, c, vocabularies[c], f"_code_{c}")
+        df = df.crossJoin(F.broadcast(sizes))
+        place = [F.when(F.col(c).isNull(), before[c] + F.col(f"_n_{c}")).when(F.col(f"_code_{c}") >= 0, before[c] + F.col(f"_code_{c}")) for c in cols]
+        at = F.array_compact(F.array(*[p.cast("int") for p in place]))
+        return df.select(*kept, F.struct(total.cast("int").alias("size"), at.alias("indices"), F.transform(at, lambda _: F.lit(1.0)).alias("values")).alias(out))
+
+    for c, v in vocabularies.items():
+        named = v.crossJoin(F.broadcast(sizes)).select((before[c] + F.col("code")).cast("int").alias("place"), F.lit(c).alias("column"), F.col("value").cast("string").alias("value"))
+        named = named.unionByName(sizes.select((before[c] + F.col(f"_n_{c}")).cast("int").alias("place"), F.lit(c).alias("column"), F.lit(None).cast("string").alias("value")))
+        places = named if places is None else places.unionByName(named)
+    return enc(train), [enc(o) for o in others], places
+
+
 def fit_scaler(df: DataFrame, cols: Sequence[str]) -> DataFrame:
     """One row: ``<c>_mean`` and ``<c>_scale`` (population std, NULLs ignored, 0 -> 1)."""
     aggs = []
