@@ -66,5 +66,5 @@ def register(name: str, sql: str | None = None, doubles=(), double_arrays=(), no
 
 def load_all() -> dict[str, Query]:
     """Import every catalog module (registration happens at import)."""
-    from . import q_core, q_clean, q_features, q_encode, q_eval, q_windows, q_models, q_linear, q_attr, q_cf, q_branches  # noqa: F401
+    from . import q_core, q_clean, q_features, q_encode, q_eval, q_windows, q_models, q_linear, q_attr, q_cf, q_infer, q_branches, q_fallbacks  # noqa: F401
     return REGISTRY

@@ -14,7 +14,8 @@ from ..session import shared_dir, stored
 from ..sources import dims, files, panels
 from ..sources.panels import FIXTURE_YEARS, with_panels
 from . import register
-from .sqlfrag import MODEL_FAMILY_SQL, REGION_SCALE_SQL
+from .q_core import FLAGSHIP_SQL, flagship
+from .sqlfrag import METRIC_DOUBLES, MODEL_FAMILY_SQL, REGION_SCALE_SQL
 
 YEARS = FIXTURE_YEARS
 UP_TARGETS = panels.TARGETS
@@ -390,12 +391,13 @@ def a8_trials_ledger(spark, sf_dir):
     return files.read_trials(spark, path)
 
 
-@register("a9_write_metrics", None, notes="metric table written as CSV and read back")
+@register("a9_write_metrics", FLAGSHIP_SQL, doubles=METRIC_DOUBLES)
 def a9_write_metrics(spark, sf_dir):
-    from .q_core import flagship
+    """The metric table written as CSV and read back."""
     path = shared_dir(spark, "metrics")
-    files.write_metrics(flagship(spark, sf_dir), path)
-    return spark.read.option("header", True).csv(path)
+    made = flagship(spark, sf_dir)
+    files.write_metrics(made, path)
+    return files.read_metrics(spark, path, made.schema)
 
 
 @register("c11_base_year_report", with_panels("yearly_wide") + ", " + _base_years_sql(1998) + """

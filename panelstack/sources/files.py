@@ -8,11 +8,12 @@ shared file system) and all writers through ``DataFrame.write``.
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Sequence
-from datetime import date
+from datetime import date, datetime, timezone
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -73,25 +74,32 @@ def version_label(prefix: str, min_count: int, ratio: float, tags: Sequence[str]
     return "-".join(parts)
 
 
-_VERSIONS_SCHEMA = "name string, seq long"
+_VERSIONS_SCHEMA = "name string, at timestamp, id string"
 
 
 def read_versions(spark: SparkSession, root: str) -> DataFrame:
+    """(name, seq): every registered name once, numbered from 1 by its first registration.
+
+    The numbers follow from the list when it is read, so two names never share one, however many writers there
+    were. The list has a row a version, so one window ranks it.
+    """
     try:
-        return spark.read.schema(_VERSIONS_SCHEMA).json(f"{root}/_versions")
+        listed = spark.read.schema(_VERSIONS_SCHEMA).json(f"{root}/_versions")
     except AnalysisException:
-        return spark.createDataFrame([], _VERSIONS_SCHEMA)
+        listed = spark.createDataFrame([], _VERSIONS_SCHEMA)
+    first = listed.groupBy("name").agg(F.min(F.struct("at", "id")).alias("_f"))
+    return first.select("name", F.row_number().over(Window.orderBy("_f", "name")).cast("long").alias("seq"))
 
 
 def register_version(spark: SparkSession, root: str, name: str) -> bool:
-    """Append ``name`` to the version list unless present; keeps creation order."""
-    current = read_versions(spark, root)
-    new = spark.createDataFrame([(name,)], "name string").join(current, "name", "left_anti")
-    if new.limit(1).count() == 0:
+    """Append ``name`` to the version list unless present; keeps creation order.
+
+    Writers only append: of two that register one name at once the earlier row counts.
+    """
+    if read_versions(spark, root).where(F.col("name") == name).limit(1).count():
         return False
-    seq = current.agg(F.coalesce(F.max("seq"), F.lit(0)).alias("m"))
-    new.crossJoin(seq).select("name", (F.col("m") + 1).alias("seq")) \
-       .write.mode("append").json(f"{root}/_versions")
+    row = spark.createDataFrame([(name, datetime.now(timezone.utc), uuid.uuid4().hex)], _VERSIONS_SCHEMA)
+    row.coalesce(1).write.mode("append").option("timestampFormat", "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX").json(f"{root}/_versions")
     return True
 
 
@@ -173,3 +181,7 @@ def read_trials(spark: SparkSession, path: str, schema: T.StructType = TRIALS_SC
 def write_metrics(df: DataFrame, path: str) -> None:
     """Per-run metric table as CSV with a header."""
     df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_metrics(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
+    return spark.read.schema(schema).option("header", True).csv(path)
