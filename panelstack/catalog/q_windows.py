@@ -8,6 +8,7 @@ from ..operators import features as D
 from ..operators import windows as W
 from ..plans.base import KEYS, TARGETS, VARS
 from ..plans.prepare import prepare_sequence
+from ..session import stored
 from . import register
 from .q_features import RP, RP_COLS, rp
 from .sqlfrag import interp_select, lags_select, nn
@@ -158,7 +159,7 @@ _F9 = _HZ + f""", ht AS (SELECT hz.*, {', '.join(f'sq.{c}' for c in _TRUTH_COLS)
 
 
 def with_truth(spark, sf_dir):
-    s = sq(spark, sf_dir)
+    s = stored(sq(spark, sf_dir), "prepared")  # read more than once
     return W.attach_truth(horizon(spark, sf_dir, s), s, KEYS, _TRUTH_COLS)
 
 
@@ -191,7 +192,7 @@ SELECT model, scenario, region, step, year,
   {', '.join(f'CASE WHEN _bo THEN ({_W}) * e_{t} + (1.0 - ({_W})) * l_{t} WHEN _ie THEN e_{t} ELSE l_{t} END AS pred_{t}' for t in TARGETS)}
 FROM k""", doubles=PRED)
 def f11_blend_windows(spark, sf_dir):
-    s = sq(spark, sf_dir)
+    s = stored(sq(spark, sf_dir), "prepared")  # read more than once
     early = W.early_window(s, KEYS, 4).select(*KEYS, "step", "year",
                                               *[F.col(f"prev_{t}").alias(f"pred_{t}") for t in TARGETS])
     late = W.late_window(s, KEYS, 4).select(*KEYS, "step", "year",
@@ -204,7 +205,7 @@ prim AS (SELECT {K}, step, {', '.join(f'prev_{t} AS pred_{t}' for t in TARGETS)}
 SELECT * FROM prim UNION ALL
 SELECT * FROM hz WHERE ({K}) NOT IN (SELECT ({K}) FROM prim)""", doubles=PRED)
 def f12_with_fallback(spark, sf_dir):
-    s = sq(spark, sf_dir)
+    s = stored(sq(spark, sf_dir), "prepared")  # read more than once
     prim = W.early_window(s, KEYS, 4).select(*KEYS, "step",
                                              *[F.col(f"prev_{t}").alias(f"pred_{t}") for t in TARGETS])
     return W.with_fallback(prim, horizon(spark, sf_dir, s), KEYS)
@@ -216,14 +217,14 @@ SELECT (SELECT count(*) FROM hz) AS horizon_rows,
   (SELECT count(*) FROM (SELECT DISTINCT {K} FROM sq)) AS all_series,
   (SELECT count(*) FROM (SELECT DISTINCT {K} FROM sq EXCEPT SELECT DISTINCT {K} FROM hz)) AS dropped_series""")
 def f13_coverage_report(spark, sf_dir):
-    s = sq(spark, sf_dir)
+    s = stored(sq(spark, sf_dir), "prepared")  # read more than once
     return W.coverage_report(horizon(spark, sf_dir, s), s, KEYS)
 
 
 @register("f13_first_dropped", _HZ + f"""
 SELECT * FROM (SELECT DISTINCT {K} FROM sq EXCEPT SELECT DISTINCT {K} FROM hz) ORDER BY {K} LIMIT 5""")
 def f13_first_dropped(spark, sf_dir):
-    s = sq(spark, sf_dir)
+    s = stored(sq(spark, sf_dir), "prepared")  # read more than once
     return W.first_dropped(horizon(spark, sf_dir, s), s, KEYS, 5)
 
 

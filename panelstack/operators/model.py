@@ -69,18 +69,12 @@ def importance_table(spark: SparkSession, models: dict, features: Sequence[str])
 
 
 def fit_one_feature(train: DataFrame, target_feature: dict[str, str]) -> DataFrame:
-    """Closed-form least squares of each target on one feature (slope, intercept, n)."""
-    parts = []
-    for t, x in target_feature.items():
-        parts.append(train.where(F.col(t).isNotNull() & F.col(x).isNotNull()).agg(
-            F.lit(t).alias("target"), F.lit(x).alias("feature"),
-            F.regr_slope(F.col(t), F.col(x)).alias("slope"),
-            F.regr_intercept(F.col(t), F.col(x)).alias("intercept"),
-            F.count("*").alias("n")))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    """Closed-form least squares of each target on one feature (slope, intercept, n): one aggregate for all."""
+    fits = [F.struct(F.lit(t).alias("target"), F.lit(x).alias("feature"), F.regr_slope(F.col(t), F.col(x)).alias("slope"),
+                     F.regr_intercept(F.col(t), F.col(x)).alias("intercept"),
+                     F.count(F.when(F.col(t).isNotNull() & F.col(x).isNotNull(), 1)).alias("n"))
+            for t, x in target_feature.items()]
+    return train.agg(F.array(*fits).alias("_fits")).select(F.inline("_fits"))
 
 
 def cross_validate(df: DataFrame, features: Sequence[str], target: str, fold_col: str,
