@@ -46,7 +46,11 @@ class Model:
 
 
 def _marked(data: bytes, at: np.ndarray):
-    """Lower-cased bytes with every other byte than a letter or digit blank, and the words' places."""
+    """Lower-cased bytes, a blank after each text and every other byte than a letter or digit blank, and the words'
+    places."""
+    if len(at) > 2:  # without it a text's last n-grams would hold the first letter of the next one
+        data = b" ".join(data[a:b] for a, b in zip(at[:-1].tolist(), at[1:].tolist()))
+        at = at + np.append(np.arange(len(at) - 1), len(at) - 2)
     raw = np.frombuffer(data.translate(T.LOWER), np.uint8)
     raw = np.where(T.ALNUM[raw], raw, 32).astype(np.uint8)
     _, starts, ends, rows = T.find_words(raw.tobytes(), at, T.SAME, T.ALNUM)
