@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
+from .store import saved
 
 SYMBOLS = np.zeros(256, bool)
 SYMBOLS[list(b"#*$%&|<>")] = True
@@ -176,7 +177,7 @@ def quality(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", thr
     ``threshold``. The votes are counted over all rows, repeated ones included; only the counts of distinct
     patterns (3 to the power of the rules at most) come to the driver. An empty table gives no rows.
     """
-    counted = features(docs, id_col, text_col)
+    counted = saved(features(docs, id_col, text_col), "quality-features")  # a few numbers a row, read twice
     votes = make_rules()
     names = list(votes)
     seen = counted.select(*(v.alias(n) for n, v in votes.items())).groupBy(*names).count().collect()
