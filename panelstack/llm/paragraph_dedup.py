@@ -17,15 +17,17 @@ lines and windows of a text are merged to spans of words.
 from __future__ import annotations
 
 import math
+import re
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import text as T
 from .graph import components
-from .store import BROADCAST_ROWS, by_group, saved
+from .store import BROADCAST_ROWS, by_group, saved, ship
 
 BLOCK_TOKENS = 2_000_000
 WINDOW_WORDS = 20
@@ -510,3 +512,31 @@ def repeated_passages(docs: DataFrame, words: int = 5, percent: int = 80, least_
     more = listed.where("extra").join(hubs, "class").select(*columns[:-1], is_first).distinct()
     hits = line_hits.unionByName(same.select(*columns)).unionByName(more)
     return by_group(hits, ["doc_key"], ["first_word"], _spans, "doc_id long, first_word long, n_words long, keep_doc_id long, keep_first_word long, removed boolean")
+
+
+_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
+
+
+def _cut(text: str | None, first, many) -> str | None:
+    """The text without the words first[i] .. first[i] + many[i] - 1, from the first one's begin to the last one's end."""
+    if text is None or first is None or not len(first):
+        return text
+    data = text.encode("utf-8", "surrogatepass")
+    places = [m.span() for m in _WORD.finditer(data)]
+    out, at = [], 0
+    for a, n in sorted(zip(first, many)):
+        out.append(data[at : places[a][0]])
+        at = places[a + n - 1][1]
+    return b"".join([*out, data[at:]]).decode("utf-8", "surrogatepass")
+
+
+def without_passages(docs: DataFrame, spans: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with the removed spans of ``repeated_passages`` cut out of their texts; the white space around a span
+    and all else stays. Rows of one id must be alike in their text; rows without spans, null texts and other columns
+    stay as they are."""
+    ship(docs.sparkSession)
+    gone = spans.where("removed").groupBy(F.col("doc_id").alias("_id")).agg(F.collect_list(F.struct("first_word", "n_words")).alias("_gone"))  # a text's spans
+    cut = F.pandas_udf(lambda texts, first, many: texts.combine(pd.Series(list(zip(first, many)), index=texts.index), lambda t, s: _cut(t, *s)), "string")
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col("_id")), "left")
+    edited = cut(F.col(text_col), F.col("_gone.first_word"), F.col("_gone.n_words"))
+    return joined.select(*(F.when(F.col("_gone").isNull(), F.col(text_col)).otherwise(edited).alias(c) if c == text_col else F.col(c) for c in docs.columns))

@@ -234,6 +234,29 @@ def test_repeated_passages(docs, rows, monkeypatch, window, among, least, few, h
     assert paragraph_dedup.repeated_passages(empty_of(docs)).count() == 0
 
 
+def test_without_passages(spark):
+    """Cut texts hold every passage once, and no words but the removed ones go."""
+    g = np.random.default_rng(5)
+    word = lambda: "".join(g.choice(list("abcdé"), g.integers(3, 9)))
+    passage = [word() for _ in range(70)]
+    rows = [(i, "  ".join([*(word() for _ in range(40)), *passage, *(word() for _ in range(30))]) + "\n", i) for i in range(6)] + [(7, None, 7), (8, "", 8), (None, "lone\twords", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, _gone2 int").repartition(3)
+    spans = paragraph_dedup.repeated_passages(docs)
+    got = {r["_gone2"]: r.text for r in paragraph_dedup.without_passages(docs, spans).collect()}
+    taken = {(r.doc_id, r.first_word, r.n_words) for r in spans.collect() if r.removed}
+    for d, t, i in rows:
+        if t is None or d is None:
+            assert got[i] == t
+            continue
+        w = t.split()
+        dropped = {x for doc, a, n in taken if doc == d for x in range(a, a + n)}
+        assert got[i].split() == [x for k, x in enumerate(w) if k not in dropped]
+    whole = " ".join(passage[25:45])  # well inside: windows reach at most 29 words less than the passage at an end
+    assert sum(whole in " ".join((t or "").split()) for t in got.values()) == 1
+    again = paragraph_dedup.repeated_passages(paragraph_dedup.without_passages(docs, spans))
+    assert not again.where("removed").count()
+
+
 def test_hot_windows(spark, monkeypatch):
     """A window that stands many times in one text and once in another, beside one in every text."""
     monkeypatch.setattr(paragraph_dedup, "WINDOW_FEW", 2)
