@@ -17,6 +17,8 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..session import stored
+
 
 def _read_csv(spark: SparkSession, path: str) -> DataFrame:
     # all columns as text: numbers are coerced later with try_cast
@@ -41,7 +43,8 @@ def read_raw_wide(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
 
 
 def write_raw_wide(df: DataFrame, root: str, split_col: str, parts: Sequence[str]) -> list[str]:
-    """Write one CSV table per value of ``split_col`` (like one file per region set)."""
+    """Write one CSV table per value of ``split_col`` (like one file per region set); ``df`` is built once."""
+    df = stored(df, "raw-wide")
     paths = []
     for v in parts:
         p = f"{root}/{v}"
