@@ -23,6 +23,8 @@ SPACE = "▁"
 #: Words kept encoded and pairs kept checked by a Python worker.
 WORDS_KEPT = 300_000
 PAIRS_KEPT = 400_000
+#: Rows whose ids a worker holds before they go out.
+ROWS_OUT = 1_000
 
 
 class Vocabulary:
@@ -42,6 +44,17 @@ class Vocabulary:
         return cls([sp.id_to_piece(i) for i in ids], [sp.get_score(i) for i in ids], kinds, sp.unk_id(), sp.bos_id(), sp.eos_id())
 
 
+class Kept(dict):
+    """A cache that makes what it lacks, so that a hit costs no Python call."""
+
+    def __init__(self, make):
+        super().__init__()
+        self.make = make
+
+    def __missing__(self, key):
+        return self.make(key)
+
+
 class Codec:
     """Encodes and decodes in a worker; texts are ``str``, ids are little-endian unsigned 32-bit bytes."""
 
@@ -68,13 +81,18 @@ class Codec:
         self.odd = {p for p, h in self.halves.items() if any(x in self.halves and self.score[x] <= self.score[p] for x in h)}
         #: Adjacent characters inside pieces: no merge goes over any others.
         self.inside = {p[i : i + 2] for p in self.score for i in range(len(p) - 1)}
+        self.longer = ahocorasick.Automaton()  # without the single characters, which need no search
         for piece in made:
             self.automaton.add_word(piece, len(piece))
-        self.automaton.make_automaton()
-        self.pairs: dict[tuple[str, str], bool] = {}
-        self.words: dict[str, bytes] = {}
-        self.after_feed: dict[str, bytes] = {}
-        self.older: dict[tuple[str, bool], bytes] = {}
+            if len(piece) > 1:
+                self.longer.add_word(piece, len(piece) - 1)
+        for automaton in (self.automaton, self.longer):
+            if len(automaton):
+                automaton.make_automaton()
+        self.pairs: dict[str, dict[str, bool]] = {}
+        self.pairs_kept = 0
+        self.words, self.after_feed = Kept(self.word), Kept(self.line)
+        self.older: tuple[dict[str, bytes], dict[str, bytes]] = {}, {}
         self.begin, self.end = v.bos.to_bytes(4, "little"), v.eos.to_bytes(4, "little")
         self.controls = [i for i, k in enumerate(v.kinds) if k == "control"]
         shown = {"control": lambda p: b"", "unknown": lambda p: " ⁇ ".encode(), "byte": lambda p: bytes([int(p[3:5], 16)])}
@@ -96,12 +114,16 @@ class Codec:
 
     def fits(self, a: str, b: str) -> bool:
         """Whether b may follow a: merging both anew gives them back."""
-        known = self.pairs.get((a, b))
+        after = self.pairs.get(a)
+        known = None if after is None else after.get(b)
         if known is None:
-            if len(self.pairs) >= PAIRS_KEPT:
+            if self.pairs_kept >= PAIRS_KEPT:
                 self.pairs.clear()
+                self.pairs_kept = 0
             odd = a in self.odd or b in self.odd
-            known = self.pairs[a, b] = self.merge(a + b) == [a, b] if odd else self.apart(a, b)
+            known = self.merge(a + b) == [a, b] if odd else self.apart(a, b)
+            self.pairs.setdefault(a, {})[b] = known
+            self.pairs_kept += 1
         return known
 
     def apart(self, x: str, y: str) -> bool:
@@ -127,49 +149,61 @@ class Codec:
 
     def split(self, text: str) -> list[str]:
         """Pieces of a word without runs of space marks; a character outside the vocabulary stands alone."""
-        known, parts, pos, last = self.pairs, [], 0, ""
+        pairs, parts, pos, after = self.pairs, [], 0, None
         for end, size in self.automaton.iter_long(text):  # if nothing fails, the longest matches are the encoding
-            end += 1
-            piece = text[pos:end]
-            if end - size != pos or last and not (known.get((last, piece)) or self.fits(last, piece)):
-                return self.search(text)
+            if end + 1 - size != pos:
+                return self.search(text, [], 0)
+            piece = text[pos : end + 1]
+            if pos and not ((after.get(piece) if after else None) or self.fits(parts[-1], piece)):
+                return self.search(text, parts, pos)
             parts.append(piece)
-            pos, last = end, piece
-        return parts if pos == len(text) else self.search(text)
+            pos, after = end + 1, pairs.get(piece)
+        return parts if pos == len(text) else self.search(text, [], 0)
 
-    def search(self, text: str) -> list[str]:
-        """The backtracking: the longest piece first, then ever shorter prefixes of it that are pieces."""
+    def search(self, text: str, parts: list[str], pos: int) -> list[str]:
+        """The backtracking: the longest piece first, then ever shorter prefixes of it that are pieces.
+
+        It goes on at ``pos`` behind ``parts``, each the longest piece at its place and none failed.
+        """
         n = len(text)
-        longest = [1] * n
-        for end, size in self.automaton.iter(text):
-            start = end - size + 1
-            if size > longest[start]:
-                longest[start] = size
+        longest = [1] * n + [0]
+        if len(self.longer):
+            for end, more in self.longer.iter(text):  # ends ascend, so the last one of a place is the longest
+                longest[end - more] = more + 1
         failed = bytearray(n + 1)
-        parts: list[str] = []
-        pos, size, last = 0, longest[0], ""
+        shorter, pairs = self.shorter, self.pairs
+        size, last = longest[pos], parts[-1] if parts else ""
         while pos < n:
+            after = pairs.get(last) or {}
             while size:
                 piece = text[pos : pos + size]
-                if not failed[pos + size] and (not last or self.fits(last, piece)):
-                    break
-                size = self.shorter.get(piece, 0)
+                if not failed[pos + size]:
+                    if not last:
+                        break
+                    known = after.get(piece)
+                    if known or known is None and self.fits(last, piece):
+                        break
+                size = shorter.get(piece, 0)
             if size:
                 parts.append(piece)
                 pos, last = pos + size, piece
-                size = longest[pos] if pos < n else 0
+                size = longest[pos]
             else:
                 if not parts:
                     raise ValueError("no encoding")  # can't happen: the merged form always exists
                 failed[pos] = 1
                 pos -= len(last)
-                size = self.shorter.get(parts.pop(), 0)
+                size = shorter.get(parts.pop(), 0)
                 last = parts[-1] if parts else ""
         return parts
 
     def codes(self, parts: list[str]) -> bytes:
-        code, byte = self.code, self.byte
-        return b"".join([code[p] if p in code else b"".join(byte[x] for x in p.encode()) for p in parts])
+        code = self.code
+        try:
+            return b"".join([code[p] for p in parts])
+        except KeyError:
+            byte = self.byte
+            return b"".join([code[p] if p in code else b"".join(byte[x] for x in p.encode()) for p in parts])
 
     def segment(self, marks: int, rest: str) -> bytes:
         """``marks`` space marks and then a word without any.
@@ -192,33 +226,28 @@ class Codec:
 
     def fresh(self, key: str, first: bool) -> bytes:
         """Encodes a word, or takes it from the older generation of the cache, and keeps it."""
-        code = self.older.get((key, first))
+        code = self.older[0 if first else 1].get(key)
         if code is None and 1 < len(key) <= 64 and key[-2:] not in self.inside:  # as before a full stop
-            return (self.word(key[:-1]) if first else self.line(key[:-1])) + self.codes([key[-1]])
+            return (self.words if first else self.after_feed)[key[:-1]] + self.codes([key[-1]])
         if code is None:
             code = self.segment(1, key) if first else self.byte[10] + self.segment(0, key)
         if len(key) <= 64:
             if len(self.words) + len(self.after_feed) >= WORDS_KEPT // 2:
-                self.older = {(k, True): v for k, v in self.words.items()} | {(k, False): v for k, v in self.after_feed.items()}
-                self.words.clear()
-                self.after_feed.clear()
+                self.older = self.words, self.after_feed
+                self.words, self.after_feed = Kept(self.word), Kept(self.line)
             (self.words if first else self.after_feed)[key] = code
         return code
 
     def word(self, key: str) -> bytes:
-        """The codes of a mark and a word, which may hold line feeds."""
-        got = self.words.get(key)
-        if got is None:
+        """The codes of a mark and a word that isn't kept and may hold line feeds."""
+        if "\n" in key:  # a line feed merges with nothing
             head, *lines = key.split("\n")
-            if lines:  # a line feed merges with nothing
-                return self.word(head) + b"".join(map(self.line, lines))
-            got = self.fresh(key, True)
-        return got
+            return self.words[head] + b"".join([self.after_feed[x] for x in lines])
+        return self.fresh(key, True)
 
     def line(self, key: str) -> bytes:
-        """The codes of a line feed and the word after it."""
-        got = self.after_feed.get(key)
-        return self.fresh(key, False) if got is None else got
+        """The codes of a line feed and the word after it, which isn't kept."""
+        return self.fresh(key, False)
 
     def encode(self, text: str) -> bytes:
         """Ids of the text, with begin and end."""
@@ -229,7 +258,7 @@ class Codec:
             marked = SPACE + text.replace(" ", SPACE)
             body = b"".join([self.segment(len(m[1]), m[2]) for m in re.finditer(f"({SPACE}*)([^{SPACE}]*)", marked) if m[0]])
         else:
-            body = b"".join(map(self.word, parts))
+            body = b"".join([self.words[x] for x in parts])
         return self.begin + body + self.end
 
     def decode(self, ids: list[int]) -> str:
@@ -351,7 +380,7 @@ def encode_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
 
     def run(batches):
         codec = _codec(shared)
-        for batch in batches:
+        for batch in (b.slice(at, ROWS_OUT) for b in batches for at in range(0, b.num_rows, ROWS_OUT)):
             ids, same = [], []
             for text in batch.column(1):
                 t = text.as_py() or ""
@@ -359,7 +388,7 @@ def encode_checked(docs: DataFrame, model_path: str, id_col: str = "doc_id", tex
                 same.append(codec.decode(ids[-1].tolist()) == t)
             size = np.array([len(i) for i in ids], np.int64)
             offsets = np.concatenate([[0], np.cumsum(size)]).astype(np.int32)
-            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids) if ids else np.zeros(0, np.int32)))
+            lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(ids)))
             yield pa.RecordBatch.from_arrays([batch.column(0), lists, pa.array(size), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_tokens", "decodes"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, "doc_id long, ids array<int>, n_tokens long, decodes boolean")

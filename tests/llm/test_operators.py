@@ -383,6 +383,32 @@ def test_pieces_at_random():
             assert codec.apart(a, b) == (codec.merge(a + b) == [a, b])
 
 
+def test_pieces_keep_their_work(monkeypatch):
+    import sentencepiece
+
+    sp = sentencepiece.SentencePieceProcessor(model_file=model_path())
+    monkeypatch.setattr(piece_codec, "WORDS_KEPT", 40)
+    monkeypatch.setattr(piece_codec, "PAIRS_KEPT", 30)
+    codec, made = piece_codec.Codec(piece_codec.Vocabulary.load(model_path())), []
+    segment = codec.segment
+    codec.segment = lambda marks, rest: made.append((marks, rest)) or segment(marks, rest)
+    words = ["thonessatind", "erhendonthea", "unoninghees", "inatntiesing"]
+    t = " ".join([*words, *(w + "." for w in words), *words]) + "\n" + "\n".join([*words, *words])
+    assert np.frombuffer(codec.encode(t), "<u4").tolist() == sp.encode(t, add_bos=True, add_eos=True)
+    assert sorted(made) == sorted([*((1, w) for w in words), *((0, w) for w in words)])  # a full stop ends a kept word
+    for n in range(300):  # through many generations of kept words and pairs
+        t = " ".join(a + b + str(n) for a in words for b in words)
+        assert np.frombuffer(codec.encode(t), "<u4").tolist() == sp.encode(t, add_bos=True, add_eos=True)
+        assert len(codec.words) + len(codec.after_feed) + sum(map(len, codec.older)) <= 40 and sum(map(len, codec.pairs.values())) <= 30
+    begun = []
+    search = codec.search
+    codec.search = lambda text, parts, pos: begun.append(pos) or search(text, parts, pos)
+    for a in words:
+        for b in words:
+            assert codec.split(a + b) == codec.merge(a + b)
+    assert begun and all(begun)  # the search goes on where the longest matches stop to fit
+
+
 # 5 ---------------------------------------------------------------------------------------------------------
 @pytest.mark.parametrize("k,percent,block", [(3, 90, 2_000_000), (1, 60, 2_000_000), (1, 60, 40), (2, 70, 300)])
 def test_jaccard_join(docs, rows, monkeypatch, k, percent, block):
