@@ -283,14 +283,15 @@ def _edit(text: str | None, lines: Lines, hashes: np.ndarray, drop: np.ndarray):
 
 
 def _dropper(find):
-    """``find(batch)`` gives, for a row, the sorted hashes to drop."""
+    """``find(batch)`` gives, for a row, the sorted hashes to drop. Rows go out chunk by chunk: a worker never holds
+    the edited texts of a whole batch."""
 
     def run(batches):
         for batch in batches:
             drops = find(batch)
-            out, total, dropped = [], [], []
-            texts = batch.column("text")
+            docs, texts = batch.column("doc"), batch.column("text")
             for first, n, data, at in T.chunks(texts):
+                out, total, dropped = [], [], []
                 lines = Lines(data, at)
                 h = lines.hash().view(np.int64) if len(lines.row) else np.zeros(0, np.int64)
                 begin = np.searchsorted(lines.row, np.arange(n + 1))
@@ -303,7 +304,7 @@ def _dropper(find):
                     out.append(t)
                     total.append(k)
                     dropped.append(gone)
-            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=["doc", "text", "n_lines", "n_dropped"])
+                yield pa.RecordBatch.from_arrays([docs.slice(first, n), pa.array(out, pa.string()), pa.array(total, pa.int64()), pa.array(dropped, pa.int64())], names=["doc", "text", "n_lines", "n_dropped"])
 
     return run
 

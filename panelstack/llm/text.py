@@ -1,6 +1,6 @@
 """Vectorised words and shingles over Arrow string columns.
 
-Texts are handled in chunks of about a megabyte (one text is never cut), so memory follows the longest
+Texts are handled in chunks of about a quarter of a megabyte (one text is never cut), so memory follows the longest
 text, not the batch. Words and shingles are known by 64-bit hashes: words by a polynomial over their bytes
 (mod 2^64, random byte values), shingles by a mix of their words' hashes in order.
 """
@@ -12,7 +12,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 18
 
 _SPACE = bytes(range(9, 14)) + b" "
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))

@@ -6,6 +6,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -514,6 +515,18 @@ def test_line_dedup(spark, rows, broadcast):
     assert line_templates.drop_recurring_lines(empty_of(docs), 3).count() == 0
 
 
+def test_edited_rows_go_out_by_chunks():
+    texts = [f"own {i}\n" + "w" * 100_000 + f" {i}" for i in range(12)] + [None, ""]
+    docs = pa.array([{"doc_id": i} for i in range(14)])
+    lines = line_templates.Lines(b"own 5", np.array([0, 5], np.int64)).hash().view(np.int64)
+    out = list(line_templates._dropper(lambda batch: lambda row: lines if row == 5 else lines[:0])([pa.RecordBatch.from_arrays([docs, pa.array(texts)], names=["doc", "text"])]))
+    assert max(b.column("text").nbytes for b in out) <= 1 << 18  # a worker holds no whole batch of edited texts
+    got = [(x["doc"]["doc_id"], x["text"], x["n_lines"], x["n_dropped"]) for b in out for x in b.to_pylist()]
+    expected = [(i, t, 2, 0) for i, t in enumerate(texts[:12])] + [(12, None, 0, 0), (13, "", 0, 0)]
+    expected[5] = (5, "w" * 100_000 + " 5", 2, 1)
+    assert got == expected
+
+
 def test_line_dedup_deep_leaves(spark, rows, monkeypatch):
     monkeypatch.setattr(line_templates, "LEAF_TOKENS", 8)
     docs = table(spark, [(i, f"a b c {x}\nown{chr(97 + i)} line{chr(98 + i)}") for i, x in enumerate("pqppqr")])
