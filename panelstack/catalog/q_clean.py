@@ -340,7 +340,8 @@ def a6_cache_panel(spark, sf_dir):
 @register("a4_write_dataset", _C18_SQL, doubles=[v.lower() for v in _SEL_VARS])
 def a4_write_dataset(spark, sf_dir):
     root = shared_dir(spark, "datasets")
-    raw = panels.raw_wide_yearly(spark, sf_dir)
+    # counts, selection, base years and each written table read it
+    raw = stored(panels.raw_wide_yearly(spark, sf_dir))
     spec = BuildSpec(outputs=UP_TARGETS, min_count=MIN_COUNT, completeness_ratio=0.4)
     res = build_panel(spark, raw, dims.variable_class(spark), dims.scenario_category(spark),
                       dims.unit_rules(spark), dims.base_years_for_models(spark, raw), spec)

@@ -23,6 +23,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import stored
 from .tables import table
 
 # Fixed values of the fixture panels (region labels, units, roles).
@@ -206,8 +207,11 @@ def raw_wide_yearly(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     One row per (model, scenario, region, variable, unit); one text column per
     year; the text 'n/a' where (year + length(variable)) % 11 = 0.
+
+    The long panel is stored first: the pivot reads it twice (years, then values) and callers read the wide table
+    several times, but the fact tables are joined once.
     """
-    long = panel_yearly(spark, sf_dir)
+    long = stored(panel_yearly(spark, sf_dir), "panel-yearly")
     text = F.when((F.col("year") + F.length("variable")) % 11 == 0, F.lit("n/a")) \
             .otherwise(F.col("value").cast("string"))
     return (long.groupBy("model", "scenario", "region", "variable", "unit")

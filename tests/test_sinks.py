@@ -38,3 +38,23 @@ def test_read_dimension_trims_header_and_checks_columns(spark, tmp_path):
     assert dim.columns == ["scenario", "scenario_category"]
     with pytest.raises(KeyError):
         files.read_dimension(spark, path, ["model"])
+
+
+def test_raw_wide_builds_its_panel_once(spark, monkeypatch):
+    from panelstack.sources import panels
+
+    rows = [("m", "s", "World", v, "u", y, float(y)) for v in ("LARGE", "SMALL") for y in (1995, 1996, 1997)]
+    made = spark.sparkContext.accumulator(0)
+
+    def counted(part):
+        for r in part:
+            made.add(1)
+            yield r
+
+    long = spark.createDataFrame(spark.sparkContext.parallelize(rows, 2).mapPartitions(counted),
+                                 "model string, scenario string, region string, variable string, unit string, year int, value double")
+    monkeypatch.setattr(panels, "panel_yearly", lambda *_: long)
+    raw = panels.raw_wide_yearly(spark, "")
+    assert raw.columns[5:] == ["1995", "1996", "1997"]
+    assert [raw.count(), len(raw.collect()), raw.select("model").distinct().count()] == [2, 2, 1]
+    assert made.value == len(rows)  # years, values and each reader take them from the stored panel
