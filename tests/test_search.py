@@ -67,3 +67,30 @@ def test_losses_are_the_folds_errors(spark, frame, tmp_path):
         b = np.linalg.lstsq(x[~held], rows[~held, 3:], rcond=None)[0]
         errors.append(np.sqrt(((x[held] @ b - rows[held, 3:]) ** 2).mean()))
     assert got[0.0] == pytest.approx(np.mean(errors), rel=1e-6) and got[5.0] > got[0.0]
+
+
+def test_points_of_fewer_trees_share_a_fit(frame, tmp_path, monkeypatch):
+    stages = [{"maxDepth": [2], "stepSize": [0.3], "maxIter": [2]}, {"stepSize": [0.1, 0.3], "maxIter": [1, 2, 3]}, {"subsamplingRate": [0.6]}]
+    made, make = [], S.make_estimator
+    monkeypatch.setattr(S, "make_estimator", lambda *a, **p: made.append(p) or make(*a, **p))
+    alone = S.search(frame, ["a", "b"], ["y"], "fold", stages, str(tmp_path / "alone"), fit=S.fold_error)
+    assert len(made) == (1 + 6 + 1) * 3
+    made.clear()
+    shared = S.search(frame, ["a", "b"], ["y"], "fold", stages, str(tmp_path / "shared"))
+    assert len(made) == (1 + 2 + 1) * 3  # the six points of stage 2 are two ensembles of three trees
+    ours, theirs = ({(r.stage, r.trial_id): r for r in s.collect()} for s in (shared, alone))
+    assert ours.keys() == theirs.keys()
+    for k, r in ours.items():
+        assert r.val_loss == pytest.approx(theirs[k].val_loss, rel=1e-12)
+        assert [r[c] for c in r.__fields__ if c != "val_loss"] == [theirs[k][c] for c in r.__fields__ if c != "val_loss"]
+
+
+def test_small_table_is_few_parts(frame, tmp_path):
+    seen = []
+
+    def fit(data, algo, params, target, fold_col, fold):
+        seen.append((data.rdd.getNumPartitions(), data.count()))
+        return 1.0, 1
+
+    S.search(frame.repartition(40), ["a", "b"], ["y"], "fold", [{"maxDepth": [1]}], str(tmp_path / "p"), fit=fit)
+    assert set(seen) == {(1, 90)}
