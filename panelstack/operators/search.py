@@ -93,14 +93,14 @@ def search(df: DataFrame, features: Sequence[str], targets: Sequence[str], fold_
 
     ``val_loss`` is the mean over folds of the root mean squared error of all targets together. The best point of
     a stage has the least loss, then the least signature. ``parallelism`` is the number of fits side by side, else
-    twice as many as their tasks fill cores (8 to 32). ``fit`` may replace the fit of each point (tests).
+    as many as their tasks fill cores (8 to 32). ``fit`` may replace the fit of each point (tests).
     """
     spark = df.sparkSession
     schema = ledger_schema(stages)
     data = fit_table(df, features, [*targets, fold_col])
     rows = {r[0]: r[1] for r in data.groupBy(fold_col).count().collect()}
     folds = sorted(rows)
-    parallelism = parallelism or min(32, max(8, 2 * spark.sparkContext.defaultParallelism // data.rdd.getNumPartitions()))
+    parallelism = parallelism or min(32, max(8, spark.sparkContext.defaultParallelism // data.rdd.getNumPartitions()))
 
     def errors_of(group: list[dict], target: str, fold) -> list[tuple[float, int]]:
         if fit:
